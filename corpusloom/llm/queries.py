@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
 
 
@@ -16,6 +17,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts,)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op6_token_counts, op8_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
