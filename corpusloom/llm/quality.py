@@ -132,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def learn(batches):
         # the sample is bounded by max_rows, so it fits one worker
-        table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("text", pa.string()), ("label", pa.int32())]))
+        parts = list(batches)
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
         table = table.sort_by([("id", "ascending"), ("label", "ascending"), ("text", "ascending")])
         w = train(table["text"].combine_chunks().cast(pa.large_string()), table["label"].to_numpy(), bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(w.astype(np.float32).tobytes(), 1)], pa.binary())], ["w"])
