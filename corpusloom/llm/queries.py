@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
 
@@ -13,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -22,6 +27,6 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_token_counts, op8_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
