@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import decontamination as _decontamination
 from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
@@ -22,11 +23,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_token_counts, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_benchmark_decontamination": _decontamination.ORACLE}
