@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontamination as _decontamination
+from corpusloom.llm import html_text as _html
+from corpusloom.llm import license_scan as _license
 from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
@@ -19,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,6 +38,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.html_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op10_html_text)}
 
 ORACLES: dict[str, str] = {"op7_benchmark_decontamination": _decontamination.ORACLE}
