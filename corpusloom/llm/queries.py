@@ -11,6 +11,7 @@ from corpusloom.llm import license_scan as _license
 from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
+from corpusloom.llm import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,6 +47,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.html_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op10_html_text)}
 
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": _decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
