@@ -37,8 +37,9 @@ def anchored(docs_words: DataFrame, found: DataFrame) -> DataFrame:
     """
     terms = found.select(F.explode("w").alias("word")).distinct()
     # the vocabulary of the benchmark is counted and sent in blocks like the windows; a longer one is joined by shuffle
+    # outer: else the optimizer infers a filter on the words and splits each text twice more
     small = terms.count() <= 200_000
-    counts = docs_words.select(F.explode("v").alias("word")).join(F.broadcast(terms) if small else terms, "word").groupBy("word").count()
+    counts = docs_words.select(F.explode_outer("v").alias("word")).join(F.broadcast(terms) if small else terms, "word").groupBy("word").count()
     placed = found.withColumn("wid", F.xxhash64(F.array_join("w", " "))).select("w", "items", "wid", F.posexplode("w").alias("off", "word"))
     placed = placed.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("wid", "w").orderBy("count", "word", "off"))
@@ -61,7 +62,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     blocks = -(-n // block)
     anchors = anchors.withColumn("k", F.pmod("wid", F.lit(max(blocks, 1))))
     # each document also has one empty word, which meets a row of its own: so documents without hits stay in the same pass
-    marked = split.select("doc_id", "h1", "h2", "v", F.posexplode(F.concat("v", F.array(F.lit("")))).alias("pos", "word"))
+    marked = split.select("doc_id", "h1", "h2", "v", F.posexplode_outer(F.concat("v", F.array(F.lit("")))).alias("pos", "word"))
     mark = docs.sparkSession.range(1).select(F.lit("").alias("anchor"))
     parts = []
     for k in range(max(blocks, 1)):
