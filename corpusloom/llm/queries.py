@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import decontamination as _decontamination
 from corpusloom.llm import html_text as _html
 from corpusloom.llm import license_scan as _license
+from corpusloom.llm import minhash as _minhash
 from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import token_counts as _tokens
@@ -43,10 +44,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.minhash_classes(_table(spark, sf_dir, "documents")).select("row.doc_id", "class_id", "kept", "class_size")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.html_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
 
 ORACLES: dict[str, str] = {"op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
