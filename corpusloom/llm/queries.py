@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination as _decontamination
 from corpusloom.llm import html_text as _html
@@ -11,6 +12,7 @@ from corpusloom.llm import license_scan as _license
 from corpusloom.llm import minhash as _minhash
 from corpusloom.llm import packing as _packing
 from corpusloom.llm import quality as _quality
+from corpusloom.llm import substring as _substring
 from corpusloom.llm import token_counts as _tokens
 from corpusloom.llm import warc as _warc
 
@@ -19,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.words)
+    return found.select("row.doc_id", F.col("kept_text").alias("text"), words.alias("removed_words"), "removed", "shared", "sources", (F.size("removed") > 0).alias("has_repeats"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,6 +60,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.html_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
 
 ORACLES: dict[str, str] = {"op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
