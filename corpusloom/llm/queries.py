@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination as _decontamination
+from corpusloom.llm import embedding_links as _embeddings
 from corpusloom.llm import html_text as _html
 from corpusloom.llm import license_scan as _license
 from corpusloom.llm import minhash as _minhash
@@ -27,6 +28,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.col("kept_text").alias("text"), words.alias("removed_words"), "removed", "shared", "sources", (F.size("removed") > 0).alias("has_repeats"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _embeddings.embedding_links(_table(spark, sf_dir, "embeddings"))
+    return found.select("row.vec_id", "n_links", "component_id", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,6 +66,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.html_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
 
-ORACLES: dict[str, str] = {"op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
