@@ -47,13 +47,8 @@ def anchored(docs_words: DataFrame, found: DataFrame) -> DataFrame:
     return top.groupBy("wid", "w").agg(F.first("items").alias("items"), F.max(F.when(F.col("r") == 1, F.col("word"))).alias("anchor"), F.max(F.when(F.col("r") == 1, F.col("off"))).alias("off"), F.max(F.when(F.col("r") == 1, F.col("count"))).alias("count"), F.max(F.when(F.col("r") == 2, F.col("word"))).alias("second"), F.max(F.when(F.col("r") == 2, F.col("off"))).alias("off2")).where("count > 0")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block: int = 100_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
-
-    A document word is hit if it lies in an occurrence of a window; contaminated: n_hit > 0 and share * n_hit >= n_words.
-    Null and empty texts have no words and are clean; null benchmark texts or ids are left out; an empty benchmark hits
-    nothing. Repeated rows give repeated results; rows that share an id but not a text are kept apart.
-    """
+def _scan(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int, share: int, block: int) -> DataFrame:
+    """contamination() by distinct id and text (h1, h2), with the number of such rows (copies)."""
     found = windows(benchmark, width, item_id, item_text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = rows.select("doc_id", F.xxhash64("t").alias("h1"), F.crc32(F.col("t").cast("binary")).alias("h2"), words("t").alias("v"))
@@ -81,12 +76,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by = hits.groupBy("doc_id", "h1", "h2").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
     covered = F.aggregate(F.array_sort("hits"), zero, lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.e - F.greatest(x.s, a.e))).alias("n"), F.greatest(a.e, x.e).alias("e")), lambda a: a.n)
-    out = by.select("doc_id", "copies", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    out = by.select("doc_id", "h1", "h2", "copies", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block: int = 100_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
+
+    A document word is hit if it lies in an occurrence of a window; contaminated: n_hit > 0 and share * n_hit >= n_words.
+    Null and empty texts have no words and are clean; null benchmark texts or ids are left out; an empty benchmark hits
+    nothing. Repeated rows give repeated results; rows that share an id but not a text are kept apart.
+    """
+    out = _scan(docs, benchmark, doc_id, text, item_id, item_text, width, share, block)
     # repeated rows have met in one group
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("c")).drop("c")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block: int = 100_000) -> DataFrame:
+    """The rows of docs that contamination() does not call contaminated, with their columns."""
+    found = _scan(docs, benchmark, doc_id, text, item_id, item_text, width, share, block)
+    keys = materialize(found.where("contaminated").select(F.col("doc_id").alias("#id"), F.col("h1").alias("#h1"), F.col("h2").alias("#h2")), "contaminated")
+    # a table of numbers: broadcast while it is short
+    keys = F.broadcast(keys) if keys.count() <= 1_000_000 else keys
+    whole = F.coalesce(F.col(text), F.lit(""))
+    same = F.col(doc_id).eqNullSafe(F.col("#id")) & (F.xxhash64(whole) == F.col("#h1")) & (F.crc32(whole.cast("binary")) == F.col("#h2"))
+    return docs.join(keys, same, "left_anti")
+
+
 #: The contract of op7 for DuckDB.
 ORACLE = r"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark WHERE item_id IS NOT NULL),

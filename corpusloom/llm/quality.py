@@ -163,3 +163,15 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
     rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(doc_id).alias("doc_id"), (~in_training(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("#text"))
     out = rows.mapInArrow(run, (fields + ", " if fields else "") + f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, with all their columns."""
+    bits, at = (len(weights) - 2).bit_length(), docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), sent.value, bits) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
