@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusloom.operators import scalar_queries  # noqa: F401
+from corpusloom.operators.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

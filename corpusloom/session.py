@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds: long texts would otherwise fill workers and direct buffers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
