@@ -168,6 +168,6 @@ def adaptive(chunks: DataFrame, low: float = 0.4, share: float = 0.3, fallback_s
 
 
 def overlap_coverage(chunks: DataFrame) -> DataFrame:
-    """Gap from each chunk's end to the next one's start: negative where they overlap."""
+    """Gap from each chunk's end to the next one's start: negative where they overlap, 0 for the last."""
     w = Window.partitionBy("document_id").orderBy("chunk_index")
-    return chunks.select("document_id", "chunk_index", (F.lead("char_start").over(w) - F.col("char_end")).alias("gap"))
+    return chunks.select("document_id", "chunk_index", F.coalesce(F.lead("char_start").over(w) - F.col("char_end"), F.lit(0)).alias("gap"))

@@ -12,6 +12,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _plain_counts(sql: str) -> str:
+    """count_if(x) as a filtered count, whose type is BIGINT."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 0, at + len("count_if")
+        for end in range(end, len(sql)):
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            if not depth:
+                break
+        sql = f"{sql[:at]}count(*) FILTER (WHERE {sql[at + len('count_if(') : end]}){sql[end + 1 :]}"
+    return sql
+
+
 def query(name: str, oracle: str | None = None):
     """Register f(corpus). In the oracle, a leading `WITH base` stands for the corpus tables as CTEs."""
 
@@ -20,6 +32,7 @@ def query(name: str, oracle: str | None = None):
         QUERIES[name].__doc__ = f.__doc__
         if oracle:
             text = oracle.strip()
+            text = _plain_counts(text)
             ORACLES[name] = "WITH RECURSIVE " + CTE + text.removeprefix("WITH base") if text.startswith("WITH base") else text
         return f
 
