@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textops
-from corpusloom.llm.rows import numbered, sized
+from corpusloom.llm.rows import numbered
 from corpusloom.session import materialize
 
 #: Bytes on both sides among which a cut's hash is the least, and bytes that the gear hash remembers.
@@ -153,7 +153,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = materialize(repeated.join(ids, "first"), "repeated")
     found = each.join(repeated, "digest").groupBy("rid").agg(F.collect_list(F.struct("digest", "first", "first_id")).alias("found"))
     # repeats within one text alone need no other row
-    joined = rows.select("row", "rid").join(sized(materialize(found, "found"), 50_000), "rid", "left")
+    joined = rows.select("row", "rid").join(found, "rid", "left")
 
     def clean(batches):
         for batch in batches:
