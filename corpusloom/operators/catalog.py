@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import relational_queries, scalar_queries  # noqa: F401
+from corpusloom.operators import curation, relational_queries, retrieval, scalar_queries  # noqa: F401
 from corpusloom.operators.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
