@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textops
+from corpusloom.session import small_batches
 
 #: Fixed phrases whose every place counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -217,6 +218,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
             found = list(zip(*scanner.scan(batch.column(1)), strict=True)) or [[]] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(found, _TYPES, strict=True))], ["doc_id", *_NAMES])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,last_word:bigint,covered:bigint,template_words:bigint>>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, fields)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(textops.lean(scan), fields)

@@ -172,7 +172,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, text: str, shingle_words: int, te
                 keep.append(10 * both >= tenths * (x[2] + y[2] - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(_texts(pairs, rows, text).mapInArrow(check, "a long, b long"), "links")
+    return materialize(_texts(pairs, rows, text).mapInArrow(textops.lean(check), "a long, b long"), "links")
 
 
 #: Bits of a sketch of what a text lacks of its pivot, in longs of 64.
@@ -215,7 +215,7 @@ def _with_pivots(spread: DataFrame, rows: DataFrame, text: str, shingle_words: i
                 bits.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(beyond, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["a", "beyond", "lacks"])
 
-    compared = _texts(pivots.select("a", "b"), rows, text).mapInArrow(compare, "a long, beyond long, lacks array<long>")
+    compared = _texts(pivots.select("a", "b"), rows, text).mapInArrow(textops.lean(compare), "a long, beyond long, lacks array<long>")
     told = materialize(pivots.join(compared, "a").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "pivot_size", F.greatest(F.lit(0), F.col("beyond") - F.col("own")).alias("extra"), "lacks"), "lacks")
     return materialize(spread.join(told, "node").select("band", "node", "size", "drawn", "common", "pivot", "pivot_size", "extra", "lacks"), "open")
 
@@ -241,7 +241,7 @@ def _own_shingles(ids: DataFrame, rows: DataFrame, text: str, shingle_words: int
                 row, shingle, count = multiset(*textops.shingle_hashes(*textops.word_hashes(data, offsets[lo : hi + 1]), shingle_words))
                 yield pa.RecordBatch.from_arrays([pa.array(rid[lo:hi][row]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], ["node", "shingle", "n"])
 
-    each = texts.mapInArrow(spread, "node long, shingle long, n long")
+    each = texts.mapInArrow(textops.lean(spread), "node long, shingle long, n long")
     alone = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"), F.sum("n").alias("n")).where("holders = 1")
     return alone.groupBy("node").agg(F.sum("n").alias("own"))
 

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.llm import textops
+from corpusloom.session import materialize, small_batches
 
 #: Characters on which the two libraries' patterns surely agree; texts with others go through the slower one.
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
@@ -29,9 +30,8 @@ class Encoder:
 
     def __init__(self, spec: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow, model = Tokenizer.from_str(spec), json.loads(spec)
+        self.spec, self.slow, model = spec, None, json.loads(spec)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -43,6 +43,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if _PLAIN.search(text) or any(x in text for x in self.special):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_str(self.spec)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast(text, disallowed_special=()).astype("<u4", copy=False)
 
@@ -64,6 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     A document is its ids and then end_id; a null text is empty. One longer than capacity is cut so that all pieces but
     the first are full. task and nth number the pieces of one length within the task that made them.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -96,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
 
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<long>' if keep_ids else ''}, task long, nth long"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, fields)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(textops.lean(cut), fields)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

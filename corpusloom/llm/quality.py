@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textops
+from corpusloom.session import small_batches
 
 _b = np.arange(256)
 _letter = ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
@@ -95,14 +96,15 @@ class Ftrl:
 
 
 def train(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int, seed: int = 7) -> np.ndarray:
-    """Weights from rows in the given order, then in shuffled order for further epochs."""
-    model, examples = Ftrl(bits), []
-    for n, place, value, ptr in _rows(texts, bits):
-        examples += [(place[ptr[i] : ptr[i + 1]].astype(np.int32), value[ptr[i] : ptr[i + 1]].astype(np.float32)) for i in range(n)]
-    rng = np.random.default_rng(seed)
-    for epoch in range(epochs):
-        for i in rng.permutation(len(examples)):
-            model.learn(*examples[i], int(labels[i]))
+    """Weights after some passes over the rows, shuffled within slices."""
+    model, rng = Ftrl(bits), np.random.default_rng(seed)
+    # features are made anew in each epoch, slice by slice, so only texts stay in memory
+    for _ in range(epochs):
+        at = 0
+        for n, place, value, ptr in _rows(texts, bits):
+            for i in rng.permutation(n):
+                model.learn(place[ptr[i] : ptr[i + 1]], value[ptr[i] : ptr[i + 1]], int(labels[at + i]))
+            at += n
     return model.weights()
 
 
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         w = train(table["text"].combine_chunks().cast(pa.large_string()), table["label"].to_numpy(), bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(w.astype(np.float32).tobytes(), 1)], pa.binary())], ["w"])
 
-    found = picked.select(F.col("id").cast("string").alias("id"), "text", "label").repartition(1).mapInArrow(learn, "w binary").first()
+    found = picked.select(F.col("id").cast("string").alias("id"), "text", "label").repartition(1).mapInArrow(textops.lean(learn), "w binary").first()
     return np.frombuffer(zlib.decompress(found["w"]), np.float32).astype(np.float64) if found else np.zeros((1 << bits) + 1)
 
 
@@ -149,6 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
 
     Null and empty texts get the score of the bias alone. Repeated rows each get theirs. A null id counts as held out.
     """
+    small_batches(docs.sparkSession)
     bits = (len(weights) - 2).bit_length()
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     kept = [f for f in docs.schema.fields if f.name in carry and f.name not in (doc_id, "held_out", "score", "predicted")]
@@ -161,12 +164,13 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(doc_id).alias("doc_id"), (~in_training(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("#text"))
-    out = rows.mapInArrow(run, (fields + ", " if fields else "") + f"doc_id {kind}, held_out boolean, score double")
+    out = rows.mapInArrow(textops.lean(run), (fields + ", " if fields else "") + f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     bits, at = (len(weights) - 2).bit_length(), docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -174,4 +178,4 @@ def accepted(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), sent.value, bits) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textops.lean(run), docs.schema)

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.llm import textops
+from corpusloom.session import materialize, small_batches
 
 #: A table of so many rows of a few numbers each is broadcast at most; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -31,8 +32,9 @@ def numbered(docs: DataFrame, text: str, make: Callable[[pa.Array], dict[str, pa
             yield pa.RecordBatch.from_arrays([row, pa.array(range(at, at + len(row)), pa.int64()), *made.values()], ["row", "rid", *made])
             at += len(row)
 
+    small_batches(docs.sparkSession)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return materialize(whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, rid long, {fields}"), "rows")
+    return materialize(whole.mapInArrow(textops.lean(run), f"row {whole.schema['row'].dataType.simpleString()}, rid long, {fields}"), "rows")
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -177,7 +177,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(pa.int64()))], ["row", "kept_text", "removed", "shared", "sources"])
 
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.select("row", "rid", "found").mapInArrow(clean, f"row {kind}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<long>")
+    return joined.select("row", "rid", "found").mapInArrow(textops.lean(clean), f"row {kind}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<long>")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textops
+from corpusloom.session import small_batches
+
 #: The library's mark for a space.
 MARK = "▁"
 
@@ -75,6 +78,7 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
 
     with open(model, "rb") as f:
         proto = f.read()
+    small_batches(docs.sparkSession)
     known = frequent(docs, text, SentencePieceProcessor(model_proto=proto).encode, sample_rows, table_size)
     sent = docs.sparkSession.sparkContext.broadcast((proto, known))
 
@@ -91,5 +95,5 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
-    counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(textops.lean(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, scratch_path
+from corpusloom.llm import textops
+from corpusloom.session import materialize, scratch_path, small_batches
 
 #: The line that begins a record.
 MAGIC = "WARC/1.1\r\n"
@@ -169,8 +170,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     hold it, as stated for revisits. verified is false where a record's payload does not match its stated digest. A file
     that is cut short ends with its last record that is whole; one that does not begin with the magic line has none.
     """
+    small_batches(spark)
     raw = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    rows = materialize(raw.mapInArrow(_candidates(keep_payload), "file string, " + _KINDS), "candidates")
+    rows = materialize(raw.mapInArrow(textops.lean(_candidates(keep_payload)), "file string, " + _KINDS), "candidates")
     magic = F.lit(len(MAGIC))
     sums = rows.groupBy("file", "block").agg(F.sum(F.col("size") + magic).alias("bytes"))
     # a few rows a file: one for each byte range that holds a row's start
@@ -217,7 +219,7 @@ def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, ke
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "block", "value", "place"])
 
     files = torn.select("file").distinct()
-    texts = raw.mapInArrow(number, "file string, block long, value string, place long").join(files, "file", "left_semi").join(bases, ["file", "block"])
+    texts = raw.mapInArrow(textops.lean(number), "file string, block long, value string, place long").join(files, "file", "left_semi").join(bases, ["file", "block"])
     texts = texts.select("file", (F.col("base") + F.col("place")).alias("from"), "value")
     spans = torn.select("file", F.col("offset").alias("r"), (F.col("offset") + magic + F.col("header") + F.col("length")).alias("stop"))
     # the rows of one record: no more bytes than it has itself
@@ -239,7 +241,7 @@ def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, ke
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*own, ("got_bytes", long), ("got_digest", text), ("payload", text)]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "parts")
-    return joined.mapInArrow(finish, fields + ", got_bytes long, got_digest string, payload string")
+    return joined.mapInArrow(textops.lean(finish), fields + ", got_bytes long, got_digest string, payload string")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_id") -> DataFrame:
