@@ -118,7 +118,7 @@ def dup_07(c):
 def dup_08(c):
     """Two factors: a close vector alone is no duplicate; its text must overlap too."""
     v = c.table("embeddings")
-    near = nearest_of(v.where("vec_id % 2 = 1"), v.where("vec_id % 20 = 0"))
+    near = nearest_of(v.where("vec_id % 50 != 0"), v.where("vec_id % 50 = 0"))
     d = c.docs.select("doc_id", T.long_tokens("text").alias("w"))
     j = near.join(d.select(F.col("doc_id").alias("vec_id"), F.col("w").alias("a")), "vec_id").join(d.select(F.col("doc_id").alias("nearest"), F.col("w").alias("b")), "nearest")
     return j.select("vec_id", "nearest", ((F.col("similarity") > 0.3) & (T.jaccard(F.col("a"), F.col("b")) >= 0.1)).alias("duplicate"))
@@ -349,20 +349,20 @@ def cur_09(c):
     return decided(curated(c)).select("document_id", F.coalesce(policy(F.col("provenance"), F.col("decision"), F.col("score")), F.lit(False)).alias("promote"))
 
 
-@query("cur_10", f"WITH {_VEC}, {_NEAREST} SELECT vec_id, nearest, similarity AS max_cosine, (SELECT count(*) FROM v WHERE vec_id % 20 = 0) AS snapshot FROM n")
+@query("cur_10", f"WITH {_VEC}, {_NEAREST} SELECT vec_id, nearest, similarity AS max_cosine, (SELECT count(*) FROM v WHERE vec_id % 50 = 0) AS snapshot FROM n")
 def cur_10(c):
     v = c.table("embeddings")
-    old = v.where("vec_id % 20 = 0")
-    near = nearest_of(v.where("vec_id % 2 = 1"), old)
+    old = v.where("vec_id % 50 = 0")
+    near = nearest_of(v.where("vec_id % 50 != 0"), old)
     return near.join(F.broadcast(old.agg(F.count("*").alias("snapshot"))), F.lit(True)).select("vec_id", "nearest", F.col("similarity").alias("max_cosine"), "snapshot")
 
 
-@query("cur_11", f"WITH {_VEC}, {_NEAREST}, p2 AS (SELECT a.vec_id, max(round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6)) AS s FROM v a, v b WHERE a.vec_id % 2 = 1 AND b.vec_id % 20 = 10 GROUP BY 1) SELECT vec_id, greatest(similarity, s) AS max_cosine FROM n JOIN p2 USING (vec_id)")
+@query("cur_11", f"WITH {_VEC}, {_NEAREST}, p2 AS (SELECT a.vec_id, max(round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6)) AS s FROM v a, v b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 25 AND a.vec_id <> b.vec_id GROUP BY 1) SELECT vec_id, greatest(similarity, s) AS max_cosine FROM n JOIN p2 USING (vec_id)")
 def cur_11(c):
     """Hints refreshed against newer vectors only: the larger similarity stays."""
     v = c.table("embeddings")
-    new = v.where("vec_id % 2 = 1")
-    old, newer = nearest_of(new, v.where("vec_id % 20 = 0")), nearest_of(new, v.where("vec_id % 20 = 10"))
+    new = v.where("vec_id % 50 != 0")
+    old, newer = nearest_of(new, v.where("vec_id % 50 = 0")), nearest_of(new, v.where("vec_id % 50 = 25"))
     return old.join(newer.select("vec_id", F.col("similarity").alias("s")), "vec_id").select("vec_id", F.greatest("similarity", "s").alias("max_cosine"))
 
 
@@ -517,10 +517,10 @@ def rpt_01(c):
     return d.groupBy("decision").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("document_id")))), ",").alias("examples"))
 
 
-@query("rpt_02", "WITH base SELECT document_id, substr(string_agg(text, chr(10) ORDER BY chunk_index) FILTER (WHERE chunk_index % 2 = 0), 1, 5000) AS text FROM chunks GROUP BY 1")
+@query("rpt_02", "WITH base SELECT document_id, substr(string_agg(text, chr(10) ORDER BY chunk_index), 1, 5000) AS text FROM chunks GROUP BY 1")
 def rpt_02(c):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda s: s.text)
-    return c.chunks.where("chunk_index % 2 = 0").groupBy("document_id").agg(F.substring(F.array_join(parts, "\n"), 1, 5000).alias("text"))
+    return c.chunks.groupBy("document_id").agg(F.substring(F.array_join(parts, "\n"), 1, 5000).alias("text"))
 
 
 @query("rpt_03", f"WITH base, {_CUR}, {_DEC} SELECT 'metadata' AS name, (SELECT count(*) FROM meta) AS n UNION ALL SELECT 'decisions', (SELECT count(*) FROM de) UNION ALL SELECT 'memberships', (SELECT count(*) FROM docs WHERE lang = 'en') UNION ALL SELECT 'promotion_requests', (SELECT count(*) FROM de WHERE decision = 'promote')")

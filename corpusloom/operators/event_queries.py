@@ -170,10 +170,10 @@ def evt_18(c):
     return drain(c.spark, c.sf_dir)
 
 
-@query("evt_19", "WITH base, i AS (SELECT 'doc:' || (doc_id % 100) AS key, substr(text, 1, 20) AS text, doc_id AS at_seq FROM docs UNION ALL SELECT 'conv:' || session_id, substr(content, 1, 20), turn FROM episodes) SELECT key, arg_max(text, at_seq) AS text FROM i GROUP BY 1")
+@query("evt_19", "WITH base, i AS (SELECT 'doc:' || (doc_id % 100) AS key, text, doc_id AS at_seq FROM docs UNION ALL SELECT 'conv:' || session_id, content, turn FROM episodes) SELECT key, arg_max(text, at_seq) AS text FROM i GROUP BY 1")
 def evt_19(c):
-    a = c.docs.select(F.concat(F.lit("doc:"), (F.col("doc_id") % 100).cast("string")).alias("key"), F.substring("text", 1, 20).alias("text"), F.col("doc_id").alias("at_seq"))
-    b = c.episodes.select(F.concat(F.lit("conv:"), F.col("session_id").cast("string")).alias("key"), F.substring("content", 1, 20).alias("text"), F.col("turn").alias("at_seq"))
+    a = c.docs.select(F.concat(F.lit("doc:"), (F.col("doc_id") % 100).cast("string")).alias("key"), F.col("text"), F.col("doc_id").alias("at_seq"))
+    b = c.episodes.select(F.concat(F.lit("conv:"), F.col("session_id").cast("string")).alias("key"), F.col("content").alias("text"), F.col("turn").alias("at_seq"))
     return a.unionByName(b).groupBy("key").agg(F.max_by("text", "at_seq").alias("text"))
 
 

@@ -24,22 +24,24 @@ def flt_02(c):
     return c.docs.where(F.col("document_id") == F.concat(F.lit("doc:"), F.substring(F.sha2(F.lit("42"), 256), 1, 32))).select("document_id", "doc_id", "lang", "n_chars")
 
 
-def nearest(vectors, query_vector, k: int, where=None):
-    """k nearest by Euclidean distance; the filter comes before the cut. Score is the negative distance, ties by id."""
-    base = vectors if where is None else vectors.where(where)
+def nearest(vectors, queries, k: int, where: str):
+    """k nearest of each query by Euclidean distance; the filter comes before the cut. Score is the negative distance."""
+    base = vectors.where(where)
     gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, z: s + z)
-    scored = base.join(F.broadcast(query_vector), F.lit(True)).select("vec_id", (-F.round(F.sqrt(gap), 6)).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+    scored = base.join(F.broadcast(queries), F.lit(True)).select("query_id", "vec_id", (-F.round(F.sqrt(gap), 6)).alias("score"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("r") <= k).drop("r")
 
 
 def _probe(c):
-    return c.table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+    """The stated query set: every row whose id is divisible by 50."""
+    return c.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 0)"
+_VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0)"
 
 
-@query("flt_03", f"WITH {_VEC} SELECT vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+@query("flt_03", f"WITH {_VEC} SELECT query_id, vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE label = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def flt_03(c):
     return nearest(c.table("embeddings"), _probe(c), 10, "label = 3")
 
@@ -128,10 +130,10 @@ def flt_15(c):
     return ranked.where(F.col("n") <= F.element_at(F.array(F.lit(5), F.lit(10), F.lit(5)), F.col("bucket"))).select("doc_id", "bucket")
 
 
-@query("flt_16", "WITH s AS (SELECT DISTINCT source AS name, 'configured' AS kind, true AS active FROM documents UNION ALL SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'added', page_id % 3 <> 0 FROM pages WHERE page_id < 20) SELECT kind, count(*) AS sources, count_if(active) AS active FROM s GROUP BY kind")
+@query("flt_16", "WITH s AS (SELECT DISTINCT source AS name, 'configured' AS kind, true AS active FROM documents UNION ALL SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'added', page_id % 3 <> 0 FROM pages) SELECT kind, count(*) AS sources, count_if(active) AS active FROM s GROUP BY kind")
 def flt_16(c):
     a = c.table("documents").select(F.col("source").alias("name"), F.lit("configured").alias("kind"), F.lit(True).alias("active")).distinct()
-    b = c.table("pages").where("page_id < 20").select(T.host("url"), F.lit("added"), F.col("page_id") % 3 != 0).distinct()
+    b = c.table("pages").select(T.host("url"), F.lit("added"), F.col("page_id") % 3 != 0).distinct()
     return a.union(b).groupBy("kind").agg(F.count("*").alias("sources"), F.count_if("active").alias("active"))
 
 
@@ -176,10 +178,10 @@ def jn_05(c):
     return c.metadata.select("document_id", "title").join(c.sources.select("document_id", "source_url"), "document_id", "left")
 
 
-@query("jn_06", f"WITH {_VEC} SELECT vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE vec_id % 13 <> 0 OR vec_id = 0 ORDER BY score DESC, vec_id LIMIT 8")
+@query("jn_06", f"WITH {_VEC} SELECT query_id, vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE vec_id % 13 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 8")
 def jn_06(c):
     """Only live vectors are ranked, so tombstones can't shrink the result."""
-    return nearest(c.table("embeddings"), _probe(c), 8, "vec_id % 13 <> 0 OR vec_id = 0")
+    return nearest(c.table("embeddings"), _probe(c), 8, "vec_id % 13 <> 0")
 
 
 @query("jn_07", "WITH base, hits AS (SELECT chunk_id FROM chunks WHERE contains(text, 'with')) SELECT chunk_id, text FROM chunks JOIN hits USING (chunk_id) WHERE chunk_index = 0")
@@ -245,18 +247,18 @@ def nearest_of(new, old):
     """For each new vector the most similar old one: (vec_id, nearest, similarity). The old side is the bounded history."""
     from corpusloom.operators.scalar_queries import cosine
 
-    pairs = new.select("vec_id", "embedding").join(F.broadcast(old.select(F.col("vec_id").alias("o"), F.col("embedding").alias("oe"))), F.lit(True))
+    pairs = new.select("vec_id", "embedding").join(F.broadcast(old.select(F.col("vec_id").alias("o"), F.col("embedding").alias("oe"))), F.col("vec_id") != F.col("o"))
     scored = pairs.select("vec_id", "o", F.round(cosine(F.col("embedding"), F.col("oe")), 6).alias("s"))
     return scored.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("o")).alias("n"))).alias("m")).select("vec_id", (-F.col("m.n")).alias("nearest"), F.col("m.s").alias("similarity"))
 
 
 _COS = "round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6)"
-_NEAREST = f"p AS (SELECT a.vec_id, b.vec_id AS o, {_COS} AS s FROM v a, v b WHERE a.vec_id % 2 = 1 AND b.vec_id % 20 = 0), n AS (SELECT vec_id, o AS nearest, s AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) = 1)"
+_NEAREST = f"p AS (SELECT a.vec_id, b.vec_id AS o, {_COS} AS s FROM v a, v b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0), n AS (SELECT vec_id, o AS nearest, s AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) = 1)"
 
 
 def _history(c):
     v = c.table("embeddings")
-    return nearest_of(v.where("vec_id % 2 = 1"), v.where("vec_id % 20 = 0"))
+    return nearest_of(v.where("vec_id % 50 != 0"), v.where("vec_id % 50 = 0"))
 
 
 @query("jn_14", f"WITH {_VEC}, {_NEAREST} SELECT * FROM n")
@@ -391,10 +393,10 @@ def agg_10(c):
     return c.trace.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("agg_11", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, term LIMIT 200")
+@query("agg_11", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1")
 def agg_11(c):
     terms = c.docs.select(F.explode(T.found(F.lower("text"), "[a-z]{4,}")).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(200)
+    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term")
 
 
 @query("agg_12", "WITH base SELECT count(DISTINCT document_id) AS diversity FROM chunks WHERE contains(text, 'tion')")
@@ -587,9 +589,9 @@ def win_14(c):
 # Sort, limit, top-k
 
 
-@query("top_02", "WITH base SELECT chunk_id, chunk_index FROM chunks ORDER BY chunk_index DESC, chunk_id LIMIT 50")
+@query("top_02", "WITH base SELECT chunk_id, chunk_index FROM chunks")
 def top_02(c):
-    return c.chunks.select("chunk_id", "chunk_index").orderBy(F.desc("chunk_index"), "chunk_id").limit(50)
+    return c.chunks.select("chunk_id", "chunk_index").orderBy("chunk_index", "chunk_id")
 
 
 @query("top_03", "WITH base SELECT session_id, turn, content FROM episodes QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 3")
@@ -598,13 +600,13 @@ def top_03(c):
     return c.episodes.withColumn("r", F.row_number().over(w)).where("r <= 3").select("session_id", "turn", "content")
 
 
-@query("top_04", f"WITH {_VEC}, s AS (SELECT vec_id, label, round(list_dot_product(e, q), 6) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 30), d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1) SELECT vec_id, label, score FROM d ORDER BY score DESC, vec_id LIMIT 10")
+@query("top_04", f"WITH {_VEC}, s AS (SELECT query_id, vec_id, label, round(list_dot_product(e, q), 6) AS score FROM v, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 30), d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) = 1) SELECT query_id, vec_id, label, score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def top_04(c):
     """Three times as many as asked for, then the best of each document, then the cut."""
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    s = c.table("embeddings").join(F.broadcast(_probe(c)), F.lit(True)).select("vec_id", "label", F.round(dot, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(30)
-    best = s.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("r = 1")
-    return best.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "label", "score")
+    s = c.table("embeddings").join(F.broadcast(_probe(c)), F.lit(True)).select("query_id", "vec_id", "label", F.round(dot, 6).alias("score"))
+    cut = lambda df, k, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k).drop("r")
+    return cut(cut(cut(s, 30, "query_id"), 1, "query_id", "label"), 10, "query_id")
 
 
 def representatives(vectors, key: str = "label", most: int = 5):

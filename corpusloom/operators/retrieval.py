@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.registry import query
 from corpusloom.operators.scalar_queries import cosine
+from corpusloom.session import materialize
 
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
@@ -28,13 +29,18 @@ def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: floa
     words = texts.select(*prefix, key, T.found(F.lower("text"), pattern).alias("w"))
     stats = words.groupBy(*prefix).agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl"))
     terms = queries.select(*on).distinct()
-    post = words.select(*prefix, key, F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, on, "left_semi").groupBy(*prefix, "term", key, "len").agg(F.count("*").alias("tf"))
+    each = words.select(*prefix, key, F.size("w").alias("len"), F.explode_outer("w").alias("term")).join(terms, on, "left_semi")
+    if not prefix:
+        # one exchange, on the key, serves the counts of terms and the sums of scores
+        each = each.repartition(F.col(key))
+    post = each.groupBy(key, *prefix, "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy(*on).agg(F.count("*").alias("df"))
-    stated = df.join(stats, list(prefix)) if prefix else df.join(F.broadcast(stats), F.lit(True))
+    stated = queries.join(df, on)
+    # a batch of queries is bounded, so it goes to the postings
+    stated = stated.join(stats, list(prefix)) if prefix else F.broadcast(stated.join(F.broadcast(stats), F.lit(True)))
     tf, norm = F.col("tf"), 1 - b + b * F.col("len") / F.col("avgdl")
     weight = BM25_STYLES[style](F.col("N"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * norm)
-    hits = queries.join(post, on).join(stated, on)
-    return hits.groupBy(*prefix, query_id, key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return post.join(stated, on).groupBy(*prefix, query_id, key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def ranked(hits: DataFrame, by: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -100,23 +106,23 @@ def ret_02(c):
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))).where("r <= 5").select("item_id", "chunk_id", "document_id", "score")
 
 
-@query("ret_03", "WITH base, q AS (SELECT document_id, unnest(list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[\\p{L}\\p{N}_]+'))) AS term FROM docs), tk AS (SELECT document_id, chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM chunks), st AS (SELECT document_id, count(*) AS n, avg(len(w)) AS avgdl FROM tk GROUP BY 1), po AS (SELECT document_id, term, chunk_id, len, count(*) AS tf FROM (SELECT document_id, chunk_id, len(w) AS len, unnest(w) AS term FROM tk) GROUP BY ALL), df AS (SELECT document_id, term, count(*) AS df FROM po GROUP BY ALL) SELECT document_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (document_id, term) JOIN df USING (document_id, term) JOIN st USING (document_id) GROUP BY ALL")
+@query("ret_03", "WITH base, q AS (SELECT document_id, unnest(list_distinct(regexp_extract_all(lower(regexp_extract(text, '^[^\\n]*')), '[\\p{L}\\p{N}_]+'))) AS term FROM docs), tk AS (SELECT document_id, chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM chunks), st AS (SELECT document_id, count(*) AS n, avg(len(w)) AS avgdl FROM tk GROUP BY 1), po AS (SELECT document_id, term, chunk_id, len, count(*) AS tf FROM (SELECT document_id, chunk_id, len(w) AS len, unnest(w) AS term FROM tk) GROUP BY ALL), df AS (SELECT document_id, term, count(*) AS df FROM po GROUP BY ALL) SELECT document_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (document_id, term) JOIN df USING (document_id, term) JOIN st USING (document_id) GROUP BY ALL")
 def ret_03(c):
-    """BM25 within each document: its blocks against its own first words."""
-    q = c.docs.select("document_id", F.explode(F.array_distinct(T.found(F.lower(F.substring("text", 1, 60)), T.WORD))).alias("term"))
+    """BM25 within each document: its blocks against its own first line."""
+    q = c.docs.select("document_id", F.explode(F.array_distinct(T.found(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)), T.WORD))).alias("term"))
     hits = bm25(c.chunks, "chunk_id", q.withColumn("q", F.lit(0)), "q", 1.5, 0.75, prefix=("document_id",))
     return hits.select("document_id", "chunk_id", "score")
 
 
-_DENSE = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id < 20)"
+_DENSE = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0)"
 _D = "den AS (SELECT query_id, vec_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS score FROM v, q WHERE vec_id <> query_id), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM den QUALIFY rank <= 30)"
 _S = "spa AS (SELECT query_id, vec_id, round(list_dot_product(e[1:16], q[1:16]), 6) AS score FROM v, q WHERE vec_id <> query_id), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM spa QUALIFY rank <= 30)"
 
 
 def _vector_pairs(c) -> DataFrame:
-    """The query vectors are a stated, bounded set: broadcast against all rows."""
+    """The query vectors are a stated set (ids divisible by 50), broadcast against all rows."""
     v = c.table("embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
 
 
@@ -270,11 +276,11 @@ def hops(clusters: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     return seen
 
 
-@query("ret_16", "WITH base, cl AS (SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN CAST(substr(source, 4) AS INTEGER) > 0 THEN (CAST(substr(source, 4) AS INTEGER) - 1) // 3 END AS parent FROM docs), ed AS (SELECT a.cluster AS x, b.cluster AS y FROM cl a JOIN cl b ON a.cluster <> b.cluster AND (a.parent = b.cluster OR b.parent = a.cluster OR a.parent = b.parent)), h1 AS (SELECT x AS seed, y AS cluster FROM ed WHERE x IN (4, 9)), h2 AS (SELECT DISTINCT h1.seed, ed.y AS cluster FROM h1 JOIN ed ON ed.x = h1.cluster WHERE ed.y <> h1.seed AND (h1.seed, ed.y) NOT IN (SELECT (seed, cluster) FROM h1)), hp AS (SELECT seed, cluster, 1 AS hop FROM h1 UNION ALL SELECT seed, cluster, 2 FROM h2) SELECT seed, hp.cluster, hop, chunk_id FROM hp JOIN chunks k ON CAST(substr(k.source, 4) AS INTEGER) = hp.cluster QUALIFY row_number() OVER (PARTITION BY seed, hp.cluster ORDER BY document_id, chunk_index) <= 5")
+@query("ret_16", "WITH base, cl AS (SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN CAST(substr(source, 4) AS INTEGER) > 0 THEN (CAST(substr(source, 4) AS INTEGER) - 1) // 3 END AS parent FROM docs), ed AS (SELECT a.cluster AS x, b.cluster AS y FROM cl a JOIN cl b ON a.cluster <> b.cluster AND (a.parent = b.cluster OR b.parent = a.cluster OR a.parent = b.parent)), h1 AS (SELECT x AS seed, y AS cluster FROM ed), h2 AS (SELECT DISTINCT h1.seed, ed.y AS cluster FROM h1 JOIN ed ON ed.x = h1.cluster WHERE ed.y <> h1.seed AND (h1.seed, ed.y) NOT IN (SELECT (seed, cluster) FROM h1)), hp AS (SELECT seed, cluster, 1 AS hop FROM h1 UNION ALL SELECT seed, cluster, 2 FROM h2) SELECT seed, hp.cluster, hop, chunk_id FROM hp JOIN chunks k ON CAST(substr(k.source, 4) AS INTEGER) = hp.cluster QUALIFY row_number() OVER (PARTITION BY seed, hp.cluster ORDER BY document_id, chunk_index) <= 5")
 def ret_16(c):
     """Two hops over the topic graph, five chunks a neighbour."""
     clusters, members = _graph(c)
-    reached = hops(clusters, clusters.where("cluster IN (4, 9)").select(F.col("cluster").alias("seed"))).where("hop > 0")
+    reached = hops(clusters, clusters.select(F.col("cluster").alias("seed"))).where("hop > 0")
     held = reached.join(members, "cluster").join(c.chunks.select("document_id", "chunk_id", "chunk_index"), "document_id")
     w = Window.partitionBy("seed", "cluster").orderBy("document_id", "chunk_index")
     return held.withColumn("r", F.row_number().over(w)).where("r <= 5").select("seed", "cluster", "hop", "chunk_id")
@@ -350,7 +356,8 @@ pq AS (SELECT e.chunk_id AS item_id, min(rank) FILTER (WHERE r.chunk_id = e.chun
 
 def judged(c) -> DataFrame:
     """Per evaluation query the ranks of its chunk and of its document, null where not found."""
-    ev = synthetic_queries(c)
+    # the sample is bounded and used three times: written once
+    ev = materialize(synthetic_queries(c), "queries")
     hits = ranked(bm25(c.chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id"), "item_id", "chunk_id", 20)
     hits = hits.join(c.chunks.select("chunk_id", F.col("document_id").alias("hit_document")), "chunk_id")
     want = ev.select(F.col("chunk_id").alias("item_id"), "document_id").distinct()
@@ -422,12 +429,12 @@ def claim_support(claims: DataFrame) -> DataFrame:
     return claims.withColumn("score", score).withColumn("numbers_ok", ok).withColumn("level", level)
 
 
-@query("evl_07", "WITH base, cl AS (SELECT item_id, substr(b.text, 1, 90) || ' 12' AS claim, CASE WHEN item_id % 3 = 0 THEN 'x ' || substr(b.text, 20, 200) || ' 12 kg' WHEN item_id % 3 = 1 THEN substr(d.text, 1, 300) ELSE substr(b.text, 1, 60) || ' 12' END AS ev FROM benchmark b JOIN docs d ON d.doc_id = item_id), t AS (SELECT item_id, " + _TK.format(x="claim") + " AS a, " + _TK.format(x="ev") + " AS e, regexp_extract_all(claim, '\\d+(?:[.,]\\d+)?(?:\\s?[%xkKMGbgm]+)?') AS na, regexp_extract_all(ev, '\\d+(?:[.,]\\d+)?(?:\\s?[%xkKMGbgm]+)?') AS ne FROM cl), s AS (SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, e)) / len(a)::DOUBLE END, 4) AS score, len(list_filter(na, lambda x: NOT list_contains(ne, x))) = 0 AS numbers_ok FROM t) SELECT item_id, score, numbers_ok, CASE WHEN NOT numbers_ok THEN CASE WHEN score >= 0.25 THEN 'partial' ELSE 'unsupported' END WHEN score >= 0.35 THEN 'supported' WHEN score >= 0.12 THEN 'partial' ELSE 'unsupported' END AS level FROM s")
+@query("evl_07", "WITH base, cl AS (SELECT item_id, b.text || ' 12' AS claim, CASE WHEN item_id % 3 = 0 THEN 'x ' || b.text || ' 12 kg' WHEN item_id % 3 = 1 THEN d.text ELSE b.text || ' 12' END AS ev FROM benchmark b JOIN docs d ON d.doc_id = item_id), t AS (SELECT item_id, " + _TK.format(x="claim") + " AS a, " + _TK.format(x="ev") + " AS e, regexp_extract_all(claim, '\\d+(?:[.,]\\d+)?(?:\\s?[%xkKMGbgm]+)?') AS na, regexp_extract_all(ev, '\\d+(?:[.,]\\d+)?(?:\\s?[%xkKMGbgm]+)?') AS ne FROM cl), s AS (SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, e)) / len(a)::DOUBLE END, 4) AS score, len(list_filter(na, lambda x: NOT list_contains(ne, x))) = 0 AS numbers_ok FROM t) SELECT item_id, score, numbers_ok, CASE WHEN NOT numbers_ok THEN CASE WHEN score >= 0.25 THEN 'partial' ELSE 'unsupported' END WHEN score >= 0.35 THEN 'supported' WHEN score >= 0.12 THEN 'partial' ELSE 'unsupported' END AS level FROM s")
 def evl_07(c):
     n = F.col("item_id")
     j = c.table("benchmark").join(c.docs.select("doc_id", F.col("text").alias("doc")), n == F.col("doc_id"))
-    evidence = F.when(n % 3 == 0, F.concat(F.lit("x "), F.substring("text", 20, 200), F.lit(" 12 kg"))).when(n % 3 == 1, F.substring("doc", 1, 300)).otherwise(F.concat(F.substring("text", 1, 60), F.lit(" 12")))
-    claims = j.select("item_id", F.concat(F.substring("text", 1, 90), F.lit(" 12")).alias("claim"), F.array(evidence).alias("evidence"))
+    evidence = F.when(n % 3 == 0, F.concat(F.lit("x "), "text", F.lit(" 12 kg"))).when(n % 3 == 1, F.col("doc")).otherwise(F.concat("text", F.lit(" 12")))
+    claims = j.select("item_id", F.concat("text", F.lit(" 12")).alias("claim"), F.array(evidence).alias("evidence"))
     return claim_support(claims).select("item_id", "score", "numbers_ok", "level")
 
 
@@ -462,3 +469,11 @@ def evl_10(c):
         want = ev.select(F.col("chunk_id").alias("item_id"), "document_id").distinct()
         out.append(want.join(hits.withColumn("hit", F.lit(1.0)), ["item_id", "document_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("recall")).select(F.lit(name).alias("chunks"), "recall"))
     return out[0].unionByName(out[1])
+
+
+@query("src_14")
+def src_14(c):
+    """Main content of pages as a source of documents: the selected blocks as Markdown."""
+    from corpusloom.operators.html_blocks import html_06
+
+    return html_06(c)

@@ -29,7 +29,7 @@ _MIME = "CASE WHEN h = '25504446' THEN 'application/pdf' WHEN h = '89504E470D0A1
 @query("src_01")
 def src_01(c):
     """Recursive scan of the input folder itself."""
-    return S.scan(c.spark, f"{c.sf_dir}/benchmark.parquet").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+    return S.scan(c.spark, c.sf_dir).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
 
 
 @query("src_02", "WITH base SELECT document_id FROM docs WHERE doc_id % 4 <> 0 AND lang <> 'es'")
@@ -102,6 +102,13 @@ def src_12(c):
     return pages.select("path", F.size("pages").alias("pages"), "needs_ocr")
 
 
+@query("src_13")
+def src_13(c):
+    """Another page parser on the same plug: pages end at blank lines."""
+    f = c.docs.select(F.col("document_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return S.parse(f, lambda b: [p for p in b.decode("utf-8", "ignore").split("\n\n") if p.strip()]).select("path", F.size("pages").alias("pages"), "needs_ocr")
+
+
 def _feed(c):
     n = F.col("doc_id").cast("string")
     item = F.concat(F.lit("<item><link>https://e.org/"), n, F.lit("</link><title>t"), n, F.lit("</title><pubDate>2024-01-"), F.lpad((1 + F.col("doc_id") % 28).cast("string"), 2, "0"), F.lit("</pubDate></item>"))
