@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textops
 from corpusloom.llm.rows import numbered, sized
 from corpusloom.plans.components import connected_components
-from corpusloom.session import materialize
+from corpusloom.session import drop_scratch, materialize
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -308,10 +308,11 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = rows.select("rid", "size", "bands").join(members.select(F.col("node").alias("rid")), "rid", "left_semi")
     banded = nodes.select(F.col("rid").alias("node"), "size", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    within = materialize(banded.join(shared, "band"), "buckets")
+    buckets = materialize(banded.join(shared, "band"), "buckets")
     # a bucket's centre is the node that meets the most others over all its buckets: the least edited of a group of copies
-    drawn = within.groupBy("node").agg(F.sum("n").alias("drawn"))
-    within = materialize(within.join(drawn, "node").select("band", "node", "size", "drawn"), "drawn")
+    drawn = buckets.groupBy("node").agg(F.sum("n").alias("drawn"))
+    within = materialize(buckets.join(drawn, "node").select("band", "node", "size", "drawn"), "drawn")
+    drop_scratch(buckets)
     centres = within.groupBy("band").agg(F.max(F.struct("drawn", "node")).alias("m")).select("band", F.col("m.node").alias("centre"), F.col("m.drawn").alias("pull"))
     stars = within.join(centres, "band").where("node != centre").groupBy("node", "centre").agg(F.struct(F.count("*").alias("n"), F.max("pull").alias("pull"), F.col("centre")).alias("m")).groupBy("node").agg(F.max("m").alias("m"))
     tested = materialize(stars.select(F.greatest("node", "m.centre").alias("a"), F.least("node", "m.centre").alias("b")).distinct(), "stars")
@@ -322,11 +323,15 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for last in (False, False, True):
         pairs = (_across if last else _to_centres)(_mixed(_labelled(spread, found)), tenths)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
         more = _verify(pairs, rows, text, shingle_words, tenths)
         tested = tested.unionByName(pairs)
         if more.limit(1).count():
             links = links.unionByName(more)
             found = connected_components(links)
+    drop_scratch(within)
+    drop_scratch(spread)
     # classes of one row need no join; of the others, rows carry numbers only
     grouped = members.join(found, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component"))
     large = grouped.groupBy("component").agg(F.sum("n").alias("class_size")).where("class_size > 1")

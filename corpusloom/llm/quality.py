@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,16 +96,21 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int, seed: int = 7) -> np.ndarray:
-    """Weights after some passes over the rows, shuffled within slices."""
+def train(table: pa.Table, bits: int, epochs: int, seed: int = 7, step: int = 500) -> np.ndarray:
+    """Weights after some passes over the rows of (id, text, label), in an order that does not depend on theirs.
+
+    Rows are taken a few at a time and their features made anew in each pass, so only the texts stay in memory.
+    """
     model, rng = Ftrl(bits), np.random.default_rng(seed)
-    # features are made anew in each epoch, slice by slice, so only texts stay in memory
+    order = pc.sort_indices(table, [("id", "ascending"), ("label", "ascending"), ("text", "ascending")]).to_numpy()
     for _ in range(epochs):
-        at = 0
-        for n, place, value, ptr in _rows(texts, bits):
-            for i in rng.permutation(n):
-                model.learn(place[ptr[i] : ptr[i + 1]], value[ptr[i] : ptr[i + 1]], int(labels[at + i]))
-            at += n
+        for at in range(0, len(order), step):
+            part = table.take(pa.array(order[at : at + step]))
+            labels, done = part["label"].to_numpy(), 0
+            for n, place, value, ptr in _rows(part["text"].combine_chunks(), bits):
+                for i in rng.permutation(n):
+                    model.learn(place[ptr[i] : ptr[i + 1]], value[ptr[i] : ptr[i + 1]], int(labels[done + i]))
+                done += n
     return model.weights()
 
 
@@ -119,7 +125,7 @@ def in_training(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = 18, epochs: int = 2, max_rows: int = 12_000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = 18, epochs: int = 2, max_rows: int = 8_000) -> np.ndarray:
     """Train on at most max_rows labelled rows outside the held-out fold, picked by a hash of the id.
 
     The sample is bounded, so one task trains on it and only the weights come to the driver. Null labels and null ids are
@@ -137,9 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         parts = list(batches)
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        table = table.sort_by([("id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-        w = train(table["text"].combine_chunks().cast(pa.large_string()), table["label"].to_numpy(), bits, epochs)
+        w = train(pa.Table.from_batches(parts), bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(w.astype(np.float32).tobytes(), 1)], pa.binary())], ["w"])
 
     found = picked.select(F.col("id").cast("string").alias("id"), "text", "label").repartition(1).mapInArrow(textops.lean(learn), "w binary").first()

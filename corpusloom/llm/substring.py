@@ -7,6 +7,8 @@ repeated chunks of at least min_words words are repeated passages, and all but t
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ RADIUS, WINDOW = 20, 8
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(1, 2**32, 256, dtype=np.uint32)
 _b = np.arange(256)
 _BLANK = (_b <= 32) | (_b == 127)
+#: Words of one removed passage that a row must hold first to be named as its source.
+_SOURCE_WORDS = 10
 _LEAST_BIT = np.uint32(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -122,14 +126,21 @@ def _clean(text: bytes, digest: np.ndarray, words: np.ndarray, start: np.ndarray
     elsewhere = np.array([x is not None for x in info], bool)
     before = np.array([x is not None and x[0] != own for x in info], bool)
     removed = _runs(before | again, words, min_words)
-    sources = sorted({info[k][1] for i, j in removed for k in range(i, j) if before[k] and info[k][1] is not None})
+    sources = set()
+    for i, j in removed:
+        held: Counter = Counter()
+        for k in range(i, j):
+            if before[k] and info[k][1] is not None:
+                held[info[k][1]] += int(words[k])
+        # a lone chunk that another row holds by chance makes it no source
+        sources |= {x for x, n in held.items() if n >= _SOURCE_WORDS}
     kept, at = [], 0
     for i, j in removed:
         kept.append(text[at : start[i]])
         at = int(end[j - 1])
     kept.append(text[at:])
     spans = lambda runs: [{"start": int(start[i]), "end": int(end[j - 1]), "words": int(words[i:j].sum())} for i, j in runs]
-    return b"".join(kept), spans(removed), spans(_runs(elsewhere | again, words, min_words)), sources
+    return b"".join(kept), spans(removed), spans(_runs(elsewhere | again, words, min_words)), sorted(sources)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
@@ -141,7 +152,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     removed are the byte spans (start, end, words) that an earlier row has, or the same row further up; kept_text is the
     text without them. shared also counts passages' first places that other rows repeat. sources are the sorted ids of
-    rows that hold the removed passages' chunks first. Words are runs between blanks. Earlier means: in the order of the
+    rows that hold ten words or more of a removed passage first. Words are runs between blanks. Earlier means: in the order of the
     input's partitions, fixed when its rows are numbered. A null text stays null and is in nothing; texts under min_words
     words are left alone, repeated or not. Ids may be null or repeated. Digests have 64 bits, and a removal needs a run of
     several that agree.
