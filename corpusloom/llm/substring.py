@@ -70,8 +70,8 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     mixed = gear[spots - 1] * np.uint32(0x9E3779B1)
     score[spots] = np.minimum(mixed ^ (mixed >> np.uint32(15)), _NONE - _LEAST_BIT)
     left, right = _sliding_min(score, RADIUS), _sliding_min(score, RADIUS + 1)
-    # strictly less than what stands before, so repeated bytes do not cut everywhere
-    best = (score[spots] < left[spots - RADIUS]) & (score[spots] == right[spots])
+    # ties cut too: text with a period within the radius is cut once a period, wherever its run begins
+    best = (score[spots] <= left[spots - RADIUS]) & (score[spots] == right[spots])
     start = np.union1d(places[best], rows[:-1][np.diff(rows) > 0])
     end = np.append(start[1:], n) if len(start) else start
     return start, end, np.searchsorted(start, rows)

@@ -81,6 +81,16 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
         seen |= set(found)
 
 
+def test_periodic_passages_go_from_any_context(spark):
+    for unit in ("click here now ", "0 ", "home | news | faq "):
+        run = unit * 60
+        contexts = [" ".join(_texts(seed, 6)[0]) for seed in (21, 22, 23)]
+        out = {r.row.doc_id: r.kept_text for r in _run(spark, [(i, f"{c} {run}{c[::-1]}") for i, c in enumerate(contexts)])}
+        # what a cut depends on stays at the ends of the run, and a period of its first place
+        bound = 2 * substring.RADIUS + substring.WINDOW + 3 * len(unit)
+        assert all(t.count(unit) * len(unit) <= bound and contexts[i] in t for i, t in out.items()), unit
+
+
 def test_insertion_shifts_leave_most_chunks():
     texts, _ = _texts(1, 3)
     text = " ".join(texts) * 2
