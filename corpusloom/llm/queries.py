@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    found = _substring.substring_dedup(_table(spark, sf_dir, "documents"), extend=True)
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.words)
     return found.select("row.doc_id", F.col("kept_text").alias("text"), words.alias("removed_words"), "removed", "shared", "sources", (F.size("removed") > 0).alias("has_repeats"))
 

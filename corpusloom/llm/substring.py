@@ -8,6 +8,7 @@ repeated chunks of at least min_words words are repeated passages, and all but t
 from __future__ import annotations
 
 from collections import Counter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textops
-from corpusloom.llm.rows import numbered
+from corpusloom.llm.rows import numbered, sized
 from corpusloom.session import materialize
 
 #: Bytes on both sides among which a cut's hash is the least, and bytes that the gear hash remembers.
@@ -25,6 +26,10 @@ _b = np.arange(256)
 _BLANK = (_b <= 32) | (_b == 127)
 #: Words of one removed passage that a row must hold first to be named as its source.
 _SOURCE_WORDS = 10
+#: Words of agreeing chunks in a row that are extended, and rows with bytes of text in them that are broadcast at most.
+_SEED_WORDS, _TEXT_ROWS = 5, 50_000
+#: Characters of scripts without blanks, each a word: Thai, Lao, Burmese, Khmer, kana, Han.
+_BLANKLESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
 _LEAST_BIT = np.uint32(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -77,19 +82,32 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, rows)
 
 
+def _word_starts(seg: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where a word begins: a run between blanks, or a character of a script without blanks."""
+    blank = _BLANK[seg]
+    first = np.zeros(len(seg), bool)
+    if len(seg):
+        first[1:], first[0] = blank[:-1] & ~blank[1:], not blank[0]
+        first[rows[:-1][np.diff(rows) > 0]] = True
+        first &= ~blank
+    lead = np.flatnonzero(seg >= 0xE0)
+    if len(lead):
+        b = [seg[np.minimum(lead + k, len(seg) - 1)].astype(np.int32) for k in range(3)]
+        code = (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+        alone = (b[0] == 0xF0) & (b[1] >= 0xA0)
+        for lo, hi in _BLANKLESS:
+            alone |= (b[0] < 0xF0) & (code >= lo) & (code <= hi)
+        first[lead[alone]] = True
+    return first
+
+
 def chunks(column: pa.Array):
     """For each slice of rows: first row, digests, word counts, starts and ends within the row, and the rows' chunk ranges."""
     data, offsets = textops.buffers(column)
     for lo, hi in textops.slices(offsets):
         seg, rows = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         start, end, ptr = cuts(seg, rows)
-        blank = _BLANK[seg]
-        first = np.zeros(len(seg), bool)
-        if len(seg):
-            first[1:], first[0] = blank[:-1] & ~blank[1:], not blank[0]
-            first[rows[:-1][np.diff(rows) > 0]] = True
-            first &= ~blank
-        words = np.concatenate([[0], np.cumsum(first)])
+        words = np.concatenate([[0], np.cumsum(_word_starts(seg, rows))])
         base = np.repeat(rows[:-1], np.diff(ptr))
         yield lo, textops.hash_spans(seg, start, end), words[end] - words[start], start - base, end - base, ptr
 
@@ -111,6 +129,96 @@ def _digests(column: pa.Array) -> dict[str, pa.Array]:
     return {"digests": pa.ListArray.from_arrays(pa.array(ptr), pa.array(flat.view(np.int64)))}
 
 
+def _sequences(column: pa.Array) -> dict[str, pa.Array]:
+    """Digests and word counts of each text's chunks, in order."""
+    parts = [(digest, words, np.diff(ptr)) for _, digest, words, _, _, ptr in chunks(column)]
+    digest, words, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ptr = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return {"digests": pa.ListArray.from_arrays(ptr, pa.array(digest.view(np.int64))), "words": pa.ListArray.from_arrays(ptr, pa.array(words.astype(np.int32)))}
+
+
+def _asked(batches):
+    """For rid, digests, words, found: the digests at the ends of agreeing runs whose first place is in an earlier row, with its number."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        rid = batch.column(0).to_numpy()
+        digest, words, known = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(3).flatten()
+        row, of = (np.repeat(np.arange(len(rid)), batch.column(k).value_lengths().to_numpy()) for k in (1, 3))
+        salt = textops.mix(np.arange(1, len(rid) + 1))
+        key, have = digest.view(np.uint64) ^ salt[row], known.field(0).to_numpy().view(np.uint64) ^ salt[of]
+        order = np.argsort(have)
+        have, source = have[order], known.field(1).to_numpy()[order]
+        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+        before = (have[at] == key) & (source[at] < rid[row])
+        again = np.ones(len(key), bool)
+        again[np.unique(key, return_index=True)[1]] = False
+        flag, new = before | again, np.ones(len(key) + 1, bool)
+        new[1:-1] = row[1:] != row[:-1]
+        start = np.flatnonzero(flag & (new[:-1] | ~np.append(False, flag[:-1])))
+        last = np.flatnonzero(flag & (new[1:] | ~np.append(flag[1:], False)))
+        total = np.concatenate([[0], np.cumsum(words)])
+        long = total[last + 1] - total[start] >= _SEED_WORDS
+        ends = np.unique(np.concatenate([start[long], last[long]]))
+        ends = ends[before[ends]]
+        yield pa.RecordBatch.from_arrays([pa.array(rid[row[ends]]), pa.array(digest[ends]), pa.array(source[at[ends]])], ["rid", "digest", "first"])
+
+
+def _bounds(k: int, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
+    """Bytes around chunk k that can agree where the chunks beside it do not: a cut further off would agree too."""
+    return max(0, int(start[max(k - 1, 0)]) - RADIUS - WINDOW), min(int(end[-1]), int(end[min(k + 1, len(end) - 1)]) + RADIUS + 1)
+
+
+def _around(batches):
+    """For text and some of its digests: what stands on both sides of the first chunk with each."""
+    for batch in batches:
+        out = []
+        for lo, digest, _, start, end, ptr in chunks(batch.column(0)):
+            for i in range(len(ptr) - 1):
+                part = slice(int(ptr[i]), int(ptr[i + 1]))
+                raw, s, e, own = batch.column(0)[lo + i].as_py().encode(), start[part], end[part], digest[part].view(np.int64)
+                for d in batch.column(1)[lo + i].as_py():
+                    k = int(np.argmax(own == d))
+                    left, right = _bounds(k, s, e)
+                    out.append((d, raw[left : s[k]], raw[e[k] : right]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["digest", "left", "right"])
+
+
+def _extended(text: bytes, runs: list[tuple[int, int]], digest: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, around: dict[int, tuple[bytes, bytes]], min_words: int):
+    """Runs (chunks i to j, bytes a to b, words) that reach over whole words as far as they agree with a first place.
+
+    Kept are those of min_words in agreeing chunks or twice that in all.
+    """
+    data = np.frombuffer(text, np.uint8)
+    total = np.concatenate([[0], np.cumsum(_word_starts(data, np.array([0, len(data)])))])
+    same = lambda x, y: len(commonprefix([x, y]))
+    found: list[list[int]] = []
+    for i, j in runs:
+        a, b = int(start[i]), int(end[j - 1])
+        low, high = _bounds(i, start, end)[0], _bounds(j - 1, start, end)[1]
+        left, right = text[low:a][::-1], text[b:high]
+        reach = [around.get(int(digest[k].view(np.int64)), (b"", b"")) for k in (i, j - 1)]
+        back, ahead = same(left, reach[0][0][::-1]), same(right, reach[1][1])
+        if place[i] != i:
+            back = max(back, same(left, text[max(0, start[place[i]] - len(left)) : start[place[i]]][::-1]))
+        if place[j - 1] != j - 1:
+            at = end[place[j - 1]]
+            ahead = max(ahead, same(right, text[at : at + len(right)]))
+        a0, b0, a, b = a, b, a - back, b + ahead
+        while a < a0 and not (a == 0 or _BLANK[data[a - 1]] or data[a] >= 0xE0):
+            a += 1
+        while b > b0 and not (b == len(data) or _BLANK[data[b - 1]] or _BLANK[data[b]] or data[b] >= 0xE0):
+            b -= 1
+        agreed = int(words[i:j].sum())
+        if found and a <= found[-1][3]:
+            p = found[-1]
+            p[1], p[3], p[4] = j, max(b, p[3]), max(agreed, p[4])
+        else:
+            found.append([i, j, a, b, agreed])
+    counted = [(i, j, a, b, int(total[b] - total[a]), agreed) for i, j, a, b, agreed in found]
+    return [x[:5] for x in counted if x[5] >= min_words or x[4] >= 2 * min_words], total
+
+
 def _runs(flag: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     """Runs [i, j) of flagged chunks with at least so many words."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8)))
@@ -118,16 +226,28 @@ def _runs(flag: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int
     return [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True) if total[j] - total[i] >= min_words]
 
 
-def _clean(text: bytes, digest: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, shared: dict[int, int | None], own: int, min_words: int):
+def _clean(text: bytes, digest: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, shared: dict[int, int | None], own: int, min_words: int, around: dict[int, tuple[bytes, bytes]] | None = None):
     """Kept bytes, removed spans and shared spans (start, end), and the ids that the removed passages come from."""
     _, first, group = np.unique(digest, return_index=True, return_inverse=True)
     again = first[group] != np.arange(len(digest))
     info = [shared.get(int(d)) for d in digest.view(np.int64)]
     elsewhere = np.array([x is not None for x in info], bool)
     before = np.array([x is not None and x[0] != own for x in info], bool)
-    removed = _runs(before | again, words, min_words)
+    found = lambda flag: [(i, j, int(start[i]), int(end[j - 1]), int(words[i:j].sum())) for i, j in _runs(flag, words, min_words)]
+    both = found(elsewhere | again)
+    if around is None:
+        removed = found(before | again)
+    else:
+        removed, total = _extended(text, _runs(before | again, words, _SEED_WORDS), digest, words, start, end, first[group], around, min_words)
+        merged: list[list[int]] = []
+        for a, b in sorted([x[2:4] for x in removed] + [x[2:4] for x in both]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        both = [(0, 0, a, b, int(total[b] - total[a])) for a, b in merged]
     sources = set()
-    for i, j in removed:
+    for i, j, *_ in removed:
         held: Counter = Counter()
         for k in range(i, j):
             if before[k] and info[k][1] is not None:
@@ -135,36 +255,51 @@ def _clean(text: bytes, digest: np.ndarray, words: np.ndarray, start: np.ndarray
         # a lone chunk that another row holds by chance makes it no source
         sources |= {x for x, n in held.items() if n >= _SOURCE_WORDS}
     kept, at = [], 0
-    for i, j in removed:
-        kept.append(text[at : start[i]])
-        at = int(end[j - 1])
+    for _, _, a, b, _ in removed:
+        kept.append(text[at:a])
+        at = b
     kept.append(text[at:])
-    spans = lambda runs: [{"start": int(start[i]), "end": int(end[j - 1]), "words": int(words[i:j].sum())} for i, j in runs]
-    return b"".join(kept), spans(removed), spans(_runs(elsewhere | again, words, min_words)), sorted(sources)
+    spans = lambda runs: [{"start": a, "end": b, "words": n} for _, _, a, b, n in runs]
+    return b"".join(kept), spans(removed), spans(both), sorted(sources)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
 _SPANS_SQL = "array<struct<start:bigint,end:bigint,words:bigint>>"
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25, extend: bool = False) -> DataFrame:
     """row (a struct of all columns), kept_text, removed, shared, sources for each row of docs.
 
     removed are the byte spans (start, end, words) that an earlier row has, or the same row further up; kept_text is the
     text without them. shared also counts passages' first places that other rows repeat. sources are the sorted ids of
-    rows that hold ten words or more of a removed passage first. Words are runs between blanks. Earlier means: in the order of the
+    rows that hold ten words or more of a removed passage first. Words are runs between blanks, and
+    single characters of scripts without blanks. Earlier means: in the order of the
     input's partitions, fixed when its rows are numbered. A null text stays null and is in nothing; texts under min_words
     words are left alone, repeated or not. Ids may be null or repeated. Digests have 64 bits, and a removal needs a run of
     several that agree.
+
+    With extend, runs of a few words or more grow over whole words as far as their bytes agree with the first place of the
+    chunk at either end, and go if they have min_words in agreeing chunks or twice as many in all. First places that fall
+    short of min_words in agreeing chunks are then not in shared.
     """
-    rows = numbered(docs, text, _digests, "digests array<long>")
-    each = rows.select("rid", F.explode_outer("digests").alias("digest")).where("digest IS NOT NULL")
+    rows = numbered(docs, text, _sequences, "digests array<long>, words array<int>") if extend else numbered(docs, text, _digests, "digests array<long>")
+    each = rows.select("rid", F.explode_outer(F.array_distinct("digests") if extend else "digests").alias("digest")).where("digest IS NOT NULL")
     repeated = each.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     ids = rows.select(F.col("rid").alias("first"), F.col(f"row.`{doc_id}`").cast("long").alias("first_id"))
     repeated = materialize(repeated.join(ids, "first"), "repeated")
     found = each.join(repeated, "digest").groupBy("rid").agg(F.collect_list(F.struct("digest", "first", "first_id")).alias("found"))
     # repeats within one text alone need no other row
     joined = rows.select("row", "rid").join(found, "rid", "left")
+    if extend:
+        found = materialize(found, "found")
+        joined = rows.select("row", "rid").join(found, "rid", "left")
+        plain = rows.select("rid", "digests", "words").join(found, "rid").select("rid", "digests", "words", F.transform("found", lambda x: F.struct(x["digest"], x["first"])).alias("found"))
+        asked = materialize(plain.mapInArrow(textops.lean(_asked), "rid long, digest long, first long"), "asked")
+        owners = materialize(asked.select("first", "digest").distinct().groupBy(F.col("first").alias("rid")).agg(F.collect_list("digest").alias("mine")), "owners")
+        sides = rows.select("rid", F.col(f"row.`{text}`").alias("text")).join(sized(owners), "rid").select("text", "mine")
+        sides = materialize(sides.mapInArrow(textops.lean(_around), "digest long, left binary, right binary"), "sides")
+        near = asked.join(sized(sides, _TEXT_ROWS), "digest").groupBy("rid").agg(F.collect_list(F.struct("digest", "left", "right")).alias("around"))
+        joined = joined.join(near, "rid", "left")
 
     def clean(batches):
         for batch in batches:
@@ -179,7 +314,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         kept, gone, both, origin = own.as_py(), [], [], []
                     else:
                         known = {x["digest"]: (x["first"], x["first_id"]) for x in known}
-                        kept, gone, both, origin = _clean(own.as_py().encode(), digest[a:b], words[a:b], start[a:b], end[a:b], known, rid[lo + i].as_py(), min_words)
+                        near = {x["digest"]: (x["left"], x["right"]) for x in batch.column(3)[lo + i].as_py() or []} if extend else None
+                        kept, gone, both, origin = _clean(own.as_py().encode(), digest[a:b], words[a:b], start[a:b], end[a:b], known, rid[lo + i].as_py(), min_words, near)
                         kept = kept.decode()
                     texts.append(kept)
                     removed.append(gone)
@@ -188,7 +324,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(pa.int64()))], ["row", "kept_text", "removed", "shared", "sources"])
 
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.select("row", "rid", "found").mapInArrow(textops.lean(clean), f"row {kind}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<long>")
+    return joined.select("row", "rid", "found", *(["around"] if extend else [])).mapInArrow(textops.lean(clean), f"row {kind}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<long>")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:

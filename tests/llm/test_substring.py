@@ -91,6 +91,29 @@ def test_periodic_passages_go_from_any_context(spark):
         assert all(t.count(unit) * len(unit) <= bound and contexts[i] in t for i, t in out.items()), unit
 
 
+def test_short_passages_go_whole_when_extended(spark):
+    rng = random.Random(5)
+    words = lambda n, hi: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, hi))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        hi = 3 if k < 40 else 9
+        passage, (a, b, c, d) = words(51, hi), (words(30, hi) for _ in range(4))
+        rows += [(2 * k, f"{a} {passage} {b}"), (2 * k + 1, f"{c} {passage} {d}")]
+        want[2 * k + 1] = f"{c} {d}"
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    passage, (a, b, c, d) = han(120), (han(60) for _ in range(4))
+    rows += [(200, a + passage + b), (201, c + passage + d), (202, words(30, 5)), (None, None)]
+    want[201] = c + d
+    out = {r.row.doc_id: r for r in _run(spark, rows, extend=True)}
+    texts = dict(rows)
+    assert all(out[i].kept_text == texts[i] for i in texts if i not in want)
+    # a word that also stands next to the first place by chance may go too
+    whole = [i for i, t in want.items() if len(t) - 4 <= len("".join(out[i].kept_text)) <= len(t) + 1]
+    assert len(whole) >= len(want) - 1 and 201 in whole
+    plain = {r.row.doc_id: r for r in _run(spark, rows)}
+    assert sum(not plain[i].removed for i in want) > 3
+
+
 def test_insertion_shifts_leave_most_chunks():
     texts, _ = _texts(1, 3)
     text = " ".join(texts) * 2
