@@ -1,13 +1,16 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
-
-A chunk begins at a word start whose gear hash (over the bytes just before it) is the least within a radius, so cuts
-depend on nearby bytes alone and come back right after an insertion. Chunks are compared by digest over all documents; runs of
-repeated chunks of at least min_words words are repeated passages, and all but their first places are cut out.
+"""Substring dedup: content-defined windows by a gear rolling hash, deduplicated by digest.
+
+A cut is a word start whose gear hash (over the bytes just before it) is the least within a radius, so cuts depend on
+nearby bytes alone and come back right after an insertion. From each cut a variable chunk, the window, reaches to the
+first cut that gives it a number of words. Windows are compared by digest over all documents: a repeated one is a run of
+words that a single earlier text holds. Windows of one text that agree with the same source at the same distance form a
+passage, which is grown by the source's bytes, over whole words. Passages of min_words words or more are cut out of all
+but their first place, so nothing goes that no single earlier place holds as a whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from os.path import commonprefix
 
 import numpy as np
@@ -21,17 +24,20 @@ from corpusloom.session import materialize
 
 #: Bytes on both sides among which a cut's hash is the least, and bytes that the gear hash remembers.
 RADIUS, WINDOW = 20, 8
+#: Words that a window has at least: fewer where they are short, so that 50 words hold a window at any cut.
+SEED_WORDS, SHORT_WORDS, SHORT_BYTES = 24, 16, 96
+#: Words of a run of windows that is told as shared.
+SHARED_WORDS = 25
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(1, 2**32, 256, dtype=np.uint32)
 _b = np.arange(256)
 _BLANK = (_b <= 32) | (_b == 127)
-#: Words of one removed passage that a row must hold first to be named as its source.
-_SOURCE_WORDS = 10
-#: Words of agreeing chunks in a row that are extended, and rows with bytes of text in them that are broadcast at most.
-_SEED_WORDS, _TEXT_ROWS = 5, 50_000
 #: Characters of scripts without blanks, each a word: Thai, Lao, Burmese, Khmer, kana, Han.
 _BLANKLESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
-_LEAST_BIT = np.uint32(1)
 _NONE = np.uint32(0xFFFFFFFF)
+#: Bytes of a source are asked for in blocks of 2^_BLOCK; so many blocks are broadcast at most.
+_BLOCK, _BLOCK_ROWS = 8, 100_000
+#: Largest values of the packed fields: bytes before and after a window, words beyond SHORT_WORDS.
+_SIDE, _MORE = (1 << 12) - 1, (1 << 8) - 1
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,7 +56,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunk starts and ends in data, cut at row starts, and where each row's chunks begin in them."""
+    """Starts and ends of the pieces between cuts in data, cut at row starts, and where each row's pieces begin in them."""
     n, k = len(data), len(rows) - 1
     pad = RADIUS + WINDOW
     of = np.repeat(np.arange(k), np.diff(rows))
@@ -63,7 +69,7 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         more = gear.copy()
         more[have:] += gear[:-have] << np.uint32(have)
         gear, have = more, have * 2
-    # a chunk may start at a word, or at any character of scripts without blanks
+    # a cut may be at a word, or at any character of scripts without blanks
     blank = _BLANK[data]
     word = np.zeros(n, bool)
     if n:
@@ -73,7 +79,7 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     places = np.flatnonzero(word)
     spots = at[places]
     mixed = gear[spots - 1] * np.uint32(0x9E3779B1)
-    score[spots] = np.minimum(mixed ^ (mixed >> np.uint32(15)), _NONE - _LEAST_BIT)
+    score[spots] = np.minimum(mixed ^ (mixed >> np.uint32(15)), _NONE - np.uint32(1))
     left, right = _sliding_min(score, RADIUS), _sliding_min(score, RADIUS + 1)
     # ties cut too: text with a period within the radius is cut once a period, wherever its run begins
     best = (score[spots] <= left[spots - RADIUS]) & (score[spots] == right[spots])
@@ -82,14 +88,18 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, rows)
 
 
-def _word_starts(seg: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where a word begins: a run between blanks, or a character of a script without blanks."""
-    blank = _BLANK[seg]
+def word_starts(seg: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where a word begins: a run between blanks, a run of word bytes, or a character of a script without blanks.
+
+    So a passage has no fewer words than by any of these counts.
+    """
     first = np.zeros(len(seg), bool)
-    if len(seg):
-        first[1:], first[0] = blank[:-1] & ~blank[1:], not blank[0]
-        first[rows[:-1][np.diff(rows) > 0]] = True
-        first &= ~blank
+    edge = rows[:-1][np.diff(rows) > 0]
+    for inside in (~_BLANK[seg], textops.WORD[seg]):
+        if len(seg):
+            begins = np.append(True, ~inside[:-1])
+            begins[edge] = True
+            first |= begins & inside
     lead = np.flatnonzero(seg >= 0xE0)
     if len(lead):
         b = [seg[np.minimum(lead + k, len(seg) - 1)].astype(np.int32) for k in range(3)]
@@ -101,230 +111,299 @@ def _word_starts(seg: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return first
 
 
-def chunks(column: pa.Array):
-    """For each slice of rows: first row, digests, word counts, starts and ends within the row, and the rows' chunk ranges."""
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def windows(column: pa.Array):
+    """For each slice of rows: row, digest, packed place and shape of its windows; and a digest of each whole text.
+
+    at: first byte << 32 | words before it. shape: bytes << 32, and 12 bits of the bytes before and 12 of those after it
+    to which a source can agree where the windows beside it do not (a cut further off would agree too), and 8 bits of its
+    words beyond SHORT_WORDS.
+    """
     data, offsets = textops.buffers(column)
     for lo, hi in textops.slices(offsets):
         seg, rows = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         start, end, ptr = cuts(seg, rows)
-        words = np.concatenate([[0], np.cumsum(_word_starts(seg, rows))])
-        base = np.repeat(rows[:-1], np.diff(ptr))
-        yield lo, textops.hash_spans(seg, start, end), words[end] - words[start], start - base, end - base, ptr
-
-
-def _digests(column: pa.Array) -> dict[str, pa.Array]:
-    """Distinct digests of each text."""
-    values, counts = [], []
-    for _, digest, _, _, _, ptr in chunks(column):
-        row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-        order = np.lexsort((digest, row))
-        row, digest = row[order], digest[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
-        values.append(digest[new])
-        counts.append(np.bincount(row[new], minlength=len(ptr) - 1))
-    counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    ptr = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return {"digests": pa.ListArray.from_arrays(pa.array(ptr), pa.array(flat.view(np.int64)))}
-
-
-def _sequences(column: pa.Array) -> dict[str, pa.Array]:
-    """Digests and word counts of each text's chunks, in order."""
-    parts = [(digest, words, np.diff(ptr)) for _, digest, words, _, _, ptr in chunks(column)]
-    digest, words, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    ptr = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    return {"digests": pa.ListArray.from_arrays(ptr, pa.array(digest.view(np.int64))), "words": pa.ListArray.from_arrays(ptr, pa.array(words.astype(np.int32)))}
-
-
-def _asked(batches):
-    """For rid, digests, words, found: the digests at the ends of agreeing runs whose first place is in an earlier row, with its number."""
-    for batch in batches:
-        if not len(batch):
+        up, down = _powers(len(start))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.hash_spans(seg, start, end) * up[:-1])])
+        whole = textops.mix((prefix[ptr[1:]] - prefix[ptr[:-1]]) * down[ptr[:-1]] + np.diff(rows).astype(np.uint64))
+        total = np.concatenate([[0], np.cumsum(word_starts(seg, rows))])
+        of = np.repeat(np.arange(hi - lo), np.diff(ptr))
+        last, soon = (np.searchsorted(total[end], total[start] + n) if len(start) else start for n in (SEED_WORDS, SHORT_WORDS))
+        close = np.minimum(soon, len(end) - 1)
+        last = np.where((soon < ptr[1:][of]) & (end[close] - start <= SHORT_BYTES), soon, last)
+        some = np.flatnonzero(last < ptr[1:][of])
+        last, of = last[some], of[some]
+        digest = textops.mix((prefix[last + 1] - prefix[some]) * down[some] + (last - some).astype(np.uint64))
+        a, b, head, tail = start[some], end[last], rows[:-1][of], rows[1:][of]
+        before = np.minimum(a - head, a - start[np.maximum(some - 1, ptr[:-1][of])] + RADIUS + WINDOW)
+        after = tail - b
+        after[:-1] = np.where(of[1:] == of[:-1], np.minimum(after[:-1], b[1:] - b[:-1] + RADIUS + 1), after[:-1])
+        more = total[b] - total[a] - SHORT_WORDS
+        at = (a - head) << 32 | (total[a] - total[head])
+        shape = (b - a) << 32 | np.minimum(before, _SIDE) << 20 | np.minimum(after, _SIDE) << 8 | np.minimum(more, _MORE)
+        yield hi - lo, of, digest, at, shape, whole
+
+
+_WIN = pa.struct([("digest", pa.int64()), ("at", pa.int64()), ("shape", pa.int64())])
+_SELF = pa.struct([("at", pa.int64()), ("shape", pa.int64()), ("place", pa.int64())])
+
+
+def _sketch(column: pa.Array) -> dict[str, pa.Array]:
+    """content (a digest of the text), wins (each digest's first window) and again (later ones, with their first place)."""
+    out: dict[str, list] = {k: [] for k in ("content", "n_wins", "n_again", "digest", "at", "shape", "at2", "shape2", "place")}
+    for rows, of, digest, at, shape, whole in windows(column):
+        order = np.lexsort((at, digest, of))
+        d, r = digest[order], of[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(d) else order
+        is_first, source = np.zeros(len(d), bool), np.zeros(len(d), np.int64)
+        is_first[order], source[order] = new, first
+        for key, value in (("content", whole.view(np.int64)), ("n_wins", np.bincount(of[is_first], minlength=rows)), ("n_again", np.bincount(of[~is_first], minlength=rows)), ("digest", digest[is_first].view(np.int64)), ("at", at[is_first]), ("shape", shape[is_first]), ("at2", at[~is_first]), ("shape2", shape[~is_first]), ("place", at[source[~is_first]] >> 32)):
+            out[key].append(value)
+    flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+    lists = lambda n, kind, names: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat[n])]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(flat[x]) for x in names], fields=list(kind)))
+    return {"content": pa.array(flat["content"]), "wins": lists("n_wins", _WIN, ("digest", "at", "shape")), "again": lists("n_again", _SELF, ("at2", "shape2", "place"))}
+
+
+def _unpacked(at: int, shape: int) -> tuple[int, int, int, int, int, int]:
+    """First byte, end, words before, words to its end, bytes before and after."""
+    a, w = at >> 32, at & 0xFFFFFFFF
+    return a, a + (shape >> 32), w, w + SHORT_WORDS + (shape & _MORE), shape >> 20 & _SIDE, shape >> 8 & _SIDE
+
+
+def _regions(wins: list[tuple]):
+    """Windows (_unpacked, source, shift) in stretches that they cover without a gap."""
+    now: list[tuple] = []
+    reach = 0
+    for w in sorted(wins):
+        if now and w[0] > reach:
+            yield now
+            now, reach = [], 0
+        now.append(w)
+        reach = max(reach, w[1])
+    if now:
+        yield now
+
+
+def passages(wins: list[tuple], min_words: int):
+    """(source, shift, pieces, low, high): pieces [a, b) that agree with the source `shift` bytes further on, and the
+    bounds within which that can go on. Stretches too short for min_words are left out."""
+    for region in _regions(wins):
+        least, most = min(w[0] - w[4] for w in region), max(w[1] + w[5] for w in region)
+        if max(w[3] for w in region) - region[0][2] + (region[0][0] - least + most - max(w[1] for w in region)) // 2 + 2 < min_words:
             continue
-        rid = batch.column(0).to_numpy()
-        digest, words, known = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(3).flatten()
-        row, of = (np.repeat(np.arange(len(rid)), batch.column(k).value_lengths().to_numpy()) for k in (1, 3))
-        salt = textops.mix(np.arange(1, len(rid) + 1))
-        key, have = digest.view(np.uint64) ^ salt[row], known.field(0).to_numpy().view(np.uint64) ^ salt[of]
-        order = np.argsort(have)
-        have, source = have[order], known.field(1).to_numpy()[order]
-        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-        before = (have[at] == key) & (source[at] < rid[row])
-        again = np.ones(len(key), bool)
-        again[np.unique(key, return_index=True)[1]] = False
-        flag, new = before | again, np.ones(len(key) + 1, bool)
-        new[1:-1] = row[1:] != row[:-1]
-        start = np.flatnonzero(flag & (new[:-1] | ~np.append(False, flag[:-1])))
-        last = np.flatnonzero(flag & (new[1:] | ~np.append(flag[1:], False)))
-        total = np.concatenate([[0], np.cumsum(words)])
-        long = total[last + 1] - total[start] >= _SEED_WORDS
-        ends = np.unique(np.concatenate([start[long], last[long]]))
-        ends = ends[before[ends]]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[row[ends]]), pa.array(digest[ends]), pa.array(source[at[ends]])], ["rid", "digest", "first"])
-
-
-def _bounds(k: int, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
-    """Bytes around chunk k that can agree where the chunks beside it do not: a cut further off would agree too."""
-    return max(0, int(start[max(k - 1, 0)]) - RADIUS - WINDOW), min(int(end[-1]), int(end[min(k + 1, len(end) - 1)]) + RADIUS + 1)
-
-
-def _around(batches):
-    """For text and some of its digests: what stands on both sides of the first chunk with each."""
+        starts, counts = [w[0] for w in region], [w[2] for w in region]
+        groups: dict[tuple, list[list[list[int]]]] = {}
+        for a, b, w0, w1, _, _, source, shift in region:
+            own = groups.setdefault((source, shift), [])
+            if own and a <= own[-1][-1][1]:
+                piece = own[-1][-1]
+                piece[1], piece[3] = max(piece[1], b), max(piece[3], w1)
+            elif own and w0 - own[-1][-1][3] <= min_words:
+                own[-1].append([a, b, w0, w1])
+            else:
+                own.append([[a, b, w0, w1]])
+        for (source, shift), parts in groups.items():
+            for pieces in parts:
+                i = bisect_right(counts, pieces[0][2] - min_words) - 1
+                j = bisect_left(counts, pieces[-1][3] + min_words)
+                low = starts[i] if i >= 0 else least
+                high = max(starts[j], pieces[-1][1]) if j < len(starts) else most
+                yield source, shift, [(p[0], p[1]) for p in pieces], max(low, -shift, 0), high
+
+
+def _gaps(pieces: list[tuple[int, int]], low: int, high: int):
+    edges = [low, *(x for p in pieces for x in p), high]
+    return [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+
+
+def _earlier(ord_: int, found: list[dict]) -> list[tuple]:
+    """Windows of one text that an earlier one holds."""
+    return [(*(u := _unpacked(x["at"], x["shape"])), x["first"], (x["place"] >> 32) - u[0]) for x in found if x["first"] != ord_]
+
+
+def _asked(min_words: int):
+    def run(batches):
+        """(ord, first, block): blocks of earlier texts by which passages may grow."""
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for own, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                want = {(source, k) for source, shift, pieces, low, high in passages(_earlier(own, found), min_words) for x, y in _gaps(pieces, low, high) for k in range(x + shift >> _BLOCK, (y + shift - 1 >> _BLOCK) + 1)}
+                out += [(own, s, k) for s, k in want]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["ord", "first", "block"])
+
+    return run
+
+
+def _blocks(batches):
+    """For (first, text, blocks): the bytes of each block."""
     for batch in batches:
         out = []
-        for lo, digest, _, start, end, ptr in chunks(batch.column(0)):
-            for i in range(len(ptr) - 1):
-                part = slice(int(ptr[i]), int(ptr[i + 1]))
-                raw, s, e, own = batch.column(0)[lo + i].as_py().encode(), start[part], end[part], digest[part].view(np.int64)
-                for d in batch.column(1)[lo + i].as_py():
-                    k = int(np.argmax(own == d))
-                    left, right = _bounds(k, s, e)
-                    out.append((d, raw[left : s[k]], raw[e[k] : right]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["digest", "left", "right"])
-
+        for own, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode()
+            out += [(own, k, raw[k << _BLOCK : k + 1 << _BLOCK]) for k in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["first", "block", "bytes"])
 
-def _extended(text: bytes, runs: list[tuple[int, int]], digest: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, around: dict[int, tuple[bytes, bytes]], min_words: int):
-    """Runs (chunks i to j, bytes a to b, words) that reach over whole words as far as they agree with a first place.
 
-    Kept are those of min_words in agreeing chunks or twice that in all.
-    """
-    data = np.frombuffer(text, np.uint8)
-    total = np.concatenate([[0], np.cumsum(_word_starts(data, np.array([0, len(data)])))])
+def _grown(text: bytes, fetch, shift: int, pieces: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Maximal stretches around the pieces that agree byte by byte with what fetch(from, to) gives, shift bytes further on."""
     same = lambda x, y: len(commonprefix([x, y]))
-    found: list[list[int]] = []
-    for i, j in runs:
-        a, b = int(start[i]), int(end[j - 1])
-        low, high = _bounds(i, start, end)[0], _bounds(j - 1, start, end)[1]
-        left, right = text[low:a][::-1], text[b:high]
-        reach = [around.get(int(digest[k].view(np.int64)), (b"", b"")) for k in (i, j - 1)]
-        back, ahead = same(left, reach[0][0][::-1]), same(right, reach[1][1])
-        if place[i] != i:
-            back = max(back, same(left, text[max(0, start[place[i]] - len(left)) : start[place[i]]][::-1]))
-        if place[j - 1] != j - 1:
-            at = end[place[j - 1]]
-            ahead = max(ahead, same(right, text[at : at + len(right)]))
-        a0, b0, a, b = a, b, a - back, b + ahead
-        while a < a0 and not (a == 0 or _BLANK[data[a - 1]] or data[a] >= 0xE0):
-            a += 1
-        while b > b0 and not (b == len(data) or _BLANK[data[b - 1]] or _BLANK[data[b]] or data[b] >= 0xE0):
-            b -= 1
-        agreed = int(words[i:j].sum())
-        if found and a <= found[-1][3]:
-            p = found[-1]
-            p[1], p[3], p[4] = j, max(b, p[3]), max(agreed, p[4])
+    a, b = pieces[0]
+    a -= same(text[low:a][::-1], fetch(low + shift, a + shift)[::-1])
+    out = []
+    for x, y in pieces[1:]:
+        mine, other = text[b:x], fetch(b + shift, x + shift)
+        if mine != other:
+            out.append((a, b + same(mine, other)))
+            a = x - same(mine[::-1], other[::-1])
+        b = y
+    return [*out, (a, b + same(text[b:high], fetch(b + shift, high + shift)))]
+
+
+def _trimmed(data: np.ndarray, a: int, b: int) -> tuple[int, int]:
+    """[a, b) without partial words at either end."""
+    while a < b and not (a == 0 or _BLANK[data[a - 1]] or data[a] >= 0xE0):
+        a += 1
+    while b > a and not (b == len(data) or _BLANK[data[b - 1]] or _BLANK[data[b]] or data[b] >= 0xE0):
+        b -= 1
+    return a, b
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            found.append([i, j, a, b, agreed])
-    counted = [(i, j, a, b, int(total[b] - total[a]), agreed) for i, j, a, b, agreed in found]
-    return [x[:5] for x in counted if x[5] >= min_words or x[4] >= 2 * min_words], total
-
-
-def _runs(flag: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Runs [i, j) of flagged chunks with at least so many words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8)))
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True) if total[j] - total[i] >= min_words]
-
-
-def _clean(text: bytes, digest: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, shared: dict[int, int | None], own: int, min_words: int, around: dict[int, tuple[bytes, bytes]] | None = None):
-    """Kept bytes, removed spans and shared spans (start, end), and the ids that the removed passages come from."""
-    _, first, group = np.unique(digest, return_index=True, return_inverse=True)
-    again = first[group] != np.arange(len(digest))
-    info = [shared.get(int(d)) for d in digest.view(np.int64)]
-    elsewhere = np.array([x is not None for x in info], bool)
-    before = np.array([x is not None and x[0] != own for x in info], bool)
-    found = lambda flag: [(i, j, int(start[i]), int(end[j - 1]), int(words[i:j].sum())) for i, j in _runs(flag, words, min_words)]
-    both = found(elsewhere | again)
-    if around is None:
-        removed = found(before | again)
-    else:
-        removed, total = _extended(text, _runs(before | again, words, _SEED_WORDS), digest, words, start, end, first[group], around, min_words)
-        merged: list[list[int]] = []
-        for a, b in sorted([x[2:4] for x in removed] + [x[2:4] for x in both]):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        both = [(0, 0, a, b, int(total[b] - total[a])) for a, b in merged]
-    sources = set()
-    for i, j, *_ in removed:
-        held: Counter = Counter()
-        for k in range(i, j):
-            if before[k] and info[k][1] is not None:
-                held[info[k][1]] += int(words[k])
-        # a lone chunk that another row holds by chance makes it no source
-        sources |= {x for x, n in held.items() if n >= _SOURCE_WORDS}
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _clean(text: bytes, own: int | None, found: list[dict], again: list[dict], around: list[dict], min_words: int):
+    """Kept bytes, removed and shared spans (start, end, words), and the ids that removed passages come from."""
+    data = np.frombuffer(text, np.uint8)
+    total = np.concatenate([[0], np.cumsum(word_starts(data, np.array([0, len(data)])))])
+    parts: dict[int, dict[int, bytes]] = {}
+    for x in around:
+        parts.setdefault(x["first"], {})[x["block"]] = x["bytes"]
+
+    def fetcher(source):
+        if source is None:
+            return lambda x, y: text[x:y]
+        blocks = parts.get(source, {})
+        return lambda x, y: b"".join(blocks.get(k, b"") for k in range(x >> _BLOCK, (y - 1 >> _BLOCK) + 1))[x & (1 << _BLOCK) - 1 :][: y - x] if y > x else b""
+
+    inside = [(*(u := _unpacked(x["at"], x["shape"])), None, x["place"] - u[0]) for x in again]
+    ids = {x["first"]: x["first_id"] for x in found}
+    removed, sources = [], set()
+    for wins in (_earlier(own, found) if found else [], inside):
+        for source, shift, pieces, low, high in passages(wins, min_words):
+            for a, b in _grown(text, fetcher(source), shift, pieces, low, min(high, len(text))):
+                a, b = _trimmed(data, a, b)
+                if total[b] - total[a] >= min_words:
+                    removed.append((a, b))
+                    if source is not None and ids[source] is not None:
+                        sources.add(ids[source])
+    removed = _union(removed)
+    runs = [(w[0][0], max(x[1] for x in w)) for w in _regions([(*_unpacked(x["at"], x["shape"]), 0, 0) for x in [*found, *again]])]
+    shared = _union(removed + [(a, b) for a, b in runs if total[b] - total[a] >= SHARED_WORDS])
     kept, at = [], 0
-    for _, _, a, b, _ in removed:
+    for a, b in removed:
         kept.append(text[at:a])
         at = b
-    kept.append(text[at:])
-    spans = lambda runs: [{"start": a, "end": b, "words": n} for _, _, a, b, n in runs]
-    return b"".join(kept), spans(removed), spans(both), sorted(sources)
+    told = lambda spans: [{"start": a, "end": b, "words": int(total[b] - total[a])} for a, b in spans]
+    return b"".join([*kept, text[at:]]), told(removed), told(shared), sorted(sources)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
 _SPANS_SQL = "array<struct<start:bigint,end:bigint,words:bigint>>"
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25, extend: bool = False) -> DataFrame:
+def _ordered(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Written (rid, ord, id): ord follows the ids, nulls last, then the texts' digests and the other columns.
+
+    So it does not depend on how the table is laid out; rows alike in all columns are alike in their results too.
+    """
+    row = rows.schema["row"].dataType
+    others = [F.col(f"row.`{f.name}`") for f in row.fields if f.name != text and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    own = F.col(f"row.`{doc_id}`")
+    keys = rows.select("rid", own.isNull().alias("none"), own.alias("id"), "content", F.xxhash64(F.lit(1), *others).alias("rest"))
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(at, at + len(batch)), pa.int64()), batch.column(1)], ["rid", "ord", "id"])
+            at += len(batch)
+
+    kind = row[doc_id].dataType.simpleString()
+    return materialize(keys.orderBy("none", "id", "content", "rest", "rid").select("rid", "id").mapInArrow(number, f"rid long, ord long, id {kind}"), "order")
+
+
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """row (a struct of all columns), kept_text, removed, shared, sources for each row of docs.
 
-    removed are the byte spans (start, end, words) that an earlier row has, or the same row further up; kept_text is the
-    text without them. shared also counts passages' first places that other rows repeat. sources are the sorted ids of
-    rows that hold ten words or more of a removed passage first. Words are runs between blanks, and
-    single characters of scripts without blanks. Earlier means: in the order of the
-    input's partitions, fixed when its rows are numbered. A null text stays null and is in nothing; texts under min_words
-    words are left alone, repeated or not. Ids may be null or repeated. Digests have 64 bits, and a removal needs a run of
-    several that agree.
-
-    With extend, runs of a few words or more grow over whole words as far as their bytes agree with the first place of the
-    chunk at either end, and go if they have min_words in agreeing chunks or twice as many in all. First places that fall
-    short of min_words in agreeing chunks are then not in shared.
+    removed are the byte spans (start, end, words) of min_words words or more that one earlier row holds, or the same row
+    further up; kept_text is the text without them. Earlier is a smaller id (nulls last), and for equal ids a smaller digest
+    of the text, whatever the layout of the table. shared adds runs of repeated windows, first places too, of SHARED_WORDS
+    words or more. sources are the sorted ids of the rows that removed passages were found in. Words are counted at blanks,
+    at punctuation and by characters of scripts without blanks, whichever begins one. A null text stays null and is in
+    nothing; shorter texts are left alone, repeated or not. Ids may be null, repeated or of any type that sorts.
+
+    A passage is found if a window in it (24 words from a cut on, 16 short ones) stands first in a row that holds min_words words of it.
+    Digests have 64 bits; what is beyond the windows is compared byte by byte.
     """
-    rows = numbered(docs, text, _sequences, "digests array<long>, words array<int>") if extend else numbered(docs, text, _digests, "digests array<long>")
-    each = rows.select("rid", F.explode_outer(F.array_distinct("digests") if extend else "digests").alias("digest")).where("digest IS NOT NULL")
-    repeated = each.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    ids = rows.select(F.col("rid").alias("first"), F.col(f"row.`{doc_id}`").cast("long").alias("first_id"))
-    repeated = materialize(repeated.join(ids, "first"), "repeated")
-    found = each.join(repeated, "digest").groupBy("rid").agg(F.collect_list(F.struct("digest", "first", "first_id")).alias("found"))
-    # repeats within one text alone need no other row
-    joined = rows.select("row", "rid").join(found, "rid", "left")
-    if extend:
-        found = materialize(found, "found")
-        joined = rows.select("row", "rid").join(found, "rid", "left")
-        plain = rows.select("rid", "digests", "words").join(found, "rid").select("rid", "digests", "words", F.transform("found", lambda x: F.struct(x["digest"], x["first"])).alias("found"))
-        asked = materialize(plain.mapInArrow(textops.lean(_asked), "rid long, digest long, first long"), "asked")
-        owners = materialize(asked.select("first", "digest").distinct().groupBy(F.col("first").alias("rid")).agg(F.collect_list("digest").alias("mine")), "owners")
-        sides = rows.select("rid", F.col(f"row.`{text}`").alias("text")).join(sized(owners), "rid").select("text", "mine")
-        sides = materialize(sides.mapInArrow(textops.lean(_around), "digest long, left binary, right binary"), "sides")
-        near = asked.join(sized(sides, _TEXT_ROWS), "digest").groupBy("rid").agg(F.collect_list(F.struct("digest", "left", "right")).alias("around"))
-        joined = joined.join(near, "rid", "left")
+    rows = numbered(docs, text, _sketch, "content long, wins array<struct<digest:bigint,at:bigint,shape:bigint>>, again array<struct<at:bigint,shape:bigint,place:bigint>>")
+    order = _ordered(rows, doc_id, text)
+    few = sized(order)
+    each = rows.where(F.size("wins") > 0).select("rid", "wins").join(few.select("rid", "ord"), "rid").select("ord", F.inline("wins"))
+    repeated = each.groupBy("digest").agg(F.min("ord").alias("first"), F.min_by("at", "ord").alias("place"), F.count("*").alias("n")).where("n > 1").select("digest", "first", "place")
+    repeated = materialize(repeated.join(few.select(F.col("ord").alias("first"), F.col("id").alias("first_id")), "first"), "repeated")
+    found = each.join(repeated, "digest").groupBy("ord").agg(F.collect_list(F.struct("at", "shape", "first", "place", "first_id")).alias("found"))
+    found = materialize(found, "found")
+    asked = materialize(found.mapInArrow(textops.lean(_asked(min_words)), "ord long, first long, block long"), "asked")
+    # a row is asked for each of its blocks once, however many want it
+    owners = asked.select("first", "block").distinct().groupBy("first").agg(F.collect_list("block").alias("blocks"))
+    owners = materialize(owners.join(few.select(F.col("ord").alias("first"), "rid"), "first"), "owners")
+    texts = rows.select("rid", F.col(f"row.`{text}`").alias("text")).join(sized(owners), "rid").select("first", "text", "blocks")
+    blocks = materialize(texts.mapInArrow(textops.lean(_blocks), "first long, block long, bytes binary"), "blocks")
+    near = asked.join(sized(blocks, _BLOCK_ROWS), ["first", "block"]).groupBy("ord").agg(F.collect_list(F.struct("first", "block", "bytes")).alias("around"))
+    told = found.join(near, "ord", "left").join(few.select("ord", "rid"), "ord")
+    joined = rows.select("row", "rid", "again").join(told, "rid", "left")
 
     def clean(batches):
         for batch in batches:
             row, column = batch.column(0), batch.column(0).field(batch.column(0).type.get_field_index(text))
-            rid, shared = batch.column(1), batch.column(2)
+            own = batch.column(1).to_pylist()
             texts, removed, common, sources = [], [], [], []
-            for lo, digest, words, start, end, ptr in chunks(column):
-                for i in range(len(ptr) - 1):
-                    own, a, b = column[lo + i], int(ptr[i]), int(ptr[i + 1])
-                    known = shared[lo + i].as_py() or []
-                    if not own.is_valid or (not known and len(np.unique(digest[a:b])) == b - a):
-                        kept, gone, both, origin = own.as_py(), [], [], []
-                    else:
-                        known = {x["digest"]: (x["first"], x["first_id"]) for x in known}
-                        near = {x["digest"]: (x["left"], x["right"]) for x in batch.column(3)[lo + i].as_py() or []} if extend else None
-                        kept, gone, both, origin = _clean(own.as_py().encode(), digest[a:b], words[a:b], start[a:b], end[a:b], known, rid[lo + i].as_py(), min_words, near)
-                        kept = kept.decode()
-                    texts.append(kept)
-                    removed.append(gone)
-                    common.append(both)
-                    sources.append(origin)
-            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(pa.int64()))], ["row", "kept_text", "removed", "shared", "sources"])
-
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.select("row", "rid", "found", *(["around"] if extend else [])).mapInArrow(textops.lean(clean), f"row {kind}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<long>")
+            for i, value in enumerate(column):
+                found, again = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                kept, gone, both, origin = value.as_py(), [], [], []
+                if found or again:
+                    kept, gone, both, origin = _clean(kept.encode(), own[i], found or [], again or [], batch.column(4)[i].as_py() or [], min_words)
+                    kept = kept.decode()
+                texts.append(kept)
+                removed.append(gone)
+                common.append(both)
+                sources.append(origin)
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(ids))], ["row", "kept_text", "removed", "shared", "sources"])
+
+    kind = joined.schema["row"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ids = to_arrow_type(kind[doc_id].dataType)
+    return joined.select("row", "ord", "found", "again", "around").mapInArrow(textops.lean(clean), f"row {kind.simpleString()}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<{kind[doc_id].dataType.simpleString()}>")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
