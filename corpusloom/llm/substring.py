@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import textops
 from corpusloom.llm.rows import numbered, sized
@@ -35,7 +36,7 @@ _BLANK = (_b <= 32) | (_b == 127)
 _BLANKLESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
 _NONE = np.uint32(0xFFFFFFFF)
 #: Bytes of a source are asked for in blocks of 2^_BLOCK; so many blocks are broadcast at most.
-_BLOCK, _BLOCK_ROWS = 8, 100_000
+_BLOCK, _BLOCK_ROWS = 6, 200_000
 #: Largest values of the packed fields: bytes before and after a window, words beyond SHORT_WORDS.
 _SIDE, _MORE = (1 << 12) - 1, (1 << 8) - 1
 
@@ -175,14 +176,15 @@ def _sketch(column: pa.Array) -> dict[str, pa.Array]:
     return {"content": pa.array(flat["content"]), "wins": lists("n_wins", _WIN, ("digest", "at", "shape")), "again": lists("n_again", _SELF, ("at2", "shape2", "place"))}
 
 
-def _unpacked(at: int, shape: int) -> tuple[int, int, int, int, int, int]:
-    """First byte, end, words before, words to its end, bytes before and after."""
-    a, w = at >> 32, at & 0xFFFFFFFF
-    return a, a + (shape >> 32), w, w + SHORT_WORDS + (shape & _MORE), shape >> 20 & _SIDE, shape >> 8 & _SIDE
+def _unpacked(at: np.ndarray, shape: np.ndarray, source: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """(first byte, end, words before, words to its end, bytes before, bytes after, source, shift to the place there) of windows."""
+    first, words = at >> 32, at & 0xFFFFFFFF
+    columns = (first, first + (shape >> 32), words, words + SHORT_WORDS + (shape & _MORE), shape >> 20 & _SIDE, shape >> 8 & _SIDE, source, place - first)
+    return list(zip(*(c.tolist() for c in columns), strict=True))
 
 
 def _regions(wins: list[tuple]):
-    """Windows (_unpacked, source, shift) in stretches that they cover without a gap."""
+    """Windows (_unpacked) in stretches that they cover without a gap."""
     now: list[tuple] = []
     reach = 0
     for w in sorted(wins):
@@ -227,32 +229,56 @@ def _gaps(pieces: list[tuple[int, int]], low: int, high: int):
     return [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
 
 
-def _earlier(ord_: int, found: list[dict]) -> list[tuple]:
-    """Windows of one text that an earlier one holds."""
-    return [(*(u := _unpacked(x["at"], x["shape"])), x["first"], (x["place"] >> 32) - u[0]) for x in found if x["first"] != ord_]
+def _fields(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row offsets and the fields of a list column of structs."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    counts = column.value_lengths().fill_null(0).to_numpy()
+    return np.concatenate([[0], np.cumsum(counts)]), [flat.field(flat.type.get_field_index(x)).to_numpy() for x in names]
 
 
-def _asked(min_words: int):
+_PART = pa.struct([("source", pa.int64()), ("shift", pa.int64()), ("pieces", pa.list_(pa.int64())), ("low", pa.int64()), ("high", pa.int64())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+_SPANS_SQL = "array<struct<start:bigint,end:bigint,words:bigint>>"
+_WANT = pa.struct([("source", pa.int64()), ("block", pa.int64())])
+_PLAN_SQL = f"ord long, parts array<struct<source:bigint,shift:bigint,pieces:array<bigint>,low:bigint,high:bigint>>, runs {_SPANS_SQL}, want array<struct<source:bigint,block:bigint>>"
+
+
+def _plans(min_words: int):
     def run(batches):
-        """(ord, first, block): blocks of earlier texts by which passages may grow."""
+        """For ord, found: passages that earlier texts may hold, runs of windows that others hold, and the blocks of earlier texts to
+        compare (-1 names the text alone)."""
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for own, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                want = {(source, k) for source, shift, pieces, low, high in passages(_earlier(own, found), min_words) for x, y in _gaps(pieces, low, high) for k in range(x + shift >> _BLOCK, (y + shift - 1 >> _BLOCK) + 1)}
-                out += [(own, s, k) for s, k in want]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["ord", "first", "block"])
+            own = batch.column(0).to_numpy()
+            ptr, (at, shape, first, place) = _fields(batch.column(1), "at", "shape", "first", "place")
+            parts, runs, want = [], [], []
+            for i, mine in enumerate(own.tolist()):
+                cut = slice(ptr[i], ptr[i + 1])
+                wins = _unpacked(at[cut], shape[cut], first[cut], place[cut] >> 32)
+                spans = [(w[0][0], max(x[1] for x in w), max(x[3] for x in w) - w[0][2]) for w in _regions(wins)]
+                runs.append([{"start": a, "end": b, "words": n} for a, b, n in spans if n >= SHARED_WORDS])
+                found = list(passages([w for w in wins if w[6] != mine], min_words))
+                parts.append([{"source": s, "shift": d, "pieces": [a << 32 | b for a, b in pieces], "low": low, "high": high} for s, d, pieces, low, high in found])
+                asked = {(s, -1) for s, *_ in found}
+                for s, d, pieces, low, high in found:
+                    asked |= {(s, k) for x, y in _gaps(pieces, low, high) for k in range(x + d >> _BLOCK, (y + d - 1 >> _BLOCK) + 1)}
+                want.append([{"source": s, "block": k} for s, k in asked])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(_PART)), pa.array(runs, _SPANS), pa.array(want, pa.list_(_WANT))], ["ord", "parts", "runs", "want"])
 
     return run
 
 
 def _blocks(batches):
-    """For (first, text, blocks): the bytes of each block."""
+    """For (source, id, text, blocks): the bytes of each block."""
     for batch in batches:
-        out = []
-        for own, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        of, block, data = [], [], []
+        for i, (text, blocks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             raw = text.encode()
-            out += [(own, k, raw[k << _BLOCK : k + 1 << _BLOCK]) for k in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["first", "block", "bytes"])
+            of += [i] * len(blocks)
+            block += blocks
+            data += [raw[k << _BLOCK : k + 1 << _BLOCK] if k >= 0 else b"" for k in blocks]
+        at = pa.array(of, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(block, pa.int64()), pa.array(data, pa.binary())], ["source", "id", "block", "bytes"])
 
 
 def _grown(text: bytes, fetch, shift: int, pieces: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
@@ -289,34 +315,33 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _clean(text: bytes, own: int | None, found: list[dict], again: list[dict], around: list[dict], min_words: int):
+def _clean(text: bytes, parts: list[dict], runs: list[dict], inside: list[tuple], around: list[dict], min_words: int):
     """Kept bytes, removed and shared spans (start, end, words), and the ids that removed passages come from."""
     data = np.frombuffer(text, np.uint8)
     total = np.concatenate([[0], np.cumsum(word_starts(data, np.array([0, len(data)])))])
-    parts: dict[int, dict[int, bytes]] = {}
+    held: dict[int, dict[int, bytes]] = {}
     for x in around:
-        parts.setdefault(x["first"], {})[x["block"]] = x["bytes"]
+        held.setdefault(x["source"], {})[x["block"]] = x["bytes"]
 
     def fetcher(source):
         if source is None:
             return lambda x, y: text[x:y]
-        blocks = parts.get(source, {})
-        return lambda x, y: b"".join(blocks.get(k, b"") for k in range(x >> _BLOCK, (y - 1 >> _BLOCK) + 1))[x & (1 << _BLOCK) - 1 :][: y - x] if y > x else b""
+        blocks = held[source]
+        return lambda x, y: b"".join(blocks[k] for k in range(x >> _BLOCK, (y - 1 >> _BLOCK) + 1))[x & (1 << _BLOCK) - 1 :][: y - x] if y > x else b""
 
-    inside = [(*(u := _unpacked(x["at"], x["shape"])), None, x["place"] - u[0]) for x in again]
-    ids = {x["first"]: x["first_id"] for x in found}
+    ids = {x["source"]: x["id"] for x in around}
+    found = [(p["source"], p["shift"], [(x >> 32, x & 0xFFFFFFFF) for x in p["pieces"]], p["low"], p["high"]) for p in parts]
     removed, sources = [], set()
-    for wins in (_earlier(own, found) if found else [], inside):
-        for source, shift, pieces, low, high in passages(wins, min_words):
-            for a, b in _grown(text, fetcher(source), shift, pieces, low, min(high, len(text))):
-                a, b = _trimmed(data, a, b)
-                if total[b] - total[a] >= min_words:
-                    removed.append((a, b))
-                    if source is not None and ids[source] is not None:
-                        sources.add(ids[source])
+    for source, shift, pieces, low, high in [*found, *passages(inside, min_words)]:
+        for a, b in _grown(text, fetcher(source), shift, pieces, low, min(high, len(text))):
+            a, b = _trimmed(data, a, b)
+            if total[b] - total[a] >= min_words:
+                removed.append((a, b))
+                if source is not None and ids[source] is not None:
+                    sources.add(ids[source])
     removed = _union(removed)
-    runs = [(w[0][0], max(x[1] for x in w)) for w in _regions([(*_unpacked(x["at"], x["shape"]), 0, 0) for x in [*found, *again]])]
-    shared = _union(removed + [(a, b) for a, b in runs if total[b] - total[a] >= SHARED_WORDS])
+    again = [(w[0][0], max(x[1] for x in w)) for w in _regions(inside)]
+    shared = _union(removed + [(x["start"], x["end"]) for x in runs] + [(a, b) for a, b in again if total[b] - total[a] >= SHARED_WORDS])
     kept, at = [], 0
     for a, b in removed:
         kept.append(text[at:a])
@@ -325,10 +350,6 @@ def _clean(text: bytes, own: int | None, found: list[dict], again: list[dict], a
     return b"".join([*kept, text[at:]]), told(removed), told(shared), sorted(sources)
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
-_SPANS_SQL = "array<struct<start:bigint,end:bigint,words:bigint>>"
-
-
 def _ordered(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Written (rid, ord, id): ord follows the ids, nulls last, then the texts' digests and the other columns.
 
@@ -369,41 +390,42 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     few = sized(order)
     each = rows.where(F.size("wins") > 0).select("rid", "wins").join(few.select("rid", "ord"), "rid").select("ord", F.inline("wins"))
     repeated = each.groupBy("digest").agg(F.min("ord").alias("first"), F.min_by("at", "ord").alias("place"), F.count("*").alias("n")).where("n > 1").select("digest", "first", "place")
-    repeated = materialize(repeated.join(few.select(F.col("ord").alias("first"), F.col("id").alias("first_id")), "first"), "repeated")
-    found = each.join(repeated, "digest").groupBy("ord").agg(F.collect_list(F.struct("at", "shape", "first", "place", "first_id")).alias("found"))
-    found = materialize(found, "found")
-    asked = materialize(found.mapInArrow(textops.lean(_asked(min_words)), "ord long, first long, block long"), "asked")
+    found = each.join(materialize(repeated, "repeated"), "digest").groupBy("ord").agg(F.collect_list(F.struct("at", "shape", "first", "place")).alias("found"))
+    plans = materialize(found.mapInArrow(textops.lean(_plans(min_words)), _PLAN_SQL), "plans")
+    asked = plans.select("ord", F.inline("want"))
     # a row is asked for each of its blocks once, however many want it
-    owners = asked.select("first", "block").distinct().groupBy("first").agg(F.collect_list("block").alias("blocks"))
-    owners = materialize(owners.join(few.select(F.col("ord").alias("first"), "rid"), "first"), "owners")
-    texts = rows.select("rid", F.col(f"row.`{text}`").alias("text")).join(sized(owners), "rid").select("first", "text", "blocks")
-    blocks = materialize(texts.mapInArrow(textops.lean(_blocks), "first long, block long, bytes binary"), "blocks")
-    near = asked.join(sized(blocks, _BLOCK_ROWS), ["first", "block"]).groupBy("ord").agg(F.collect_list(F.struct("first", "block", "bytes")).alias("around"))
-    told = found.join(near, "ord", "left").join(few.select("ord", "rid"), "ord")
+    owners = asked.select("source", "block").distinct().groupBy("source").agg(F.collect_list("block").alias("blocks"))
+    owners = materialize(owners.join(few.select(F.col("ord").alias("source"), "rid", "id"), "source"), "owners")
+    texts = rows.select("rid", F.col(f"row.`{text}`").alias("text")).join(sized(owners), "rid").select("source", "id", "text", "blocks")
+    kind = rows.schema["row"].dataType
+    id_kind = kind[doc_id].dataType
+    blocks = materialize(texts.mapInArrow(textops.lean(_blocks), f"source long, id {id_kind.simpleString()}, block long, bytes binary"), "blocks")
+    near = asked.join(sized(blocks, _BLOCK_ROWS), ["source", "block"]).groupBy("ord").agg(F.collect_list(F.struct("source", "id", "block", "bytes")).alias("around"))
+    told = plans.where(F.size("parts") + F.size("runs") > 0).select("ord", "parts", "runs").join(near, "ord", "left").join(few.select("ord", "rid"), "ord")
     joined = rows.select("row", "rid", "again").join(told, "rid", "left")
+    id_type = to_arrow_type(id_kind)
 
     def clean(batches):
         for batch in batches:
             row, column = batch.column(0), batch.column(0).field(batch.column(0).type.get_field_index(text))
-            own = batch.column(1).to_pylist()
+            ptr, (at, shape, place) = _fields(batch.column(1), "at", "shape", "place")
             texts, removed, common, sources = [], [], [], []
             for i, value in enumerate(column):
-                found, again = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                kept, gone, both, origin = value.as_py(), [], [], []
-                if found or again:
-                    kept, gone, both, origin = _clean(kept.encode(), own[i], found or [], again or [], batch.column(4)[i].as_py() or [], min_words)
+                parts, runs = batch.column(2)[i].as_py() or [], batch.column(3)[i].as_py() or []
+                kept, gone, both, origin = value.as_py(), [], runs, []
+                if parts or ptr[i] < ptr[i + 1]:
+                    cut = slice(ptr[i], ptr[i + 1])
+                    inside = [(*w[:6], None, w[7]) for w in _unpacked(at[cut], shape[cut], at[cut], place[cut])]
+                    kept, gone, both, origin = _clean(kept.encode(), parts, runs, inside, batch.column(4)[i].as_py() or [], min_words)
                     kept = kept.decode()
                 texts.append(kept)
                 removed.append(gone)
                 common.append(both)
                 sources.append(origin)
-            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(ids))], ["row", "kept_text", "removed", "shared", "sources"])
-
-    kind = joined.schema["row"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(removed, _SPANS), pa.array(common, _SPANS), pa.array(sources, pa.list_(id_type))], ["row", "kept_text", "removed", "shared", "sources"])
 
-    ids = to_arrow_type(kind[doc_id].dataType)
-    return joined.select("row", "ord", "found", "again", "around").mapInArrow(textops.lean(clean), f"row {kind.simpleString()}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<{kind[doc_id].dataType.simpleString()}>")
+    fields = f"row {kind.simpleString()}, kept_text string, removed {_SPANS_SQL}, shared {_SPANS_SQL}, sources array<{id_kind.simpleString()}>"
+    return joined.select("row", "again", "parts", "runs", "around").mapInArrow(textops.lean(clean), fields)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
