@@ -141,6 +141,8 @@ def windows(column: pa.Array):
         last, soon = (np.searchsorted(total[end], total[start] + n) if len(start) else start for n in (SEED_WORDS, SHORT_WORDS))
         close = np.minimum(soon, len(end) - 1)
         last = np.where((soon < ptr[1:][of]) & (end[close] - start <= SHORT_BYTES), soon, last)
+        # no window reaches beyond the end of one that begins in it
+        last = np.minimum.accumulate(last[::-1])[::-1]
         some = np.flatnonzero(last < ptr[1:][of])
         last, of = last[some], of[some]
         digest = textops.mix((prefix[last + 1] - prefix[some]) * down[some] + (last - some).astype(np.uint64))

@@ -179,6 +179,16 @@ def test_insertion_shifts_leave_most_windows():
     assert len(a & b) > 0.7 * len(a) and len(a) > 20
 
 
+def test_packed_windows_are_in_order_and_within_their_text():
+    rng = random.Random(4)
+    texts = [" ".join(_words(rng, 12, rng.choice((2, 9))) for _ in range(40)) for _ in range(20)]
+    for _, of, _, at, shape, _ in substring.windows(pa.array(texts)):
+        for i, text in enumerate(texts):
+            wins = substring._unpacked(at[of == i], shape[of == i], at[of == i], at[of == i])
+            assert all(0 <= a - before and a < b and b + after <= len(text) and w1 - w0 >= 16 for a, b, w0, w1, before, after, *_ in wins)
+            assert [w[1] for w in wins] == sorted(w[1] for w in wins)
+
+
 def test_windows_do_not_depend_on_neighbours():
     texts, _ = _texts(2)
     assert _digests(texts) == [_digests([t])[0] for t in texts]
