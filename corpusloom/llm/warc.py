@@ -1,7 +1,7 @@
 """WARC archives: written by Spark's text sink, read back in byte ranges with boundary-chain verification.
 
 Writing: every row of a page table becomes a response record, or a revisit record where a smaller page id has the same
-payload. Reading: the files are split at every "WARC/1.1" line, inside payloads too. Tasks emit each candidate's offset
+payload. Reading, as bytes: the files are split at every "WARC/1.", inside payloads too. Tasks emit each candidate's offset
 and that of its successor, by its Content-Length, and follow chains to the end of their byte range. Pointer jumping over
 the ranges, from each file's start, keeps the candidates that are real records; magic inside payloads is never reached.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textops
 from corpusloom.session import materialize, scratch_path, small_batches
 
-#: The line that begins a record.
-MAGIC = "WARC/1.1\r\n"
+#: What begins a record, and what may follow it.
+MAGIC = b"WARC/1."
+_VERSIONS = (b"0\r\n", b"1\r\n")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A digest table of so many rows at most is broadcast; a longer one is joined by shuffle.
@@ -45,10 +46,11 @@ def records(pages: DataFrame, page_id: str = "page_id", content: str = "html", u
     def field(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise("")
 
-    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
+    # escaped, so any text can be an id; a null one has no colon
+    urn = lambda x: F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(x.cast("string"))), F.lit("")), F.lit(">"))
     length = F.lit(len(_HTTP)) + F.when(revisit, 0).otherwise(F.col("size"))
     value = F.concat(
-        F.lit(MAGIC),
+        F.lit("WARC/1.1\r\n"),
         field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         field("WARC-Record-ID", urn(F.col("id"))),
         field("WARC-Date", F.lit(date)),
@@ -72,18 +74,18 @@ def write_archives(pages: DataFrame, path: str, **options) -> None:
 
 
 _FIELD = re.compile(r"^([A-Za-z-]+):[ \t]*([^\r\n]*)", re.M)
-_KINDS = "block long, place long, size long, header long, length long, type string, id string, refers string, uri string, digest string, full long, got_bytes long, got_digest string, payload string, follows long"
+_KINDS = "block long, place long, size long, header long, length long, type string, id string, refers string, uri string, digest string, full long, got_bytes long, got_digest string, payload binary, follows long"
 
 
-def _parse(text: str) -> tuple[int, dict[str, str]] | None:
-    """Bytes of a header with its empty line, and its fields in lower case; None if it isn't one."""
-    stop = text.find("\r\n\r\n")
-    if stop < 0:
+def _parse(raw: bytes) -> tuple[int, dict[str, str]] | None:
+    """Bytes of a header with its empty line, and its fields in lower case; None if it isn't one. Odd bytes in it are replaced."""
+    stop = raw.find(b"\r\n\r\n")
+    if stop < 0 or not raw.startswith(_VERSIONS):
         return None
-    fields = {k.lower(): v for k, v in _FIELD.findall(text, 0, stop)}
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    fields = {k.lower(): v for k, v in _FIELD.findall(raw[:stop].decode("utf-8", "replace"))}
+    if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "").strip()) or "warc-type" not in fields:
         return None
-    return len(text[:stop].encode()) + 4, fields
+    return stop + 4, fields
 
 
 def _payload(block: bytes) -> bytes:
@@ -112,7 +114,7 @@ def _candidates(keep: bool):
             return out
 
         text, long = pa.string(), pa.int64()
-        schema = pa.schema([("file", text), ("block", long), ("place", long), ("size", long), ("header", long), ("length", long), ("type", text), ("id", text), ("refers", text), ("uri", text), ("digest", text), ("full", long), ("got_bytes", long), ("got_digest", text), ("payload", text), ("follows", long)])
+        schema = pa.schema([("file", text), ("block", long), ("place", long), ("size", long), ("header", long), ("length", long), ("type", text), ("id", text), ("refers", text), ("uri", text), ("digest", text), ("full", long), ("got_bytes", long), ("got_digest", text), ("payload", pa.binary()), ("follows", long)])
         for batch in batches:
             for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (file, block):
@@ -121,7 +123,7 @@ def _candidates(keep: bool):
                         yield done
                     # what stands before a file's first magic is no record
                     key, place = (file, block), 0 if block == 0 else magic
-                raw = value.encode()
+                raw = value
                 at, place = place - magic, place + len(raw) + magic
                 row = dict.fromkeys(schema.names) | {"file": file, "block": block, "place": at, "size": len(raw)}
                 head = _parse(value) if at >= 0 or block else None
@@ -131,7 +133,7 @@ def _candidates(keep: bool):
                     row |= {"header": n, "length": length, "type": f["warc-type"], "id": f.get("warc-record-id"), "refers": f.get("warc-refers-to"), "uri": f.get("warc-target-uri"), "digest": f.get("warc-payload-digest"), "full": int(f["x-payload-length"]) if f.get("x-payload-length", "").isdigit() else None}
                     if n + length <= len(raw):
                         payload = _payload(raw[n : n + length])
-                        row |= {"got_bytes": len(payload), "got_digest": hashlib.sha256(payload).hexdigest(), "payload": payload.decode("utf-8", "replace") if keep else None}
+                        row |= {"got_bytes": len(payload), "got_digest": hashlib.sha256(payload).hexdigest(), "payload": payload if keep else None}
                 rows.append(row)
         done = flush()
         if done:
@@ -166,12 +168,13 @@ def _reached(entries: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
     """One row a record: file, offset, type, id, refers, uri, payload_bytes, payload_digest, verified, (payload).
 
+    Versions 1.0 and 1.1, also as .gz (a file a task, offsets of the unpacked bytes); payloads are bytes of any kind.
     payload_bytes and payload_digest (lower-case hex SHA-256) are of the full payload: read and checked for records that
     hold it, as stated for revisits. verified is false where a record's payload does not match its stated digest. A file
     that is cut short ends with its last record that is whole; one that does not begin with the magic line has none.
     """
     small_batches(spark)
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    raw = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     rows = materialize(raw.mapInArrow(textops.lean(_candidates(keep_payload)), "file string, " + _KINDS), "candidates")
     magic = F.lit(len(MAGIC))
     sums = rows.groupBy("file", "block").agg(F.sum(F.col("size") + magic).alias("bytes"))
@@ -215,11 +218,11 @@ def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, ke
                 if key != (file, block):
                     key, place = (file, block), 0 if block == 0 else size
                 places.append(place - size)
-                place += len(value.encode()) + size
+                place += len(value) + size
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "block", "value", "place"])
 
     files = torn.select("file").distinct()
-    texts = raw.mapInArrow(textops.lean(number), "file string, block long, value string, place long").join(files, "file", "left_semi").join(bases, ["file", "block"])
+    texts = raw.mapInArrow(textops.lean(number), "file string, block long, value binary, place long").join(files, "file", "left_semi").join(bases, ["file", "block"])
     texts = texts.select("file", (F.col("base") + F.col("place")).alias("from"), "value")
     spans = torn.select("file", F.col("offset").alias("r"), (F.col("offset") + magic + F.col("header") + F.col("length")).alias("stop"))
     # the rows of one record: no more bytes than it has itself
@@ -231,17 +234,17 @@ def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, ke
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                text = MAGIC.encode().join(p["value"].encode() for p in r["parts"])
-                block = text[r["header"] : r["header"] + r["length"]]
+                whole = MAGIC.join(p["value"] for p in r["parts"])
+                block = whole[r["header"] : r["header"] + r["length"]]
                 if len(block) == r["length"]:
                     payload = _payload(block)
-                    out.append({k: v for k, v in r.items() if k != "parts"} | {"got_bytes": len(payload), "got_digest": hashlib.sha256(payload).hexdigest(), "payload": payload.decode("utf-8", "replace") if keep else None})
+                    out.append({k: v for k, v in r.items() if k != "parts"} | {"got_bytes": len(payload), "got_digest": hashlib.sha256(payload).hexdigest(), "payload": payload if keep else None})
             text, long = pa.string(), pa.int64()
             own = [f for f in batch.schema if f.name != "parts"]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*own, ("got_bytes", long), ("got_digest", text), ("payload", text)]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*own, ("got_bytes", long), ("got_digest", text), ("payload", pa.binary())]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "parts")
-    return joined.mapInArrow(textops.lean(finish), fields + ", got_bytes long, got_digest string, payload string")
+    return joined.mapInArrow(textops.lean(finish), fields + ", got_bytes long, got_digest string, payload binary")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_id") -> DataFrame:
@@ -253,7 +256,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, page_id: str =
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, page_id=page_id)
     kind = pages.schema[page_id].dataType.simpleString()
-    own = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    own = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))).cast(kind)
     read = read_archives(spark, path)
     return read.select(own("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", own("refers")).alias("refers_to"), "verified")
 
