@@ -116,12 +116,16 @@ def dup_07(c):
 
 @query("dup_08", f"WITH {_VEC}, {_NEAREST}, x AS (SELECT n.vec_id, nearest, similarity, list_distinct(regexp_extract_all(lower(a.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS b FROM n JOIN documents a ON a.doc_id = vec_id JOIN documents b ON b.doc_id = nearest) SELECT vec_id, nearest, similarity > 0.3 AND CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END >= 0.1 AS duplicate FROM x")
 def dup_08(c):
-    """Two factors: a close vector alone is no duplicate; its text must overlap too."""
+    return two_factor(c, close=0.3, overlap=0.1)
+
+
+def two_factor(c, close: float = 0.95, overlap: float = 0.85) -> DataFrame:
+    """Two factors: a close vector alone is no duplicate; its text must overlap too. The query's values are the fixture's."""
     v = c.table("embeddings")
     near = nearest_of(v.where("vec_id % 50 != 0"), v.where("vec_id % 50 = 0"))
     d = c.docs.select("doc_id", T.long_tokens("text").alias("w"))
     j = near.join(d.select(F.col("doc_id").alias("vec_id"), F.col("w").alias("a")), "vec_id").join(d.select(F.col("doc_id").alias("nearest"), F.col("w").alias("b")), "nearest")
-    return j.select("vec_id", "nearest", ((F.col("similarity") > 0.3) & (T.jaccard(F.col("a"), F.col("b")) >= 0.1)).alias("duplicate"))
+    return j.select("vec_id", "nearest", ((F.col("similarity") > close) & (T.jaccard(F.col("a"), F.col("b")) >= overlap)).alias("duplicate"))
 
 
 @query("dup_09", "WITH base SELECT document_id, normalized_hash IN (SELECT normalized_hash FROM meta WHERE doc_id < 500 AND normalized_hash IS NOT NULL) AS duplicate_of_main FROM meta WHERE doc_id >= 500 AND normalized_hash IS NOT NULL")
@@ -136,12 +140,16 @@ _RECENT = "rq AS (SELECT session_id, turn, created_at, list_distinct(list_filter
 
 @query("dup_10", f"WITH base, {_RECENT}, p AS (SELECT a.session_id, a.turn, b.turn AS earlier FROM rq a JOIN rq b ON a.session_id = b.session_id AND b.created_at < a.created_at AND b.created_at > a.created_at - INTERVAL 10 MINUTE AND len(a.w) > 0 AND len(b.w) > 0 WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE >= 0.1) SELECT session_id, turn, max(earlier) AS earlier FROM p GROUP BY ALL")
 def dup_10(c):
-    """The latest earlier query within ten minutes that contains enough of the same words."""
+    return recent_repeats(c, containment=0.1)
+
+
+def recent_repeats(c, containment: float = 0.6) -> DataFrame:
+    """The latest earlier query within ten minutes that contains enough of the same words. The query's value is the fixture's."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(T.strip_accents(F.lower(F.trim("content"))), r"\s+", " "), " "), lambda w: F.length(w) > 3))
     q = c.episodes.where("role = 'user'").select("session_id", "turn", "created_at", words.alias("w")).where(F.size("w") > 0)
     b = q.select("session_id", F.col("turn").alias("earlier"), F.col("created_at").alias("then"), F.col("w").alias("v"))
     near = (F.col("then") < F.col("created_at")) & (F.col("then") > F.col("created_at") - F.expr("INTERVAL 10 MINUTES"))
-    return q.join(b, "session_id").where(near & (T.containment(F.col("w"), F.col("v")) >= 0.1)).groupBy("session_id", "turn").agg(F.max("earlier").alias("earlier"))
+    return q.join(b, "session_id").where(near & (T.containment(F.col("w"), F.col("v")) >= containment)).groupBy("session_id", "turn").agg(F.max("earlier").alias("earlier"))
 
 
 @query("dup_11", f"WITH base, {_URLDOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY live_chunks DESC, n_chars DESC, stored_at DESC, document_id) AS r FROM u), k AS (SELECT a.document_id, a.source_url, b.document_id AS keeper FROM r a JOIN r b ON a.source_url = b.source_url AND a.r > 1 AND b.r = 1), x AS (SELECT k.document_id, list_distinct(regexp_extract_all(lower(a.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS b FROM k JOIN docs a ON a.document_id = k.document_id JOIN docs b ON b.document_id = keeper) SELECT document_id, CASE WHEN len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE >= 0.6 THEN 'drop' ELSE 'restore' END AS action FROM x")

@@ -18,7 +18,10 @@ from corpusloom.operators.retrieval import bm25
 # Elements that are never content, those that always are, and those that hold text.
 EXCLUDED = frozenset("nav footer header aside script style form iframe noscript svg canvas template".split())
 PROTECTED = frozenset("article main p h1 h2 h3 h4 h5 h6 pre code blockquote figcaption time address cite q em strong b i mark small".split())
-INCLUDED = PROTECTED | frozenset("section div td th li dt dd span figure table tr ul ol dl".split())
+INCLUDED = frozenset(
+    "article main section div p span blockquote pre code h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th "
+    "figure figcaption details summary em strong b i mark small time address cite q".split()
+)
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 WHOLE = (*HEADINGS, "pre", "code", "blockquote")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -114,9 +117,12 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def scored(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add score: BM25 of a block within its page against the page's title, adjusted by structure and length."""
-    title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
-    terms = pages.select("page_id", F.explode(F.array_distinct(T.found(F.lower(title), T.WORD))).alias("term")).withColumn("q", F.lit(0))
+    """Add score: BM25 of a block within its page against the page's title, first h1, description and keywords, adjusted by
+    structure and length."""
+    first = lambda pattern: F.regexp_extract("html", pattern, 1)
+    meta = lambda name: F.concat_ws(" ", first(rf"(?is)<meta[^>]*name=[\"']?{name}[\"']?[^>]*content=[\"']([^\"']*)"), first(rf"(?is)<meta[^>]*content=[\"']([^\"']*)[\"'][^>]*name=[\"']?{name}\b"))
+    topic = F.concat_ws(" ", first("(?is)<title[^>]*>(.*?)</title>"), F.regexp_replace(first(r"(?is)<h1\b[^>]*>(.*?)</h1>"), "<[^>]*>", " "), meta("description"), meta("keywords"))
+    terms = pages.select("page_id", F.explode(F.array_distinct(T.found(F.lower(topic), T.WORD))).alias("term")).withColumn("q", F.lit(0))
     hits = bm25(found, "block", terms, "q", 1.5, 0.75, prefix=("page_id",)).select("page_id", "block", "score")
     n = F.size(T.words_of("text"))
     factor = F.when(F.col("tag").isin(*HEADINGS), 1.5).otherwise(1.0) * (1 + 0.1 * F.col("positive")) * F.when(F.col("negative") > 0, F.greatest(F.lit(0.1), 1 - 0.2 * F.col("negative"))).otherwise(1.0) * F.when(n < 10, 0.5).when(n > 100, 1.2).otherwise(1.0)
@@ -136,10 +142,13 @@ def _scored(c) -> DataFrame:
     return scored(page_blocks(c.table("pages")), c.table("pages"))
 
 
-@query("html_01", "SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(nav|footer|script|style)[^>]*>.*?</(nav|footer|script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS left FROM pages".replace("AS left", "AS rest"))
+_EXCLUDED = "nav|footer|header|aside|script|style|form|iframe|noscript|svg|canvas|template"
+
+
+@query("html_01", f"SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<({_EXCLUDED})\\b[^>]*>.*?</({_EXCLUDED})>', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS rest FROM pages")
 def html_01(c):
     """Excluded elements and comments out, by patterns: the flat form of what the tree walk does."""
-    y = F.regexp_replace("html", "(?is)<(nav|footer|script|style)[^>]*>.*?</(nav|footer|script|style)>", "")
+    y = F.regexp_replace("html", rf"(?is)<({'|'.join(sorted(EXCLUDED))})\b[^>]*>.*?</({'|'.join(sorted(EXCLUDED))})>", "")
     return c.table("pages").select("page_id", F.length(F.regexp_replace(y, "(?s)<!--.*?-->", "")).cast("long").alias("rest"))
 
 

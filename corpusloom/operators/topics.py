@@ -16,10 +16,13 @@ from corpusloom.operators.relational_queries import _VEC, mean_vectors
 from corpusloom.operators.scalar_queries import cosine
 from corpusloom.plans.components import connected_components
 
-THRESHOLD = 0.3
+# Similarity that joins two documents, and that of a parent cluster.
+THRESHOLD, PARENT_THRESHOLD = 0.52, 0.65
+#: What the queries use instead, as the vectors of the test tables are nearly orthogonal (see FIXTURES.md).
+FIXTURE_THRESHOLD, FIXTURE_PARENT = 0.3, 0.05
 
 
-def vector_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+def vector_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, s), a < b, with cosine >= threshold. All pairs of the vectors given: meant for document centroids."""
     a, b = (vectors.select(F.col("vec_id").alias(x), F.col("embedding").alias("e" + x)) for x in "ab")
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 9).alias("s")).where(F.col("s") >= threshold)
@@ -81,14 +84,14 @@ def _sample(c) -> DataFrame:
 @query("top_c1")
 def top_c1(c):
     """Complete linkage."""
-    return clustered(_sample(c), THRESHOLD, complete_linkage)
+    return clustered(_sample(c), FIXTURE_THRESHOLD, complete_linkage)
 
 
 @query("top_c2")
 def top_c2(c):
     """Single pass; clusters of two or more, with their coherence."""
     v = _sample(c)
-    m = clustered(v, THRESHOLD, single_pass)
+    m = clustered(v, FIXTURE_THRESHOLD, single_pass)
     held = m.groupBy("cluster").agg(F.count("*").alias("n")).where("n >= 2")
     members = m.join(held, "cluster").join(v.select("vec_id", "embedding"), "vec_id")
     near = members.join(mean_vectors(members, "cluster"), "cluster").select("cluster", "n", cosine(F.col("embedding"), F.col("centroid")).alias("s"))
@@ -101,10 +104,13 @@ _CC = "round(list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sq
 
 @query("top_c3", f"WITH {_VEC}, {_CEN}, p AS (SELECT a.label, b.label AS parent, {_CC} AS s FROM cen a JOIN cen b ON b.label < a.label) SELECT label, parent FROM p WHERE s > 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, parent) = 1")
 def top_c3(c):
+    return parents(mean_vectors(c.table("embeddings")), FIXTURE_PARENT)
+
+
+def parents(m: DataFrame, threshold: float = PARENT_THRESHOLD) -> DataFrame:
     """Parent: the most similar earlier cluster above a threshold, so the hierarchy has no cycle."""
-    m = mean_vectors(c.table("embeddings"))
     b = m.select(F.col("label").alias("parent"), F.col("centroid").alias("pc"))
-    p = m.join(b, F.col("parent") < F.col("label")).select("label", "parent", F.round(cosine(F.col("centroid"), F.col("pc")), 6).alias("s")).where("s > 0.05")
+    p = m.join(b, F.col("parent") < F.col("label")).select("label", "parent", F.round(cosine(F.col("centroid"), F.col("pc")), 6).alias("s")).where(F.col("s") > threshold)
     w = Window.partitionBy("label").orderBy(F.desc("s"), "parent")
     return p.withColumn("r", F.row_number().over(w)).where("r = 1").select("label", "parent")
 

@@ -167,3 +167,16 @@ def test_files_are_scanned_registered_and_upserted(spark, tmp_path):
     assert mimes == {"a.txt": "text/plain", "b.pdf": "application/pdf", "copy.txt": "text/plain"}
     rows = lambda *x: spark.createDataFrame(x, "k int, v int, at int")
     assert {(r.k, r.v) for r in files.upsert(rows((1, 1, 1), (2, 1, 1)), rows((1, 2, 2)), "k", "at").collect()} == {(1, 2), (2, 1)}
+
+
+def test_without_a_shared_folder_a_cluster_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from corpusloom.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
