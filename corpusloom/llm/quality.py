@@ -1,8 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-A text is cut into runs of letters, digits and punctuation. Features, hashed into 2^bits places: each run as a word, and
-1- to 3-grams of run shapes (class, case and length), which carry over to words never seen, and one place for any word
-that repeats the word before it. Values are
+A text is cut into runs of letters, digits and punctuation. Features, hashed into 2^bits places, are the 1- to 3-grams of
+these words and the 1- to 3-grams of their shapes (class, case and length), which carry over to words never seen. Values are
 log(1 + count), scaled to length 1. The score is the logistic function of one sparse dot product. Only the text is used.
 """
 
@@ -49,17 +48,14 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     # punctuation keeps its bytes; words keep class, case and a coarse length
     shape = np.where(kind[start] == 3, word, textops.mix((kind[start].astype(np.uint64) << np.uint64(8)) | (case.astype(np.uint64) << np.uint64(4)) | np.minimum(size // 4, 7).astype(np.uint64))) if len(start) else word
     row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    parts, where = [word ^ np.uint64(1), textops.mix(shape + np.uint64(7))], [row, row]
-    if len(word) > 1:
-        again = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-        parts.append(np.full(int(again.sum()), textops.mix(np.array([2], np.uint64))[0]))
-        where.append(row[1:][again])
-    for n in (2, 3):
-        if len(shape) >= n:
-            whole = row[n - 1 :] == row[: len(row) - n + 1]
-            gram = shape[: len(shape) - n + 1].copy()
-            for j in range(1, n):
-                gram = textops.mix(gram * np.uint64(31) + shape[j : len(shape) - n + 1 + j])
+    parts, where = [], []
+    for runs, salt in ((word, 1), (shape, 7)):
+        gram = textops.mix(runs + np.uint64(salt))
+        parts.append(gram)
+        where.append(row)
+        for n in (2, 3):
+            gram = textops.mix(gram[:-1] * np.uint64(31) + runs[n - 1 :])
+            whole = row[n - 1 :] == row[: max(len(row) - n + 1, 0)]
             parts.append(gram[whole])
             where.append(row[n - 1 :][whole])
     place = (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
@@ -129,14 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Train on at most max_rows labelled rows outside the held-out fold, picked by a hash of the id.
 
     The sample is bounded, so one task trains on it and only the weights come to the driver. Null labels and null ids are
-    left out, as are labels other than 0 and 1. Without any labelled row all weights are 0 and each score is 0.5.
+    left out, as are labels other than 0 and 1. Of rows that share an id the least text and the larger label count, once. Without any labelled row all weights are 0 and each score is 0.5.
     """
-    usable = labels.where(in_training(doc_id) & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
+    usable = labels.where(in_training(doc_id) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     n = usable.count()
     order = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
     if n > max_rows:
         usable = usable.where(order < int(max_rows / n * (1 << 30)))
     picked = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(usable), "id")
+    # an id that occurs often counts once
+    picked = picked.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def learn(batches):
         # the sample is bounded by max_rows, so it fits one worker

@@ -51,3 +51,58 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "x", 1)], SCHEMA)
     w = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(docs, w).first().score == 0.5
+
+
+def _plain_score(text, weights, bits):
+    """The score of one text, word by word, with dicts."""
+    import math
+    import re
+
+    import numpy as np
+
+    from corpusloom.llm import textops
+
+    one = lambda x: int(textops.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    hashed = lambda raw: int(textops.hash_spans(textops.LOWER[np.frombuffer(raw, np.uint8)], np.array([0]), np.array([len(raw)]))[0])
+    words = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x00-\x20\x7f]+", text.encode())
+    shapes = []
+    for w in words:
+        upper = sum(65 <= b <= 90 for b in w)
+        case = 0 if not upper else 1 if upper == len(w) else 2 if upper == 1 and 65 <= w[0] <= 90 else 3
+        kind = 1 if re.match(rb"[A-Za-z\x80-\xff]", w) else 2 if w[:1].isdigit() else 3
+        shapes.append(hashed(w) if kind == 3 else one(kind << 8 | case << 4 | min(len(w) // 4, 7)))
+    counts = {}
+    for runs, salt in (([hashed(w) for w in words], 1), (shapes, 7)):
+        for i in range(len(runs)):
+            gram = one(runs[i] + salt)
+            for n in range(3):
+                if n:
+                    if i + n >= len(runs):
+                        break
+                    gram = one(gram * 31 + runs[i + n])
+                counts[gram >> (64 - bits)] = counts.get(gram >> (64 - bits), 0) + 1
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values())) or 1
+    return 1 / (1 + math.exp(-(sum(weights[k] * math.log1p(c) for k, c in counts.items()) / norm + weights[-1])))
+
+
+def test_scores_against_a_plain_scorer(spark, weights):
+    docs = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts = [*docs, "", "A", "a b", "Ab, c1 22!! ÉÉ éa", "same same same", "x\ty\nz"]
+    got = quality.scores(pa.array(texts, pa.large_string()), weights, 18)
+    assert all(abs(_plain_score(t, weights, 18) - s) < 1e-9 for t, s in zip(texts, got, strict=True))
+
+
+def test_word_order_counts(spark, weights):
+    a, b = "the cat sat on the mat today", "mat the on sat cat the today"
+    data = quality.textops.buffers(pa.array([a, b]))
+    place, _, ptr = quality.features(*data, 18)
+    assert set(place[: ptr[1]]) != set(place[ptr[1] :])
+
+
+def test_an_id_that_repeats_is_learned_once(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    some = docs.where("doc_id < 100")
+    again = some
+    for _ in range(4):
+        again = again.unionByName(again)
+    assert (quality.fit(again, labels.unionByName(labels)) == quality.fit(some, labels)).all()
