@@ -56,6 +56,27 @@ def test_against_brute_force(spark):
     rows += [(900, v, rows[0][2]), (901, v, rows[0][2]), (902, v, None), (903, None, 0), (904, [0.0] * 6, 0), (905, [float("nan")] + v[1:], 0), (906, [None] + v[1:], 0), (907, [float("inf")] + v[1:], 0), (908, v[:3], rows[0][2]), (None, v, rows[0][2]), (909, [], 0), (900, v, rows[0][2])]
     assert _run(spark, rows) == _brute(rows)
     assert _run(spark, rows, block=16) == _brute(rows)
+    assert _run(spark, rows, block=4, sample_rows=20) == _brute(rows)
+
+
+def test_tiny_and_huge_doubles(spark):
+    base = [[1.0, 2.0, 3.0], [1.01, 2.0, 3.0], [3.0, -1.0, 0.5]]
+    rows = [(3 * k + i, [x * f for x in v], 1) for k, f in enumerate((1.0, 1e-200, 1e200)) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.row.vec_id: (r.n_links, r.component_id) for r in links.embedding_links(df).collect()}
+    assert got == {i: (5, 0) if i % 3 < 2 else (2, 2) for i in range(9)}
+
+
+def test_far_cells_do_not_meet(spark):
+    """Of tight groups each point is sent to a few tasks, however many groups the label has."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    v = np.repeat(centres, 30, axis=0) + 0.02 * rng.normal(size=(1200, 32))
+    points = spark.createDataFrame([(1, 32, i, 1, x.tolist()) for i, x in enumerate(v)], "label int, width int, node long, copies long, v array<double>")
+    large = spark.createDataFrame([(1, 32, 1200)], "label int, width int, n long")
+    limit = float(np.sqrt(2 - 2 * 0.93))
+    sent = links._leaves(points, large, 600, 30, limit * (1 + 1e-6), limit)
+    assert 1200 <= sent.count() <= 2 * 1200
 
 
 def test_empty_and_all_alike(spark):
@@ -81,3 +102,18 @@ def test_dual_traversal_finds_exactly_the_links(seed, n, split):
     assert add.tolist() == (hit @ weight).tolist()
     for x, y in zip(*np.nonzero(hit), strict=True):
         assert top[x] == top[y]
+
+
+def test_many_points_are_walked_in_bounded_parts():
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(900, 8)), rng.normal(size=(1, 8)) + 0.15 * rng.normal(size=(700, 8))])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for second in (np.zeros(1600, bool), rng.random(1600) < 0.5):
+        hit = unit @ unit.T >= 0.93
+        np.fill_diagonal(hit, False)
+        if second.any():
+            hit &= second[:, None] != second[None, :]
+        add, top = links.task_links(v, np.ones(1600, np.int64), second, 0.93)
+        assert add.tolist() == hit.sum(axis=1).tolist()
+        x, y = np.nonzero(hit)
+        assert (top[x] == top[y]).all()
