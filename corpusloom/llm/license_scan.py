@@ -1,7 +1,8 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
-Each text is streamed through the automaton for its matching statistics (the longest template substring that ends at each
-word). Maximal matches of min_match words are chained per template, in order and with bounded gaps, into covered spans.
+Each text is streamed through the automaton for its matching statistics: the longest part of each template that ends at each
+word. Matches of min_match words that can't go on are chained per template, in order and with bounded gaps, into covered
+spans; of one template all chains that cover enough of it and don't overlap are told.
 Words outside the templates reset the automaton, so only runs of template words leave the vectorised path.
 """
 
@@ -29,6 +30,7 @@ TEMPLATES = {
         "Released under the BSD License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -37,11 +39,15 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
     "mit": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "reserved": ["All rights reserved"],
@@ -92,12 +98,23 @@ class Automaton:
             self.link[new] = self._split(state, word)
         return new
 
-    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
-        """Maximal matches (end, length, state) of at least so many words."""
+    def held(self, least: int) -> list[dict[tuple[int, int], int]]:
+        """For each state the places (template, place) that its shorter suffixes of at least so many words end at, with these
+        suffixes' lengths, where they are longer than its link's own words there."""
+        out: list[dict[tuple[int, int], int]] = [{} for _ in self.size]
+        for state in sorted(range(1, len(self.size)), key=lambda s: self.size[s]):
+            up = self.link[state]
+            if self.size[up] >= least:
+                out[state] = dict(out[up]) | dict.fromkeys(self.ends[up], self.size[up])
+        return out
+
+    def matches(self, words: list[int], least: int, held: list[dict[tuple[int, int], int]]) -> list[tuple[int, int, int, int]]:
+        """Matches (end, template, place, length) of at least so many words with a template, of any that end at a place the
+        longest, and none that goes on."""
         state = size = 0
-        found = []
+        found: list[tuple[int, int, int, int]] = []
+        before: dict[tuple[int, int], int] = {}
         for i, word in enumerate(words):
-            before = (i, size, state)
             while state and word not in self.next[state]:
                 state = self.link[state]
                 size = self.size[state]
@@ -105,11 +122,10 @@ class Automaton:
                 state, size = self.next[state][word], size + 1
             else:
                 state = size = 0
-            if before[1] >= least and size <= before[1]:
-                found.append(before)
-        if size >= least:
-            found.append((len(words), size, state))
-        return found
+            now = held[state] | dict.fromkeys(self.ends[state], size) if size >= least else {}
+            found += [(i, t, place, n) for (t, place), n in before.items() if (t, place + 1) not in now]
+            before = now
+        return [*found, *((len(words), t, place, n) for (t, place), n in before.items())]
 
 
 class Scanner:
@@ -124,6 +140,7 @@ class Scanner:
         parts = [ids[ptr[i] : ptr[i + 1]].tolist() for i in range(len(ptr) - 1)]
         self.sizes = [len(x) for x in parts[: len(texts)]]
         self.automaton = Automaton(parts[: len(texts)])
+        self.held = self.automaton.held(min_match)
         self.phrases = list(zip(parts[len(texts) :], base.values(), strict=True))
 
     @staticmethod
@@ -131,33 +148,36 @@ class Scanner:
         data, offsets = textops.buffers(pa.array(texts, pa.large_string()))
         return textops.word_hashes(data, offsets)
 
+    def chained(self, hits: list[tuple[int, int, int]], enough: float) -> list[tuple[int, int, int]]:
+        """Chains (first word, last word, covered words) of one template's hits (end, place, length), the best first, then those
+        that cover enough beside it without overlap."""
+        hits = sorted(hits)
+        best: list[tuple[int, int]] = []  # covered words of the best chain that ends here, its first word
+        for i, (end, place, size) in enumerate(hits):
+            covered, first = size, end - size
+            for j in range(i - 1, -1, -1):
+                b_end, b_place, _ = hits[j]
+                if end - size - b_end > self.max_gap:
+                    break
+                new = size - max(0, b_end - (end - size), b_place - (place - size))
+                if new > 0 and b_place < place and b_end < end and best[j][0] + new > covered:
+                    covered, first = best[j][0] + new, best[j][1]
+            best.append((covered, first))
+        out: list[tuple[int, int, int]] = []
+        for (end, _, _), (covered, first) in sorted(zip(hits, best, strict=True), key=lambda x: (-x[1][0], x[0])):
+            if covered < enough:
+                break
+            if all(end <= a or first > b for a, b, _ in out):
+                out.append((first, end - 1, covered))
+        return sorted(out)
+
     def chains(self, runs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int]]:
-        """Best chains (template, first word, last word, covered words) of a text's runs (start, words)."""
+        """Chains (template, first word, last word, covered words) of a text's runs (start, words)."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for at, words in runs:
-            for end, size, state in self.automaton.matches(words, self.min_match):
-                for template, place in self.automaton.ends[state]:
-                    by.setdefault(template, []).append((at + end, place, size))
-        out = []
-        for template, hits in by.items():
-            hits.sort()
-            best: list[tuple[int, int]] = []  # covered words of the best chain that ends here, its first word
-            for i, (end, place, size) in enumerate(hits):
-                covered, first = size, end - size
-                for j in range(i - 1, -1, -1):
-                    b_end, b_place, _ = hits[j]
-                    if end - size - b_end > self.max_gap:
-                        break
-                    new = size - max(0, b_end - (end - size), b_place - (place - size))
-                    if new > 0 and b_place < place and b_end < end and best[j][0] + new > covered:
-                        covered, first = best[j][0] + new, best[j][1]
-                best.append((covered, first))
-            done = -1
-            for (end, _, _), (covered, first) in sorted(zip(hits, best, strict=True), key=lambda x: (-x[1][0], x[0])):
-                if covered >= self.min_cover * self.sizes[template] and (done < 0 or covered == done):
-                    out.append((template, first, end - 1, covered))
-                    done = covered
-        return out
+            for end, template, place, size in self.automaton.matches(words, self.min_match, self.held):
+                by.setdefault(template, []).append((at + end, place, size))
+        return [(t, *x) for t, hits in by.items() for x in self.chained(hits, self.min_cover * self.sizes[t])]
 
     def scan(self, column: pa.Array):
         """For each row: words, base places, first, last, base labels, labels, score, spans."""
@@ -207,8 +227,8 @@ _NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, base: dict[str, str] = BASE, min_match: int = 3, max_gap: int = 12, min_cover: float = 0.7) -> DataFrame:
     """For each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    score is the largest share of a template that one chain covers, and 1 for any base phrase; spans are the best chains
-    of each template from min_cover on. Null and empty texts have no words, no labels and score 0. Repeated rows and null
+    score is the largest share of a template that one chain covers, and 1 for any base phrase; spans are all chains
+    of each template from min_cover on that do not overlap, the best first. Null and empty texts have no words, no labels and score 0. Repeated rows and null
     ids are kept; other columns are left out.
     """
 

@@ -21,19 +21,78 @@ def _base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def _hits(words, sequence, least):
+    """(end, place, length) of the longest common parts that end at a word and a place of a template and can't go on."""
+    out = []
+    for end in range(1, len(words) + 1):
+        for place in range(1, len(sequence) + 1):
+            n = 0
+            while n < min(end, place) and words[end - n - 1] == sequence[place - n - 1]:
+                n += 1
+            if n >= least and not (end < len(words) and place < len(sequence) and words[end] == sequence[place]):
+                out.append((end, place, n))
+    return out
+
+
 def test_automaton_against_brute_force():
     rng = random.Random(3)
     for _ in range(400):
         sequences = [[rng.randint(0, 3) for _ in range(rng.randint(1, 9))] for _ in range(3)]
         automaton, words = scan.Automaton(sequences), [rng.randint(0, 4) for _ in range(15)]
-        inside = lambda part: any(s[i : i + len(part)] == part for s in sequences for i in range(len(s)))  # noqa: B023, E731
-        stats = [max(n for n in range(end + 1) if n == 0 or inside(words[end - n : end])) for end in range(1, 16)]
-        want = [(e, stats[e - 1]) for e in range(1, 16) if stats[e - 1] >= 2 and (e == 15 or stats[e] <= stats[e - 1])]
-        got = automaton.matches(words, 2)
-        assert [(e, n) for e, n, _ in got] == want
-        for e, n, state in got:
-            part = words[e - n : e]
-            assert automaton.ends[state] == {(k, i + n) for k, s in enumerate(sequences) for i in range(len(s) - n + 1) if s[i : i + n] == part}
+        got = automaton.matches(words, 2, automaton.held(2))
+        assert sorted(got) == sorted((e, t, p, n) for t, s in enumerate(sequences) for e, p, n in _hits(words, s, 2))
+
+
+def _best_chain(hits, gap):
+    """Most covered words over all sets of hits in order in the text and the template, with bounded gaps."""
+    best = 0
+    for chosen in range(1, 1 << len(hits)):
+        chain = [h for i, h in enumerate(hits) if chosen >> i & 1]
+        covered = chain[0][2]
+        for (b_end, b_place, _), (end, place, size) in zip(chain, chain[1:], strict=False):
+            new = size - max(0, b_end - (end - size), b_place - (place - size))
+            if not (b_end < end and b_place < place and end - size - b_end <= gap and new > 0):
+                break
+            covered += new
+        else:
+            best = max(best, covered)
+    return best
+
+
+def test_chaining_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        sequence = [rng.randint(0, 5) for _ in range(10)]
+        words = []
+        while len(words) < 22:
+            at = rng.randint(0, 7)
+            words += sequence[at : at + rng.randint(2, 5)] + [9] * rng.randint(0, 3)
+        hits = sorted(_hits(words, sequence, 2))[:12]
+        scanner = scan.Scanner({"a": ["x y z"]}, {}, 2, 2, 0.5)
+        got = scanner.chained(hits, 0.0)
+        assert max((c for *_, c in got), default=0) == _best_chain(hits, 2)
+        for (a, b, _), (c, d, _) in zip(got, got[1:], strict=False):
+            assert a <= b < c <= d
+
+
+def _spans(text, **options):
+    templates = options.get("templates", scan.TEMPLATES)
+    *_, spans = next(iter(scan.Scanner(templates, scan.BASE, 3, 12, 0.7).scan(pa.array([text], pa.large_string()))))
+    return spans
+
+
+def test_every_notice_that_covers_enough_is_told():
+    notice = "one two three four five six seven eight nine ten".split()
+    worn = [*notice[:4], "other", *notice[5:]]
+    text = " ".join([*notice, *["gap"] * 40, *worn, *["gap"] * 40, *notice[:5]])
+    spans = _spans(text, templates={"x": [" ".join(notice)]})
+    assert [(s["first_word"], s["last_word"], s["covered"]) for s in spans] == [(0, 9, 10), (50, 59, 9)]
+
+
+def test_a_part_shared_with_a_longer_match_counts_for_both():
+    templates = {"a": ["p q r s t u v w"], "b": ["q r s t u x y"]}
+    spans = _spans("0 p q r s t u v w 0 0", templates=templates)
+    assert {s["label"]: s["covered"] for s in spans} == {"a": 8, "b": 5}
 
 
 def test_rows(spark):
