@@ -202,7 +202,7 @@ def _with_pivots(spread: DataFrame, rows: DataFrame, text: str, shingle_words: i
 
     A node's pivot is the most drawn node of any of its buckets, so the members of a group of copies mostly have the same.
     """
-    centres = _by_band(spread.groupBy("band").agg(F.max(F.struct("drawn", "node", "size")).alias("m")))
+    centres = _written(spread.groupBy("band").agg(F.max(F.struct("drawn", "node", "size")).alias("m")))
     pivots = materialize(spread.join(centres, "band").groupBy("node").agg(F.max("m").alias("m"), F.min(F.col("size") - F.col("common")).alias("own")).select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("m.size").alias("pivot_size"), "own"), "pivots")
 
     def compare(batches):
@@ -246,15 +246,15 @@ def _own_shingles(ids: DataFrame, rows: DataFrame, text: str, shingle_words: int
     return alone.groupBy("node").agg(F.sum("n").alias("own"))
 
 
-def _by_band(found: DataFrame) -> DataFrame:
-    """A table of one row a band, written before it is joined: a join of two plain exchanges can be split where a band is hot."""
-    return sized(materialize(found, "bands"))
+def _written(found: DataFrame) -> DataFrame:
+    """A table of one row a band or component, written before it is joined: a join of two plain exchanges can be split where one is hot."""
+    return sized(materialize(found, "bands"), 300_000)
 
 
 def _mixed(spread: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components."""
     bands = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most")).where("lo != hi").drop("lo", "hi")
-    return spread.join(_by_band(bands), "band")
+    return spread.join(_written(bands), "band")
 
 
 def _labelled(spread: DataFrame, found: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _sides(mixed: DataFrame, name: str) -> DataFrame:
 
 def _to_centres(mixed: DataFrame, tenths: int) -> DataFrame:
     """Pairs (a, b), a > b, of each node and the most drawn of its bucket, if that is of another component."""
-    centres = _by_band(_sides(mixed, "y").groupBy("bandy").agg(F.max("y").alias("y")))
+    centres = _written(_sides(mixed, "y").groupBy("bandy").agg(F.max("y").alias("y")))
     pairs = _sides(mixed, "x").join(centres, F.col("bandx") == F.col("bandy")).where((F.col("x.component") != F.col("y.component")) & _may_link("x", "y", tenths))
     return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
@@ -312,13 +312,13 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialize(rows.where("size > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "nodes")
     nodes = rows.select("rid", "size", "bands").join(members.select(F.col("node").alias("rid")), "rid", "left_semi")
     banded = nodes.select(F.col("rid").alias("node"), "size", F.explode("bands").alias("band"))
-    shared = _by_band(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = _written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = materialize(banded.join(shared, "band"), "buckets")
     # a bucket's centre is the node that meets the most others over all its buckets: the least edited of a group of copies
     drawn = buckets.groupBy("node").agg(F.sum("n").alias("drawn"))
     within = materialize(buckets.join(drawn, "node").select("band", "node", "size", "drawn"), "drawn")
     drop_scratch(buckets)
-    centres = _by_band(within.groupBy("band").agg(F.max(F.struct("drawn", "node")).alias("m")).select("band", F.col("m.node").alias("centre"), F.col("m.drawn").alias("pull")))
+    centres = _written(within.groupBy("band").agg(F.max(F.struct("drawn", "node")).alias("m")).select("band", F.col("m.node").alias("centre"), F.col("m.drawn").alias("pull")))
     stars = within.join(centres, "band").where("node != centre").groupBy("node", "centre").agg(F.struct(F.count("*").alias("n"), F.max("pull").alias("pull"), F.col("centre")).alias("m")).groupBy("node").agg(F.max("m").alias("m"))
     tested = materialize(stars.select(F.greatest("node", "m.centre").alias("a"), F.least("node", "m.centre").alias("b")).distinct(), "stars")
     links = _verify(tested, rows, text, shingle_words, tenths)
@@ -342,7 +342,7 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = grouped.groupBy("component").agg(F.sum("n").alias("class_size")).where("class_size > 1")
     own = rows.select("rid", "f1", "f2", "size", F.col(f"row.`{doc_id}`").alias("id")).where("size > 0").join(grouped.join(large, "component").select("f1", "f2", "component", "class_size"), ["f1", "f2"])
     own = materialize(own.select("rid", "id", "component", "class_size"), "members")
-    heads = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "rid")).alias("head"))
+    heads = _written(own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "rid")).alias("head")))
     told = own.join(heads, "component").select("rid", F.col("head.id").alias("class_id"), (F.col("rid") == F.col("head.rid")).alias("kept"), "class_size")
     out = rows.select("row", "rid").join(sized(materialize(told, "told")), "rid", "left")
     alone = F.col("kept").isNull()
