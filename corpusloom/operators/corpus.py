@@ -29,6 +29,17 @@ trace AS (SELECT event_id AS seq, user_id AS artifact_id, event_type AS stage, C
 """
 
 
+#: Below so many bytes a core a table is dealt out before costly work: files of one row group are one task otherwise.
+_SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a table that fills them is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * _SMALL else df
+
+
 class Corpus:
     """Lazy tables of one folder."""
 
@@ -61,7 +72,7 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.fixed_window(self.docs, keep=("doc_id", "source", "tombstoned"))
+        return chunking.fixed_window(spread(self.docs), keep=("doc_id", "source", "tombstoned"))
 
     @cached_property
     def episodes(self) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _GROUPS, _NEAREST, _URLDOCS, _VEC, chunk_groups, in_period, nearest_of, percentiles, url_documents
 from corpusloom.plans.components import connected_components
+from corpusloom.session import materialize
 
 # Duplicates
 
@@ -51,24 +54,49 @@ def dup_05(c):
     return c.chunks.join(drops, "document_id", "left_anti").select("chunk_id")
 
 
-def similar_pairs(sets: DataFrame, key: str, tokens: str, tenths: int = 8) -> DataFrame:
+def similar_pairs(sets: DataFrame, key: str, tokens: str, tenths: int = 8, share: int = 1000) -> DataFrame:
     """(a, b, similarity), a < b: exact Jaccard join by prefix filter. Tokens are ordered by rarity; two sets that reach the
-    threshold share one of their first size - ceil(t size) + 1 tokens. Equal sets meet once per distinct set."""
-    whole = sets.select(F.array_sort(F.array_distinct(tokens)).alias("w"), key).where(F.size("w") > 0)
-    distinct = whole.groupBy("w").agg(F.min(key).alias("rep"))
-    each = distinct.select("rep", F.size("w").alias("n"), F.explode("w").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(counts, "token").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s.token).alias("t"))
-    width = F.col("n") - F.floor((tenths * F.col("n") + 9) / 10) + 1
-    prefix = ordered.select("rep", "n", F.explode(F.slice("t", F.lit(1), width.cast("int"))).alias("token"))
-    a, b = (prefix.select("token", F.col("rep").alias(x), F.col("n").alias("n" + x)) for x in "ab")
+    threshold share one of their first size - ceil(t size) + 1 tokens, early enough that the rest can make up for it. Equal
+    sets meet once per distinct set. keys are unique.
+
+    Rarity is counted over all sets. Tokens in one of `share` sets or more are at most share times the mean size in number;
+    they are sent out with their counts and come last, the others, by hash, come first.
+    """
+    whole = materialize(sets.select(key, F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0).withColumn("same", F.sha2(F.array_join("w", " "), 256)), "sets")
+    distinct = materialize(whole.groupBy("same").agg(F.min(key).alias("rep"), F.count("*").alias("copies")), "distinct")
+    reps = whole.join(distinct, (whole["same"] == distinct["same"]) & (whole[key] == distinct["rep"])).select("rep", "w")
+    hashes = F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))
+    reps = materialize(reps.select("rep", "w", hashes.alias("h")), "reps")
+    counts = reps.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    common = {r.h: r.df for r in counts.where(F.col("df") * share >= reps.count()).collect()}
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+    kind = reps.schema["rep"].dataType.simpleString()
+
+    def prefixes(batches):
+        rank = sent.value
+        for batch in batches:
+            at, n, token, pos = [], [], [], []
+            for i, h in enumerate(batch.column(1).to_pylist()):
+                size = len(h)
+                h.sort(key=lambda x: (rank.get(x, 0), x))
+                width = size - (tenths * size + 9) // 10 + 1
+                at += [i] * width
+                n += [size] * width
+                token += h[:width]
+                pos += range(width)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(token, pa.int64()), pa.array(pos, pa.int64())], ["rep", "n", "token", "pos"])
+
+    prefix = materialize(reps.select("rep", "h").mapInArrow(prefixes, f"rep {kind}, n long, token long, pos long"), "prefixes")
+    a, b = (prefix.select("token", F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x)) for x in "ab")
     near = (F.col("a") < F.col("b")) & (10 * F.least("na", "nb") >= tenths * F.greatest("na", "nb"))
-    pairs = a.join(b, "token").where(near).select("a", "b").distinct()
-    both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
+    # of the first token that both have, all that both share comes from there on
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    pairs = a.join(b, "token").where(near & ((10 + tenths) * most >= tenths * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     scored = both.select("a", "b", shared.alias("s"), (F.size("wa") + F.size("wb") - shared).alias("u")).where(10 * F.col("s") >= tenths * F.col("u"))
     found = scored.select("a", "b", F.round(F.col("s") / F.col("u"), 6).alias("similarity"))
-    copies = whole.join(distinct, "w").where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
+    copies = whole.select("same", key).join(distinct.where("copies > 1"), "same").where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
     return found.unionByName(copies)
 
 
@@ -78,7 +106,7 @@ _TOKD = "t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract
 @query("dup_06", f"WITH {_TOKD}, p AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.w, y.w)) AS s, len(x.w) + len(y.w) AS n FROM d x JOIN d y ON x.rep < y.rep AND 10 * least(len(x.w), len(y.w)) >= 8 * greatest(len(x.w), len(y.w))) SELECT a, b, round(s / (n - s)::DOUBLE, 6) AS similarity FROM p WHERE 10 * s >= 8 * (n - s) UNION ALL SELECT rep, doc_id, 1.0 FROM t JOIN d USING (w) WHERE doc_id <> rep")
 def dup_06(c):
     """Links of the near-duplicate test; accepted() folds them in order."""
-    return similar_pairs(c.docs.select("doc_id", T.tokens("text").alias("w")), "doc_id", "w")
+    return similar_pairs(spread(c.docs).select("doc_id", T.tokens("text").alias("w")), "doc_id", "w")
 
 
 def accepted(docs: DataFrame, links: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import looks_like_article
 from corpusloom.operators.retrieval import bm25
+from corpusloom.session import materialize
 
 # Elements that are never content, those that always are, and those that hold text.
 EXCLUDED = frozenset("nav footer header aside script style form iframe noscript svg canvas template".split())
@@ -113,7 +115,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             rows = [(p, i, *x) for p, page in zip(b["page_id"], b["html"], strict=True) for i, x in enumerate(blocks(page))]
             yield pd.DataFrame(rows, columns=["page_id", "block", "text", "tag", "positive", "negative"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, block int, text string, tag string, positive int, negative int")
+    return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, block int, text string, tag string, positive int, negative int")
 
 
 def scored(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -139,7 +141,8 @@ def selected(blocks_: DataFrame, most: int = 50) -> DataFrame:
 
 
 def _scored(c) -> DataFrame:
-    return scored(page_blocks(c.table("pages")), c.table("pages"))
+    # pages are parsed once
+    return scored(materialize(page_blocks(c.table("pages")), "blocks"), c.table("pages"))
 
 
 _EXCLUDED = "nav|footer|header|aside|script|style|form|iframe|noscript|svg|canvas|template"

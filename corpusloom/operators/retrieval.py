@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +27,58 @@ def postings(texts: DataFrame, key: str, pattern: str = T.WORD) -> DataFrame:
     return words.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, key, score) of every match; queries has (query_id, term), distinct. With prefix columns, both sides are
-    partitioned by them and statistics are per partition."""
+def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[str] | None) -> DataFrame:
+    """keys, len and terms (term, tf) of each text, one row a text: words are counted inside the row, so no word is shuffled.
+    With terms, others are left out of the counts, not of len."""
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        found = regex.compile(pattern).findall if "\\p" in pattern and pattern != T.WORD else re.compile(r"\w+" if pattern == T.WORD else pattern).findall
+        wanted = sent.value
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+        for batch in batches:
+            sizes, terms, tfs, ptr = [], [], [], [0]
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                words = found(text) if text else []
+                n = Counter(words if wanted is None else filter(wanted.__contains__, words))
+                sizes.append(len(words))
+                terms += n.keys()
+                tfs += n.values()
+                ptr.append(len(terms))
+            lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), lists], [*keys, "len", "terms"])
+
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return texts.select(*keys, F.lower("text").alias("#text")).mapInArrow(run, f"{fields}, len long, terms array<struct<term:string,tf:bigint>>")
+
+
+#: Distinct terms of a batch of queries that are sent to the words; more of them are joined.
+_TERMS = 500_000
+
+
+def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, key, carry, score) of every match; queries has (query_id, term), distinct. With prefix columns, both sides are
+    partitioned by them and statistics are per partition. Texts are read once, into a written table of counts."""
     on = [*prefix, "term"]
-    words = texts.select(*prefix, key, T.found(F.lower("text"), pattern).alias("w"))
-    stats = words.groupBy(*prefix).agg(F.count("*").alias("N"), F.avg(F.size("w")).alias("avgdl"))
-    terms = queries.select(*on).distinct()
-    each = words.select(*prefix, key, F.size("w").alias("len"), F.explode_outer("w").alias("term")).join(terms, on, "left_semi")
+    terms = None
     if not prefix:
-        # one exchange, on the key, serves the counts of terms and the sums of scores
-        each = each.repartition(F.col(key))
-    post = each.groupBy(key, *prefix, "len", "term").agg(F.count("*").alias("tf"))
+        few = [r.term for r in queries.select("term").distinct().limit(_TERMS + 1).collect()]
+        terms = set(few) if len(few) <= _TERMS else None
+    rows = materialize(counted(texts, (*prefix, key, *carry), pattern, terms), "counted")
+    stats = rows.groupBy(*prefix).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+    post = rows.select(*prefix, key, *carry, "len", F.inline("terms"))
     df = post.groupBy(*on).agg(F.count("*").alias("df"))
     stated = queries.join(df, on)
-    # a batch of queries is bounded, so it goes to the postings
-    stated = stated.join(stats, list(prefix)) if prefix else F.broadcast(stated.join(F.broadcast(stats), F.lit(True)))
+    if prefix:
+        stated = stated.join(stats, list(prefix))
+    else:
+        stated = stated.join(F.broadcast(stats), F.lit(True))
+        # a batch of queries whose terms are few goes to the postings
+        stated = F.broadcast(stated) if terms is not None else stated
     tf, norm = F.col("tf"), 1 - b + b * F.col("len") / F.col("avgdl")
     weight = BM25_STYLES[style](F.col("N"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * norm)
-    return post.join(stated, on).groupBy(*prefix, query_id, key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return post.join(stated, on).groupBy(*prefix, query_id, key, *carry).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def ranked(hits: DataFrame, by: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -101,8 +139,8 @@ def ret_01(c):
 @query("ret_02", f"WITH base, {_bm25_cte('log1p', 1.2, 0.75)}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM lex), d AS (SELECT r.item_id, chunk_id, document_id, score, rank FROM r JOIN chunks USING (chunk_id) WHERE rank <= 30 QUALIFY row_number() OVER (PARTITION BY item_id, document_id ORDER BY rank) = 1) SELECT item_id, chunk_id, document_id, score FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) <= 5")
 def ret_02(c):
     """Flagship: BM25 over chunks, best chunk of each document, five documents an item."""
-    top = ranked(bm25(c.chunks, "chunk_id", items(c), "item_id"), "item_id", "chunk_id", 30)
-    hits = first_per_document(top.join(c.chunks.select("chunk_id", "document_id"), "chunk_id"), "item_id", "document_id")
+    top = ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", carry=("document_id",)), "item_id", "chunk_id", 30)
+    hits = first_per_document(top, "item_id", "document_id")
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))).where("r <= 5").select("item_id", "chunk_id", "document_id", "score")
 
 
