@@ -39,7 +39,9 @@ def anchored(docs_words: DataFrame, found: DataFrame) -> DataFrame:
     # the vocabulary of the benchmark is counted and sent in blocks like the windows; a longer one is joined by shuffle
     # outer: else the optimizer infers a filter on the words and splits each text twice more
     small = terms.count() <= 200_000
-    counts = docs_words.select(F.explode_outer("v").alias("word")).join(F.broadcast(terms) if small else terms, "word").groupBy("word").count()
+    each = docs_words.select(F.explode_outer("v").alias("word"))
+    # a longer vocabulary meets counted words, one row each, so a common word is no hot key
+    counts = each.join(F.broadcast(terms), "word").groupBy("word").count() if small else each.groupBy("word").count().join(terms, "word")
     placed = found.withColumn("wid", F.xxhash64(F.array_join("w", " "))).select("w", "items", "wid", F.posexplode("w").alias("off", "word"))
     placed = placed.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("wid", "w").orderBy("count", "word", "off"))
