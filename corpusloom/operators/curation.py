@@ -110,24 +110,20 @@ def dup_06(c):
 
 
 def accepted(docs: DataFrame, links: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Greedy acceptance in key order: a row goes if a row accepted before it is linked to it. The fold runs per connected
-    component of the links, which gives the same as one pass over all rows; rows without links need no fold."""
-    parts = connected_components(links.select("a", "b"))
-    edges = links.join(parts.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        kept: set[int] = set()
-        for x in sorted(near):
-            if not near[x] & kept:
-                kept.add(x)
-        return pd.DataFrame({key: sorted(set(near) - kept)})
-
-    rejected = edges.groupBy("component").applyInPandas(fold, f"{key} long")
-    return docs.join(rejected, key, "left_anti")
+    """Greedy acceptance in key order: a row goes if a row accepted before it is linked to it.
+
+    In rounds of joins: rows without an open smaller neighbour are accepted, their neighbours go. A round settles every group
+    that one row holds together; chains of links take about as many rounds as they have rows.
+    """
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    gone = edges.select(F.col("b").alias(key)).limit(0)
+    while edges.limit(1).count():
+        first = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = materialize(edges.join(first, "a").select("b").distinct(), "gone")
+        gone = gone.unionByName(out.select(F.col("b").alias(key)))
+        left = edges.join(first, "a", "left_anti").join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti")
+        edges = materialize(left.select("a", "b"), "edges")
+    return docs.join(gone, key, "left_anti")
 
 
 @query("dup_06_accepted")

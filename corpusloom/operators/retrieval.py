@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -53,13 +55,57 @@ def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[st
     return texts.select(*keys, F.lower("text").alias("#text")).mapInArrow(run, f"{fields}, len long, terms array<struct<term:string,tf:bigint>>")
 
 
-#: Distinct terms of a batch of queries that are sent to the words; more of them are joined.
-_TERMS = 500_000
+def _best(scores: np.ndarray, most: int | None) -> np.ndarray:
+    """Which scores (texts x queries) may be among a query's best `most`; a little more, as later rounding makes ties."""
+    hit = scores > 0
+    if most is not None and len(scores) > most:
+        hit &= scores >= np.partition(scores, len(scores) - most, axis=0)[len(scores) - most] - 2e-6
+    return hit
 
 
-def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list, kind: str, avgdl: float, k1: float, b: float, most: int | None) -> DataFrame:
+    """(query_id, keys, score) from counted() rows and a batch's (query, term, idf): scores of a text are summed where it is, so no
+    posting is shuffled; with most, a task returns no more than the best of what it holds."""
+    queries = sorted({q for q, _, _ in stated})
+    number, terms = {q: i for i, q in enumerate(queries)}, {}
+    for q, term, idf in stated:
+        terms.setdefault(term, (idf, []))[1].append(number[q])
+    ptr = np.concatenate([[0], np.cumsum([len(x) for _, x in terms.values()])]).astype(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((queries, {t: i for i, t in enumerate(terms)}, ptr, np.array([q for _, x in terms.values() for q in x], np.int64), np.array([idf for idf, _ in terms.values()])))
+
+    def run(batches):
+        queries, number, ptr, asks, idf = sent.value
+        for batch in batches:
+            step = max(1, (4 << 20) // max(1, len(queries)))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                lists = part.column(len(keys) + 1)
+                flat = lists.flatten()
+                term = np.array([number.get(x, -1) for x in flat.field(0).to_pylist()], np.int64)
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                tf, size = flat.field(1).to_numpy().astype(float), part.column(len(keys)).to_numpy().astype(float)
+                known = term >= 0
+                term, row, tf = term[known], row[known], tf[known]
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+                n = np.diff(ptr)[term]
+                of = np.repeat(np.arange(len(term)), n)
+                ask = asks[np.repeat(ptr[term] - (np.cumsum(n) - n), n) + np.arange(len(of))]
+                scores = np.bincount(row[of] * len(queries) + ask, weight[of], len(part) * len(queries)).reshape(len(part), -1)
+                x, q = np.nonzero(_best(scores, most))
+                yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()]), *(part.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    return rows.mapInArrow(run, f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
+
+
+#: Distinct terms, and pairs of query and term, of a batch of queries that are sent to the words; more of them are joined.
+_TERMS, _ASKED = 500_000, 2_000_000
+
+
+def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """(query_id, key, carry, score) of every match; queries has (query_id, term), distinct. With prefix columns, both sides are
-    partitioned by them and statistics are per partition. Texts are read once, into a written table of counts."""
+    partitioned by them and statistics are per partition. Texts are read once, into a written table of counts. With most, matches
+    that can't be among a query's best so many may be left out."""
     on = [*prefix, "term"]
     terms = None
     if not prefix:
@@ -74,8 +120,11 @@ def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: floa
         stated = stated.join(stats, list(prefix))
     else:
         stated = stated.join(F.broadcast(stats), F.lit(True))
-        # a batch of queries whose terms are few goes to the postings
-        stated = F.broadcast(stated) if terms is not None else stated
+        if terms is not None:
+            # a batch of queries goes to the counts
+            found = stated.select(query_id, "term", BM25_STYLES[style](F.col("N"), F.col("df")).alias("idf"), "avgdl").limit(_ASKED + 1).collect()
+            if len(found) <= _ASKED:
+                return scored(rows, (key, *carry), query_id, [(r[0], r[1], r[2]) for r in found], queries.schema[query_id].dataType.simpleString(), found[0].avgdl if found else 1.0, k1, b, most)
     tf, norm = F.col("tf"), 1 - b + b * F.col("len") / F.col("avgdl")
     weight = BM25_STYLES[style](F.col("N"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * norm)
     return post.join(stated, on).groupBy(*prefix, query_id, key, *carry).agg(F.round(F.sum(weight), 6).alias("score"))
@@ -133,13 +182,13 @@ lex AS (SELECT item_id, chunk_id, round(sum({idf} * tf * ({k1} + 1) / (tf + {k1}
 @query("ret_01", f"WITH base, {_bm25_cte('floor', 1.2, 0.75)} SELECT item_id, chunk_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 10")
 def ret_01(c):
     """OR semantics over word terms, IDF with a floor. Terms are not stemmed."""
-    return ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", style="floor"), "item_id", "chunk_id", 10).drop("rank")
+    return ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", style="floor", most=10), "item_id", "chunk_id", 10).drop("rank")
 
 
 @query("ret_02", f"WITH base, {_bm25_cte('log1p', 1.2, 0.75)}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM lex), d AS (SELECT r.item_id, chunk_id, document_id, score, rank FROM r JOIN chunks USING (chunk_id) WHERE rank <= 30 QUALIFY row_number() OVER (PARTITION BY item_id, document_id ORDER BY rank) = 1) SELECT item_id, chunk_id, document_id, score FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) <= 5")
 def ret_02(c):
     """Flagship: BM25 over chunks, best chunk of each document, five documents an item."""
-    top = ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", carry=("document_id",)), "item_id", "chunk_id", 30)
+    top = ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", carry=("document_id",), most=30), "item_id", "chunk_id", 30)
     hits = first_per_document(top, "item_id", "document_id")
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))).where("r <= 5").select("item_id", "chunk_id", "document_id", "score")
 
@@ -227,7 +276,7 @@ _TK = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N
 
 
 def _lexical(c, k: int = 10) -> DataFrame:
-    return ranked(bm25(c.chunks, "chunk_id", items(c), "item_id"), "item_id", "chunk_id", k)
+    return ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", most=k), "item_id", "chunk_id", k)
 
 
 def _reranked(c) -> DataFrame:
@@ -246,12 +295,67 @@ def ret_11(c):
     return _lexical(c).select("item_id", "chunk_id", "rank")
 
 
-@query("ret_12")
+#: Dimensions of the default text vectors: a term counts in the dimension that its digest begins with.
+_DIMENSIONS = 256
+
+
+def text_vectors(texts: list[str]) -> np.ndarray:
+    """Default embedding of lower-case texts, a plug-in: term counts by dimension."""
+    known: dict[str, int] = {}
+    out = np.zeros((len(texts), _DIMENSIONS))
+    for i, text in enumerate(texts):
+        for word in re.findall(r"\w+", text or ""):
+            if word not in known:
+                known[word] = sha256(word.encode()).digest()[0]
+            out[i, known[word]] += 1
+    return out
+
+
+def text_leg(chunks: DataFrame, questions: list, query_id: str, kind: str, keys: tuple[str, ...], most: int, vectors=text_vectors) -> DataFrame:
+    """(query_id, keys, score): cosine of every chunk's vector with those of a bounded batch of (id, lower-case text), the best of
+    each task; chunks don't move."""
+    sent = chunks.sparkSession.sparkContext.broadcast([(q, t) for q, t in questions])
+
+    def run(batches):
+        ids = [q for q, _ in sent.value]
+        asked = vectors([t for _, t in sent.value])
+        norms = np.sqrt((asked * asked).sum(axis=1))
+        for batch in batches:
+            v = vectors(batch.column(len(keys)).to_pylist())
+            size = np.sqrt((v * v).sum(axis=1))[:, None] * norms
+            scores = np.divide(v @ asked.T, size, out=np.zeros((len(v), len(ids))), where=size > 0)
+            x, q = np.nonzero(_best(scores, most))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *(batch.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
+
+    fields = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
+    return chunks.select(*keys, F.lower("text").alias("#text")).mapInArrow(run, f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
+
+
+_HYBRID = f"""WITH base, {_bm25_cte('log1p', 1.2, 0.75)},
+lr AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 30),
+cv AS (SELECT chunk_id, substr(sha256(t), 1, 2) AS d, count(*)::DOUBLE AS n FROM (SELECT chunk_id, unnest(w) AS t FROM tk) GROUP BY ALL),
+qv AS (SELECT item_id, substr(sha256(t), 1, 2) AS d, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS t FROM benchmark) GROUP BY ALL),
+cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS c FROM cv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(n * n)) AS q FROM qv GROUP BY 1),
+dot AS (SELECT item_id, chunk_id, sum(cv.n * qv.n) AS s FROM qv JOIN cv USING (d) GROUP BY ALL),
+den AS (SELECT item_id, chunk_id, round(s / (c * q), 6) AS score FROM dot JOIN cn USING (chunk_id) JOIN qn USING (item_id)),
+dr AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM den QUALIFY rank <= 30),
+fu AS (SELECT item_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM (SELECT * FROM lr UNION ALL SELECT * FROM dr) GROUP BY ALL),
+fr AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 30),
+fd AS (SELECT f.item_id, f.chunk_id, document_id, text FROM fr f JOIN chunks USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY f.item_id, document_id ORDER BY rank) = 1),
+rr AS (SELECT item_id, chunk_id, document_id, {_TK.format(x="b.text")} AS a, {_TK.format(x="fd.text")} AS t FROM fd JOIN benchmark b USING (item_id)),
+sc AS (SELECT item_id, chunk_id, document_id, round(1 / (1 + exp(-(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, t)) / len(a)::DOUBLE END * 8 - 4))), 6) AS rerank FROM rr)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5"""
+
+
+@query("ret_12", _HYBRID)
 def ret_12(c):
-    """Search as users call it: both legs fused, best chunk of a document, reranked, cut."""
-    lexical = _lexical(c, 30)
-    overlap = _reranked(c).select("item_id", "chunk_id", F.col("rerank").alias("score"))
-    fused = ranked(rrf(lexical.select("item_id", "chunk_id", "rank").unionByName(ranked(overlap, "item_id", "chunk_id", 30).select("item_id", "chunk_id", "rank")), "item_id", "chunk_id"), "item_id", "chunk_id", 30)
+    """Search as users call it: a lexical and a dense leg over all chunks fused, best chunk of a document, reranked, cut."""
+    asked = c.table("benchmark").select("item_id", F.lower("text").alias("t"))
+    # a batch of questions is bounded; more of them are several batches
+    questions = [(r.item_id, r.t) for r in asked.collect()]
+    dense = text_leg(c.chunks, questions, "item_id", asked.schema["item_id"].dataType.simpleString(), ("chunk_id",), 30)
+    legs = _lexical(c, 30).unionByName(ranked(dense, "item_id", "chunk_id", 30))
+    fused = ranked(rrf(legs, "item_id", "chunk_id"), "item_id", "chunk_id", 30)
     hits = first_per_document(fused.join(c.chunks.select("chunk_id", "document_id", "text"), "chunk_id"), "item_id", "document_id")
     scored = rerank(hits.join(c.table("benchmark").select("item_id", F.col("text").alias("question")), "item_id"), "text", "question")
     return ranked(scored, "item_id", "chunk_id", 5, "rerank").select("item_id", "chunk_id", "document_id", "rerank", "rank")
