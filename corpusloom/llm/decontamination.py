@@ -43,7 +43,8 @@ def anchored(docs_words: DataFrame, found: DataFrame) -> DataFrame:
     # a longer vocabulary meets counted words, one row each, so a common word is no hot key
     counts = each.join(F.broadcast(terms), "word").groupBy("word").count() if small else each.groupBy("word").count().join(terms, "word")
     placed = found.withColumn("wid", F.xxhash64(F.array_join("w", " "))).select("w", "items", "wid", F.posexplode("w").alias("off", "word"))
-    placed = placed.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # counts has no more rows than terms
+    placed = placed.join(F.broadcast(counts) if small else counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("wid", "w").orderBy("count", "word", "off"))
     top = placed.withColumn("r", rank).where("r <= 2")
     return top.groupBy("wid", "w").agg(F.first("items").alias("items"), F.max(F.when(F.col("r") == 1, F.col("word"))).alias("anchor"), F.max(F.when(F.col("r") == 1, F.col("off"))).alias("off"), F.max(F.when(F.col("r") == 1, F.col("count"))).alias("count"), F.max(F.when(F.col("r") == 2, F.col("word"))).alias("second"), F.max(F.when(F.col("r") == 2, F.col("off"))).alias("off2")).where("count > 0")
