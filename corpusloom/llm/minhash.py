@@ -339,7 +339,7 @@ def minhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drop_scratch(spread)
     # classes of one row need no join; of the others, rows carry numbers only
     grouped = members.join(found, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component"))
-    large = grouped.groupBy("component").agg(F.sum("n").alias("class_size")).where("class_size > 1")
+    large = _written(grouped.groupBy("component").agg(F.sum("n").alias("class_size")).where("class_size > 1"))
     own = rows.select("rid", "f1", "f2", "size", F.col(f"row.`{doc_id}`").alias("id")).where("size > 0").join(grouped.join(large, "component").select("f1", "f2", "component", "class_size"), ["f1", "f2"])
     own = materialize(own.select("rid", "id", "component", "class_size"), "members")
     heads = _written(own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "rid")).alias("head")))
