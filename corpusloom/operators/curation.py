@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -555,8 +557,10 @@ def rpt_02(c):
     return c.chunks.groupBy("document_id").agg(F.substring(F.array_join(parts, "\n"), 1, 5000).alias("text"))
 
 
-@query("rpt_03", f"WITH base, {_CUR}, {_DEC} SELECT 'metadata' AS name, (SELECT count(*) FROM meta) AS n UNION ALL SELECT 'decisions', (SELECT count(*) FROM de) UNION ALL SELECT 'memberships', (SELECT count(*) FROM docs WHERE lang = 'en') UNION ALL SELECT 'promotion_requests', (SELECT count(*) FROM de WHERE decision = 'promote')")
+@query("rpt_03", f"WITH base, {_CUR}, {_DEC} SELECT 'metadata' AS name, (SELECT count(*) FROM meta) AS n UNION ALL SELECT 'decisions', (SELECT count(*) FROM de) UNION ALL SELECT 'topics', (SELECT count(DISTINCT source) FROM docs) UNION ALL SELECT 'memberships', (SELECT count(*) FROM docs WHERE lang = 'en') UNION ALL SELECT 'links', (SELECT count(DISTINCT source) FROM docs WHERE CAST(substr(source, 4) AS INTEGER) >= 10) UNION ALL SELECT 'runs', 1 UNION ALL SELECT 'promotion_requests', (SELECT count(*) FROM de WHERE decision = 'promote')")
 def rpt_03(c):
     d = decided(curated(c))
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return one("metadata", c.metadata).union(one("decisions", d)).union(one("memberships", c.docs.where("lang = 'en'"))).union(one("promotion_requests", d.where("decision = 'promote'")))
+    topics = c.docs.select("source").distinct()
+    tables = {"metadata": c.metadata, "decisions": d, "topics": topics, "memberships": c.docs.where("lang = 'en'"), "links": topics.where("CAST(substr(source, 4) AS INT) >= 10"), "runs": c.spark.range(1), "promotion_requests": d.where("decision = 'promote'")}
+    return reduce(DataFrame.union, (one(name, df) for name, df in tables.items()))

@@ -500,7 +500,7 @@ def judged(c) -> DataFrame:
     """Per evaluation query the ranks of its chunk and of its document, null where not found."""
     # the sample is bounded and used three times: written once
     ev = materialize(synthetic_queries(c), "queries")
-    hits = ranked(bm25(c.chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id"), "item_id", "chunk_id", 20)
+    hits = ranked(bm25(c.chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id", most=20), "item_id", "chunk_id", 20)
     hits = hits.join(c.chunks.select("chunk_id", F.col("document_id").alias("hit_document")), "chunk_id")
     want = ev.select(F.col("chunk_id").alias("item_id"), "document_id").distinct()
     both = want.join(hits, "item_id", "left")
@@ -606,8 +606,8 @@ def evl_10(c):
     ev = synthetic_queries(c)
     out = []
     for name, chunks in (("original", c.chunks), ("rechunked", chunking.fixed_window(c.docs, 800, 100))):
-        hits = ranked(bm25(chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id"), "item_id", "chunk_id", 10)
-        hits = hits.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("item_id", "document_id").distinct()
+        hits = ranked(bm25(chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id", carry=("document_id",), most=10), "item_id", "chunk_id", 10)
+        hits = hits.select("item_id", "document_id").distinct()
         want = ev.select(F.col("chunk_id").alias("item_id"), "document_id").distinct()
         out.append(want.join(hits.withColumn("hit", F.lit(1.0)), ["item_id", "document_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("recall")).select(F.lit(name).alias("chunks"), "recall"))
     return out[0].unionByName(out[1])

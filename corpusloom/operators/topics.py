@@ -15,6 +15,7 @@ from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _VEC, mean_vectors
 from corpusloom.operators.scalar_queries import cosine
 from corpusloom.plans.components import connected_components
+from corpusloom.session import materialize
 
 # Similarity that joins two documents, and that of a parent cluster.
 THRESHOLD, PARENT_THRESHOLD = 0.52, 0.65
@@ -151,19 +152,42 @@ def top_c6(c):
     return m.select("current", F.when(F.col("s") >= 0.25, F.col("previous")).alias("previous"), F.when(F.col("s") < 0.25, "new").when(F.col("s") >= 0.6, "stable").otherwise("ambiguous").alias("relation"), F.round("s", 4).alias("score"))
 
 
-@query("top_c7")
+def parent_categories(topics: DataFrame, key: str, terms: str, gate: int = 5, shared: int = 2, most: int = 8, tighter: int = 3) -> DataFrame:
+    """(key, category): topics that share `shared` terms or more belong together, in groups of more than `most` only those that share
+    `tighter`; the category is the smallest member. Topics alone have none, nor has any if there are no more than `gate`."""
+    each = topics.select(F.col(key).alias("k"), F.explode(F.array_distinct(terms)).alias("term"))
+    both = each.withColumnRenamed("k", "a").join(each.withColumnRenamed("k", "b"), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    near = materialize(both.where(F.col("n") >= shared), "near")
+    parts = connected_components(near.select("a", "b"))
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
+    within = parts.join(large, "component").select("node")
+    inner = connected_components(near.where(F.col("n") >= tighter).join(within.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b"))
+    found = parts.join(large, "component", "left_anti").select("node", "component").unionByName(inner.select("node", "component"))
+    enough = topics.agg((F.count("*") > gate).alias("enough"))
+    out = topics.select(key).join(found, topics[key] == found["node"], "left").join(F.broadcast(enough), F.lit(True))
+    return out.select(key, F.when(F.col("enough"), F.col("component")).alias("category"))
+
+
+_C7 = f"""WITH RECURSIVE {_LAB}, l AS (SELECT source, string_split(label, ' / ') AS t FROM la),
+p AS (SELECT a.source AS a, b.source AS b, len(list_intersect(a.t, b.t)) AS s FROM l a JOIN l b ON a.source <> b.source),
+r2 AS (SELECT source AS x, source AS y FROM l UNION SELECT r.x, p.b FROM r2 r JOIN p ON p.a = r.y AND p.s >= 2), c2 AS (SELECT x, min(y) AS c, count(*) AS n FROM r2 GROUP BY x),
+r3 AS (SELECT x, x AS y FROM c2 WHERE n > 8 UNION SELECT r.x, p.b FROM r3 r JOIN p ON p.a = r.y AND p.s >= 3), c3 AS (SELECT x, min(y) AS c, count(*) AS n FROM r3 GROUP BY x)
+SELECT source, CASE WHEN (SELECT count(*) FROM l) <= 5 THEN NULL WHEN c2.n > 8 THEN CASE WHEN c3.n > 1 THEN c3.c END WHEN c2.n > 1 THEN c2.c END AS category FROM l JOIN c2 ON c2.x = source LEFT JOIN c3 ON c3.x = source"""
+
+
+@query("top_c7", _C7)
 def top_c7(c):
-    """Parent categories: topics that share two label terms or more belong together."""
-    l = labels(c.docs, "source").select("source", F.split("label", " / ").alias("t"))  # noqa: E741
-    a, b = l.select(F.col("source").alias("a"), F.col("t").alias("ta")), l.select(F.col("source").alias("b"), F.col("t").alias("tb"))
-    edges = a.join(b, F.col("a") < F.col("b")).where(F.size(F.array_intersect("ta", "tb")) >= 2).select("a", "b")
-    parts = connected_components(edges)
-    return l.select("source").join(parts, l["source"] == parts["node"], "left").select("source", F.coalesce("component", "source").alias("category"))
+    return parent_categories(labels(c.docs, "source").select("source", F.split("label", " / ").alias("t")), "source", "t")
+
+
+def importance(n, full: float = 20.0):
+    """0.5 and a share of `full` documents, 1 at most."""
+    return F.round(F.least(F.lit(1.0), 0.5 + n / full), 4)
 
 
-@query("top_c8", "SELECT source, count(*) AS documents, round(least(1.0, 0.5 + count(*) / 2000.0::DOUBLE), 4) AS importance, 1.0::DOUBLE AS cohesion, 0.5::DOUBLE AS novelty FROM documents GROUP BY 1")
+@query("top_c8", "SELECT source, count(*) AS documents, round(least(1.0, 0.5 + count(*) / 20.0::DOUBLE), 4) AS importance, 1.0::DOUBLE AS cohesion, 0.5::DOUBLE AS novelty FROM documents GROUP BY 1")
 def top_c8(c):
-    return c.docs.groupBy("source").agg(F.count("*").alias("documents"), F.round(F.least(F.lit(1.0), 0.5 + F.count("*") / 2000), 4).alias("importance"), F.lit(1.0).alias("cohesion"), F.lit(0.5).alias("novelty"))
+    return c.docs.groupBy("source").agg(F.count("*").alias("documents"), importance(F.count("*")).alias("importance"), F.lit(1.0).alias("cohesion"), F.lit(0.5).alias("novelty"))
 
 
 @query("top_c9", "WITH base, m AS (SELECT source, document_id, row_number() OVER (PARTITION BY source ORDER BY document_id) AS r FROM docs) SELECT source, chunk_id FROM m JOIN chunks k USING (document_id) WHERE r BETWEEN 2 AND 5 AND chunk_index = 0".replace("SELECT source, chunk_id", "SELECT m.source, chunk_id"))

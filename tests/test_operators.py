@@ -180,3 +180,17 @@ def test_without_a_shared_folder_a_cluster_is_refused():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset)
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
+
+
+def test_parent_categories_split_large_groups(spark):
+    from corpusloom.operators.topics import parent_categories
+
+    # nine topics in a chain of two shared terms, three of them also share a third
+    terms = [[f"t{i}", f"u{i}", f"t{i + 1}", f"u{i + 1}"] for i in range(9)]
+    for i in (3, 4, 5):
+        terms[i].append("extra")
+    rows = [(f"k{i}", t) for i, t in enumerate(terms)] + [("a1", ["p", "q"]), ("a2", ["p", "q"]), ("b", ["z"])]
+    got = {r.k: r.category for r in parent_categories(spark.createDataFrame(rows, "k string, t array<string>"), "k", "t").collect()}
+    assert got == {f"k{i}": "k3" if i in (3, 4, 5) else None for i in range(9)} | {"a1": "a1", "a2": "a1", "b": None}
+    few = spark.createDataFrame(rows[-3:], "k string, t array<string>")
+    assert {r.category for r in parent_categories(few, "k", "t").collect()} == {None}
