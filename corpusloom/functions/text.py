@@ -99,8 +99,7 @@ def long_tokens(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Distinct ASCII tokens of two or more letters or digits that stand as whole words."""
-    bounded = F.transform(found(F.lower(col(x)), WORD), lambda w: w)
-    return F.array_distinct(F.filter(bounded, lambda w: w.rlike("^[a-z0-9]{2,}$")))
+    return F.array_distinct(found(F.lower(col(x)), r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{N}_])"))
 
 
 def casefold(x: Column | str) -> Column:
