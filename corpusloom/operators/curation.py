@@ -133,11 +133,11 @@ def dup_06_accepted(c):
     return accepted(c.docs, dup_06(c)).select("doc_id")
 
 
-@query("dup_07", "WITH base, main AS (SELECT source_url, normalized_hash FROM src JOIN meta USING (document_id) WHERE src.doc_id < 500) SELECT document_id, '__main__' AS duplicate_of FROM src JOIN meta USING (document_id) WHERE src.doc_id >= 500 AND (source_url, normalized_hash) IN (SELECT (source_url, normalized_hash) FROM main WHERE normalized_hash IS NOT NULL)")
+@query("dup_07", "WITH base, main AS (SELECT source_url, normalized_hash FROM src JOIN meta USING (document_id) WHERE src.doc_id % 2 = 0) SELECT document_id, '__main__' AS duplicate_of FROM src JOIN meta USING (document_id) WHERE src.doc_id % 2 <> 0 AND (source_url, normalized_hash) IN (SELECT (source_url, normalized_hash) FROM main WHERE normalized_hash IS NOT NULL)")
 def dup_07(c):
     both = c.sources.select("document_id", "doc_id", "source_url").join(c.metadata.select("document_id", "normalized_hash"), "document_id").where("normalized_hash IS NOT NULL")
-    main = both.where("doc_id < 500").select("source_url", "normalized_hash")
-    return both.where("doc_id >= 500").join(main, ["source_url", "normalized_hash"], "left_semi").select("document_id", F.lit("__main__").alias("duplicate_of"))
+    main = both.where("doc_id % 2 = 0").select("source_url", "normalized_hash")
+    return both.where("doc_id % 2 != 0").join(main, ["source_url", "normalized_hash"], "left_semi").select("document_id", F.lit("__main__").alias("duplicate_of"))
 
 
 @query("dup_08", f"WITH {_VEC}, {_NEAREST}, x AS (SELECT n.vec_id, nearest, similarity, list_distinct(regexp_extract_all(lower(a.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS a, list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_-]{{4,}}')) AS b FROM n JOIN documents a ON a.doc_id = vec_id JOIN documents b ON b.doc_id = nearest) SELECT vec_id, nearest, similarity > 0.3 AND CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END >= 0.1 AS duplicate FROM x")
@@ -148,17 +148,17 @@ def dup_08(c):
 def two_factor(c, close: float = 0.95, overlap: float = 0.85) -> DataFrame:
     """Two factors: a close vector alone is no duplicate; its text must overlap too. The query's values are the fixture's."""
     v = c.table("embeddings")
-    near = nearest_of(v.where("vec_id % 50 != 0"), v.where("vec_id % 50 = 0"))
+    near = nearest_of(v.where("vec_id % 50 = 0"), v)
     d = c.docs.select("doc_id", T.long_tokens("text").alias("w"))
     j = near.join(d.select(F.col("doc_id").alias("vec_id"), F.col("w").alias("a")), "vec_id").join(d.select(F.col("doc_id").alias("nearest"), F.col("w").alias("b")), "nearest")
     return j.select("vec_id", "nearest", ((F.col("similarity") > close) & (T.jaccard(F.col("a"), F.col("b")) >= overlap)).alias("duplicate"))
 
 
-@query("dup_09", "WITH base SELECT document_id, normalized_hash IN (SELECT normalized_hash FROM meta WHERE doc_id < 500 AND normalized_hash IS NOT NULL) AS duplicate_of_main FROM meta WHERE doc_id >= 500 AND normalized_hash IS NOT NULL")
+@query("dup_09", "WITH base SELECT document_id, normalized_hash IN (SELECT normalized_hash FROM meta WHERE doc_id % 2 = 0 AND normalized_hash IS NOT NULL) AS duplicate_of_main FROM meta WHERE doc_id % 2 <> 0 AND normalized_hash IS NOT NULL")
 def dup_09(c):
     m = c.metadata.where("normalized_hash IS NOT NULL")
-    main = m.where("doc_id < 500").select("normalized_hash").distinct().withColumn("hit", F.lit(True))
-    return m.where("doc_id >= 500").join(main, "normalized_hash", "left").select("document_id", F.coalesce("hit", F.lit(False)).alias("duplicate_of_main"))
+    main = m.where("doc_id % 2 = 0").select("normalized_hash").distinct().withColumn("hit", F.lit(True))
+    return m.where("doc_id % 2 != 0").join(main, "normalized_hash", "left").select("document_id", F.coalesce("hit", F.lit(False)).alias("duplicate_of_main"))
 
 
 _RECENT = "rq AS (SELECT session_id, turn, created_at, list_distinct(list_filter(string_split(regexp_replace(strip_accents(lower(trim(content))), '\\s+', ' ', 'g'), ' '), lambda w: length(w) > 3)) AS w FROM episodes WHERE role = 'user')"
@@ -266,13 +266,13 @@ def cur_01(c):
 PERIOD = ("2024-01-03", "2024-02-25")
 
 
-def decided(d: DataFrame, main_below: int = 100, quality: float = 0.1) -> DataFrame:
-    """Add decision and duplicate_of: the first rung of the ladder that holds."""
-    main = d.where(F.col("doc_id") < main_below).where("url != '' AND normalized_hash IS NOT NULL").select("url", "normalized_hash").distinct().withColumn("in_main", F.lit(True))
+def decided(d: DataFrame, in_main: str = "doc_id % 2 = 0", quality: float = 0.1) -> DataFrame:
+    """Add decision and duplicate_of: the first rung of the ladder that holds. in_main tells the main corpus from what comes in."""
+    main = d.where(in_main).where("url != '' AND normalized_hash IS NOT NULL").select("url", "normalized_hash").distinct().withColumn("held", F.lit(True))
     d = d.join(main, ["url", "normalized_hash"], "left")
     before = lambda key: F.lag("document_id").over(Window.partitionBy(key).orderBy("doc_id"))
     d = d.withColumn("by_url", F.when(F.col("url") != "", before("url"))).withColumn("by_hash", F.when(F.col("normalized_hash").isNotNull(), before("normalized_hash")))
-    known = F.coalesce("in_main", F.lit(False)) & (F.col("doc_id") >= main_below)
+    known = F.coalesce("held", F.lit(False)) & ~F.expr(in_main)
     decision = (
         F.when(~in_period(F.col("published_at"), *PERIOD), "defer")
         .when(F.trim("text") == "", "insufficient_evidence")
@@ -286,7 +286,7 @@ def decided(d: DataFrame, main_below: int = 100, quality: float = 0.1) -> DataFr
     return d.withColumn("decision", decision).withColumn("duplicate_of", of)
 
 
-_DEC = f"""dm AS (SELECT *, lag(document_id) OVER (PARTITION BY url ORDER BY doc_id) AS lu, lag(document_id) OVER (PARTITION BY normalized_hash ORDER BY doc_id) AS lh, doc_id >= 100 AND (url, normalized_hash) IN (SELECT (url, normalized_hash) FROM cu WHERE doc_id < 100 AND url <> '' AND normalized_hash IS NOT NULL) AS known FROM cu),
+_DEC = f"""dm AS (SELECT *, lag(document_id) OVER (PARTITION BY url ORDER BY doc_id) AS lu, lag(document_id) OVER (PARTITION BY normalized_hash ORDER BY doc_id) AS lh, doc_id % 2 <> 0 AND (url, normalized_hash) IN (SELECT (url, normalized_hash) FROM cu WHERE doc_id % 2 = 0 AND url <> '' AND normalized_hash IS NOT NULL) AS known FROM cu),
 dk AS (SELECT *, coalesce(known, false) AS kn, CASE WHEN url <> '' THEN lu END AS by_url, CASE WHEN normalized_hash IS NOT NULL THEN lh END AS by_hash FROM dm),
 de AS (SELECT *, CASE WHEN NOT (CASE WHEN coalesce(published_at, '') = '' THEN true ELSE published_at >= '{PERIOD[0]}' AND published_at < '{PERIOD[1]}' END) THEN 'defer' WHEN trim(text) = '' THEN 'insufficient_evidence' WHEN quality <> 0 AND quality < 0.1 THEN 'irrelevant' WHEN kn OR by_url IS NOT NULL OR by_hash IS NOT NULL THEN 'duplicate' WHEN relevance < 0.35 THEN 'reporter_only' WHEN novelty < 0.05 THEN 'duplicate' ELSE 'promote' END AS decision FROM dk)"""
 
@@ -383,21 +383,20 @@ def cur_09(c):
     return decided(curated(c)).select("document_id", F.coalesce(policy(F.col("provenance"), F.col("decision"), F.col("score")), F.lit(False)).alias("promote"))
 
 
-@query("cur_10", f"WITH {_VEC}, {_NEAREST} SELECT vec_id, nearest, similarity AS max_cosine, (SELECT count(*) FROM v WHERE vec_id % 50 = 0) AS snapshot FROM n")
+@query("cur_10", f"WITH {_VEC}, {_NEAREST} SELECT vec_id, nearest, similarity AS max_cosine, (SELECT count(*) FROM v) AS snapshot FROM n")
 def cur_10(c):
     v = c.table("embeddings")
-    old = v.where("vec_id % 50 = 0")
-    near = nearest_of(v.where("vec_id % 50 != 0"), old)
-    return near.join(F.broadcast(old.agg(F.count("*").alias("snapshot"))), F.lit(True)).select("vec_id", "nearest", F.col("similarity").alias("max_cosine"), "snapshot")
+    near = nearest_of(v.where("vec_id % 50 = 0"), v)
+    return near.join(F.broadcast(v.agg(F.count("*").alias("snapshot"))), F.lit(True)).select("vec_id", "nearest", F.col("similarity").alias("max_cosine"), "snapshot")
 
 
-@query("cur_11", f"WITH {_VEC}, {_NEAREST}, p2 AS (SELECT a.vec_id, max(round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6)) AS s FROM v a, v b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 25 AND a.vec_id <> b.vec_id GROUP BY 1) SELECT vec_id, greatest(similarity, s) AS max_cosine FROM n JOIN p2 USING (vec_id)")
+@query("cur_11", f"WITH {_VEC}, {_NEAREST} SELECT vec_id, similarity AS max_cosine FROM n")
 def cur_11(c):
-    """Hints refreshed against newer vectors only: the larger similarity stays."""
+    """Hints made on the older half of all rows are refreshed against the newer half alone: the larger similarity stays."""
     v = c.table("embeddings")
-    new = v.where("vec_id % 50 != 0")
-    old, newer = nearest_of(new, v.where("vec_id % 50 = 0")), nearest_of(new, v.where("vec_id % 50 = 25"))
-    return old.join(newer.select("vec_id", F.col("similarity").alias("s")), "vec_id").select("vec_id", F.greatest("similarity", "s").alias("max_cosine"))
+    asked = v.where("vec_id % 50 = 0")
+    hints = nearest_of(asked, v.where("vec_id % 2 = 0")).unionByName(nearest_of(asked, v.where("vec_id % 2 != 0")))
+    return hints.groupBy("vec_id").agg(F.max("similarity").alias("max_cosine"))
 
 
 @query("cur_12", f"WITH base, {_CUR}, {_DEC} SELECT document_id FROM de WHERE decision IN ('promote', 'reporter_only') AND provenance = 'agent_research' AND score >= 0.5 AND score < 0.7 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 ORDER BY score DESC, document_id LIMIT 24")
@@ -417,10 +416,10 @@ def cur_13(c):
     return c.docs.select("document_id").join(f, "document_id", "left").select("document_id", F.when(F.col("verdict").isin("promote", "reject", "defer"), F.col("verdict")).otherwise("defer").alias("verdict"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-@query("cur_14", f"WITH base, {_CUR}, {_DEC} SELECT document_id FROM de WHERE decision = 'duplicate' AND document_id NOT IN (SELECT document_id FROM docs WHERE doc_id < 100) AND url NOT IN (SELECT url FROM cu WHERE doc_id < 100)")
+@query("cur_14", f"WITH base, {_CUR}, {_DEC} SELECT document_id FROM de WHERE decision = 'duplicate' AND document_id NOT IN (SELECT document_id FROM docs WHERE doc_id % 2 = 0) AND url NOT IN (SELECT url FROM cu WHERE doc_id % 2 = 0)")
 def cur_14(c):
     d = decided(curated(c))
-    main = d.where("doc_id < 100")
+    main = d.where("doc_id % 2 = 0")
     return d.where("decision = 'duplicate'").join(main.select("document_id"), "document_id", "left_anti").join(main.select("url").distinct(), "url", "left_anti").select("document_id")
 
 
