@@ -170,5 +170,8 @@ def manifest(statuses: DataFrame) -> DataFrame:
 
 
 def report_lines(summary: DataFrame, title: str) -> list[str]:
-    """Markdown of a short summary; rows must be few."""
-    return [f"# {title}", "", *[f"- {json.dumps(r.asDict(), default=str, sort_keys=True)}" for r in summary.limit(1000).collect()]]
+    """Markdown of a short summary; more than 1,000 rows are an error, not cut."""
+    rows = summary.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a report takes a summary of at most 1,000 rows")
+    return [f"# {title}", "", *[f"- {json.dumps(r.asDict(), default=str, sort_keys=True)}" for r in rows]]

@@ -94,11 +94,16 @@ def src_11(c):
     return c.table("events").select("event_id", content.alias("content"), keys.alias("keys"))
 
 
+def _parts(raw: bytes, size: int = 2000) -> list[str]:
+    text = raw.decode("utf-8", "replace")
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
 @query("src_12")
 def src_12(c):
-    """Page parser plug-in: here pages are parts of 2000 bytes."""
+    """Page parser plug-in: here pages are parts of 2000 characters."""
     f = c.docs.select(F.col("document_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    pages = S.parse(f, lambda b: [b[i : i + 2000].decode("utf-8", "ignore") for i in range(0, len(b), 2000)])
+    pages = S.parse(f, _parts)
     return pages.select("path", F.size("pages").alias("pages"), "needs_ocr")
 
 

@@ -194,3 +194,15 @@ def test_parent_categories_split_large_groups(spark):
     assert got == {f"k{i}": "k3" if i in (3, 4, 5) else None for i in range(9)} | {"a1": "a1", "a2": "a1", "b": None}
     few = spark.createDataFrame(rows[-3:], "k string, t array<string>")
     assert {r.category for r in parent_categories(few, "k", "t").collect()} == {None}
+
+
+def test_pages_lose_no_character_and_reports_are_not_cut(spark):
+    import pytest
+
+    from corpusloom.sources import files, queries
+
+    text = "aé日🙂" * 1500
+    assert "".join(queries._parts(text.encode())) == text and len(queries._parts(text.encode())) == 3
+    assert len(files.report_lines(spark.range(1000), "t")) == 1002
+    with pytest.raises(ValueError, match="1,000"):
+        files.report_lines(spark.range(1001), "t")
