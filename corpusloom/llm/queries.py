@@ -12,6 +12,7 @@ from corpusloom.llm import html_text as _html
 from corpusloom.llm import license_scan as _license
 from corpusloom.llm import minhash as _minhash
 from corpusloom.llm import packing as _packing
+from corpusloom.llm import personal_data as _private
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import substring as _substring
 from corpusloom.llm import token_counts as _tokens
@@ -66,6 +67,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.html_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _private.report(_private.personal_data(_table(spark, sf_dir, "documents")))
 
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text, op11_pii)}
+
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE, "op11_pii": _private.ORACLE}
