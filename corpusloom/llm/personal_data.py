@@ -49,8 +49,8 @@ def _social(m: Column) -> Column:
     return ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
 
 
-def _key(m: Column) -> Column:
-    return m.startswith("AKIA") | (m.rlike("[0-9]") & m.rlike("[a-f]"))
+def _mixed(m: Column) -> Column:
+    return m.rlike("[0-9]") & m.rlike("[a-f]")
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,8 @@ ADDED = (
     Kind("iban", r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}", _account, 0.8, 0.2, "iban|account|bank|transfer", "", r"[A-Za-z0-9]\z", r"\A[A-Za-z0-9]"),
     Kind("ssn", r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", _social, 0.3, 0.5, "ssn|social security|taxpayer", "-", r"[A-Za-z0-9-]\z", r"\A[A-Za-z0-9-]"),
     Kind("tel", r"\(?[0-9][0-9][0-9]\)?[-. ][0-9][0-9][0-9][-. ][0-9][0-9][0-9][0-9]", None, 0.3, 0.4, "phone|tel|call|mobile|fax", "", r"[A-Za-z0-9]\z|[0-9][-. ]\z|\+[0-9. ()-]*\z", r"\A[A-Za-z0-9]|\A[-. ][0-9]"),
-    Kind("secret", r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}", _key, 0.2, 0.6, "password|passwd|secret|token|key|akia", "", r"[A-Za-z0-9]\z", r"\A[A-Za-z0-9]"),
+    Kind("accesskey", r"AKIA[0-9A-Z]{16}", None, 0.9, 0.1, "aws|access|key", "AKIA", r"[A-Za-z0-9]\z", r"\A[A-Za-z0-9]"),
+    Kind("secret", r"[0-9a-f]{16,}", _mixed, 0.2, 0.6, "password|passwd|secret|token|key", "", r"[A-Za-z0-9]\z", r"\A[A-Za-z0-9]"),
 )
 THRESHOLD, WINDOW = 0.5, 60
 _BLOCK = 256
@@ -170,7 +171,8 @@ def _oracle() -> str:
         ("iban", "[A-Z][A-Z][0-9][0-9]( ?[A-Z0-9]){11,30}", "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND CAST(CAST(CAST(CAST(n[:30] AS HUGEINT) % 97 AS VARCHAR) || n[31:] AS HUGEINT) % 97 AS INT) = 1", 80, 20, "iban|account|bank|transfer", "[A-Za-z0-9]\\z", "\\A[A-Za-z0-9]"),
         ("ssn", "[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", "m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'", 30, 50, "ssn|social security|taxpayer", "[A-Za-z0-9-]\\z", "\\A[A-Za-z0-9-]"),
         ("tel", "\\(?[0-9][0-9][0-9]\\)?[-. ][0-9][0-9][0-9][-. ][0-9][0-9][0-9][0-9]", "true", 30, 40, "phone|tel|call|mobile|fax", "[A-Za-z0-9]\\z|[0-9][-. ]\\z|\\+[0-9. ()-]*\\z", "\\A[A-Za-z0-9]|\\A[-. ][0-9]"),
-        ("secret", "AKIA[0-9A-Z]{16}|[0-9a-f]{16,}", "starts_with(m, 'AKIA') OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-f]'))", 20, 60, "password|passwd|secret|token|key|akia", "[A-Za-z0-9]\\z", "\\A[A-Za-z0-9]"),
+        ("accesskey", "AKIA[0-9A-Z]{16}", "true", 90, 10, "aws|access|key", "[A-Za-z0-9]\\z", "\\A[A-Za-z0-9]"),
+        ("secret", "[0-9a-f]{16,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-f]')", 20, 60, "password|passwd|secret|token|key", "[A-Za-z0-9]\\z", "\\A[A-Za-z0-9]"),
     ]
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     number = "array_to_string(list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4], ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '')"
