@@ -16,6 +16,7 @@ from corpusloom.llm import personal_data as _private
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import substring as _substring
 from corpusloom.llm import token_counts as _tokens
+from corpusloom.llm import vector_codes as _codes
 from corpusloom.llm import warc as _warc
 
 
@@ -71,6 +72,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _private.report(_private.personal_data(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text, op11_pii)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE, "op11_pii": _private.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text, op11_pii, op12_vector_codes)}
+
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE, "op11_pii": _private.ORACLE, "op12_vector_codes": _codes.ORACLE}
