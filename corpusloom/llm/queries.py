@@ -12,6 +12,7 @@ from corpusloom.llm import html_text as _html
 from corpusloom.llm import license_scan as _license
 from corpusloom.llm import minhash as _minhash
 from corpusloom.llm import packing as _packing
+from corpusloom.llm import periodic_runs as _runs
 from corpusloom.llm import personal_data as _private
 from corpusloom.llm import quality as _quality
 from corpusloom.llm import substring as _substring
@@ -76,6 +77,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text, op11_pii, op12_vector_codes)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs.report(_runs.periodic_runs(_runs.planted(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_best_fit_packing, op4_license_scan, op5_warc, op6_token_counts, op7_benchmark_decontamination, op8_quality_classifier, op9_minhash_near_dedup, op10_html_text, op11_pii, op12_vector_codes, op13_periodic_runs)}
 
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": _embeddings.ORACLE, "op5_warc": _warc.ORACLE, "op7_benchmark_decontamination": _decontamination.ORACLE, "op11_pii": _private.ORACLE, "op12_vector_codes": _codes.ORACLE}
