@@ -14,6 +14,7 @@ from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _GROUPS, _NEAREST, _URLDOCS, _VEC, chunk_groups, in_period, nearest_of, percentiles, url_documents
 from corpusloom.plans.components import connected_components
+from corpusloom.plans.ordered import lagged
 from corpusloom.session import materialize
 
 # Duplicates
@@ -22,7 +23,8 @@ from corpusloom.session import materialize
 @query("dup_01", "WITH base SELECT document_id, lag(document_id) OVER (PARTITION BY normalized_hash ORDER BY doc_id) AS duplicate_of FROM meta WHERE normalized_hash IS NOT NULL")
 def dup_01(c):
     """Each points to the one before it, not to the first."""
-    return c.metadata.where("normalized_hash IS NOT NULL").select("document_id", F.lag("document_id").over(Window.partitionBy("normalized_hash").orderBy("doc_id")).alias("duplicate_of"))
+    held = c.metadata.where("normalized_hash IS NOT NULL").select("document_id", "doc_id", "normalized_hash")
+    return lagged(held, "normalized_hash", "doc_id", "document_id", "duplicate_of").select("document_id", "duplicate_of")
 
 
 def url_plan(documents: DataFrame) -> DataFrame:
@@ -245,12 +247,24 @@ def curated(c) -> DataFrame:
     src = c.sources.select("document_id", "source_url", "published_at", F.col("source_domain").alias("domain"), "quality_score", "provenance")
     d = c.docs.select("document_id", "doc_id", "text").join(src, "document_id", "left").join(meta, "document_id", "left")
     similarity = ((n * 37) % 100) / 100.0
-    d = d.select("document_id", "doc_id", "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_url", F.lit("")).alias("url"), "published_at", F.when(n % 29 == 0, "arxiv.org").otherwise(F.coalesce("domain", F.lit(""))).alias("domain"), F.coalesce("quality_score", F.lit(0.0)).alias("quality"), "provenance", "normalized_hash", similarity.alias("similarity"))
-    return sub_scores(d, INTERESTS).withColumn("score", promotion_score())
+    hash_ = F.coalesce("normalized_hash", T.normalized_hash("text"))
+    d = d.select("document_id", "doc_id", "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_url", F.lit("")).alias("url"), "published_at", F.when(n % 29 == 0, "arxiv.org").otherwise(F.coalesce("domain", F.lit(""))).alias("domain"), F.coalesce("quality_score", F.lit(0.0)).alias("quality"), "provenance", F.col("normalized_hash").alias("held_hash"), hash_.alias("normalized_hash"), similarity.alias("similarity"))
+    d = sub_scores(d, INTERESTS).withColumn("score", promotion_score())
+    return d.join(confirmed(d, c.docs), "doc_id", "left")
+
+
+def confirmed(d: DataFrame, docs: DataFrame, low: float = 0.05) -> DataFrame:
+    """(doc_id, nearest, overlap): shared words with the document that a hint names, for documents of low novelty alone.
+
+    The hint stands for the nearest historical vector; here it is the document two before.
+    """
+    near = d.where(F.col("novelty") < low).select("doc_id", (F.col("doc_id") - 2).alias("hint"), T.long_tokens("text").alias("a"))
+    held = docs.select(F.col("doc_id").alias("hint"), F.col("document_id").alias("nearest"), T.long_tokens("text").alias("b"))
+    return near.join(held, "hint").select("doc_id", "nearest", T.jaccard(F.col("a"), F.col("b")).alias("overlap"))
 
 
 _LEN = "length(text) / 5000.0::DOUBLE"
-_CUR = f"""cj AS (SELECT d.document_id, d.doc_id, d.text, coalesce(title, '') AS title, coalesce(source_url, '') AS url, published_at, CASE WHEN d.doc_id % 29 = 0 THEN 'arxiv.org' ELSE coalesce(source_domain, '') END AS domain, coalesce(quality_score, 0.0) AS quality, provenance, normalized_hash, (d.doc_id * 37 % 100) / 100.0::DOUBLE AS similarity FROM docs d LEFT JOIN src s USING (document_id) LEFT JOIN meta m USING (document_id)),
+_CUR = f"""cj AS (SELECT d.document_id, d.doc_id, d.text, coalesce(title, '') AS title, coalesce(source_url, '') AS url, published_at, CASE WHEN d.doc_id % 29 = 0 THEN 'arxiv.org' ELSE coalesce(source_domain, '') END AS domain, coalesce(quality_score, 0.0) AS quality, provenance, normalized_hash AS held_hash, coalesce(normalized_hash, 'sha256:' || sha256(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')))) AS normalized_hash, (d.doc_id * 37 % 100) / 100.0::DOUBLE AS similarity FROM docs d LEFT JOIN src s USING (document_id) LEFT JOIN meta m USING (document_id)),
 cs AS (SELECT *, least(1.0, 0.3 + 0.2 * ({' + '.join(f"contains(lower(title || ' ' || text), '{t}')::INT" for t in INTERESTS)}))::DOUBLE AS relevance, greatest(0.0, least(1.0, 1 - similarity)) AS novelty, greatest(0.0, least(1.0, CASE WHEN quality = 0 THEN 0.5 ELSE quality END + CASE WHEN domain = 'arxiv.org' THEN 0.15 ELSE 0 END)) AS source_quality,
 least(1.0, 0.3 + least({_LEN}, 0.3) + least(len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\b')) / 50.0::DOUBLE, 0.2) + CASE WHEN domain = 'arxiv.org' THEN 0.15 ELSE 0 END) AS impact,
 least(1.0, least({_LEN}, 0.4) + CASE WHEN regexp_matches(text, '(?m)^#{{1,3}}\\s|\\n[A-Z][a-z]+:\\s') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\b(?:ref|source|see|doi|arxiv)\\b') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^\\s*[-*]\\s|^\\s*\\d+\\.\\s') THEN 0.1 ELSE 0 END) AS depth,
@@ -266,32 +280,40 @@ def cur_01(c):
 PERIOD = ("2024-01-03", "2024-02-25")
 
 
-def decided(d: DataFrame, in_main: str = "doc_id % 2 = 0", quality: float = 0.1) -> DataFrame:
-    """Add decision and duplicate_of: the first rung of the ladder that holds. in_main tells the main corpus from what comes in."""
-    main = d.where(in_main).where("url != '' AND normalized_hash IS NOT NULL").select("url", "normalized_hash").distinct().withColumn("held", F.lit(True))
-    d = d.join(main, ["url", "normalized_hash"], "left")
-    before = lambda key: F.lag("document_id").over(Window.partitionBy(key).orderBy("doc_id"))
-    d = d.withColumn("by_url", F.when(F.col("url") != "", before("url"))).withColumn("by_hash", F.when(F.col("normalized_hash").isNotNull(), before("normalized_hash")))
+def decided(d: DataFrame, in_main: str = "doc_id % 2 = 0", quality: float = 0.1, relevance: float = 0.3, novelty: float = 0.05, overlap: float = 0.85) -> DataFrame:
+    """Add decision and duplicate_of: the first rung of the ladder that holds. in_main tells the main corpus from what comes in.
+
+    A document of low novelty is a duplicate only if its words overlap with those of the nearest one; without a text to compare, or
+    with other words, it is kept for reports. Texts are left out of the written table.
+    """
+    d = materialize(d.withColumn("blank", F.trim("text") == "").drop("text", "title"), "curated")
+    main = d.where(in_main).where("url != '' AND held_hash IS NOT NULL").select("url", F.col("held_hash").alias("normalized_hash")).distinct().withColumn("held", F.lit(True))
+    d = d.join(main, ["url", "normalized_hash"], "left").withColumn("address", F.when(F.col("url") != "", F.col("url")))
+    d = lagged(lagged(d, "address", "doc_id", "document_id", "by_url"), "normalized_hash", "doc_id", "document_id", "by_hash")
     known = F.coalesce("held", F.lit(False)) & ~F.expr(in_main)
+    low = F.col("novelty") < novelty
+    same = F.coalesce(F.col("overlap") >= overlap, F.lit(False))
     decision = (
         F.when(~in_period(F.col("published_at"), *PERIOD), "defer")
-        .when(F.trim("text") == "", "insufficient_evidence")
+        .when(F.col("blank"), "insufficient_evidence")
         .when((F.col("quality") != 0) & (F.col("quality") < quality), "irrelevant")
         .when(known | F.col("by_url").isNotNull() | F.col("by_hash").isNotNull(), "duplicate")
-        .when(F.col("relevance") < 0.35, "reporter_only")
-        .when(F.col("novelty") < 0.05, "duplicate")
+        .when(F.col("relevance") < relevance, "reporter_only")
+        .when(low & same, "duplicate")
+        .when(low, "reporter_only")
         .otherwise("promote")
     )
-    of = F.when(decision != "duplicate", None).when(known, "__main__").otherwise(F.coalesce("by_url", "by_hash"))
+    of = F.when(decision != "duplicate", None).when(known, "__main__").otherwise(F.coalesce("by_url", "by_hash", "nearest"))
     return d.withColumn("decision", decision).withColumn("duplicate_of", of)
 
 
-_DEC = f"""dm AS (SELECT *, lag(document_id) OVER (PARTITION BY url ORDER BY doc_id) AS lu, lag(document_id) OVER (PARTITION BY normalized_hash ORDER BY doc_id) AS lh, doc_id % 2 <> 0 AND (url, normalized_hash) IN (SELECT (url, normalized_hash) FROM cu WHERE doc_id % 2 = 0 AND url <> '' AND normalized_hash IS NOT NULL) AS known FROM cu),
-dk AS (SELECT *, coalesce(known, false) AS kn, CASE WHEN url <> '' THEN lu END AS by_url, CASE WHEN normalized_hash IS NOT NULL THEN lh END AS by_hash FROM dm),
-de AS (SELECT *, CASE WHEN NOT (CASE WHEN coalesce(published_at, '') = '' THEN true ELSE published_at >= '{PERIOD[0]}' AND published_at < '{PERIOD[1]}' END) THEN 'defer' WHEN trim(text) = '' THEN 'insufficient_evidence' WHEN quality <> 0 AND quality < 0.1 THEN 'irrelevant' WHEN kn OR by_url IS NOT NULL OR by_hash IS NOT NULL THEN 'duplicate' WHEN relevance < 0.35 THEN 'reporter_only' WHEN novelty < 0.05 THEN 'duplicate' ELSE 'promote' END AS decision FROM dk)"""
+_HINT = r"hi AS (SELECT a.doc_id, b.document_id AS nearest, list_distinct(regexp_extract_all(lower(a.text), '[\p{L}\p{N}_-]{4,}')) AS x, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_-]{4,}')) AS y FROM docs a JOIN docs b ON b.doc_id = a.doc_id - 2 WHERE 1 - (a.doc_id * 37 % 100) / 100.0::DOUBLE < 0.05), ho AS (SELECT doc_id, nearest, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END AS overlap FROM hi)"
+_DEC = f"""{_HINT}, dm AS (SELECT *, lag(document_id) OVER (PARTITION BY url ORDER BY doc_id) AS lu, lag(document_id) OVER (PARTITION BY normalized_hash ORDER BY doc_id) AS by_hash, doc_id % 2 <> 0 AND (url, normalized_hash) IN (SELECT (url, held_hash) FROM cu WHERE doc_id % 2 = 0 AND url <> '' AND held_hash IS NOT NULL) AS known FROM cu LEFT JOIN ho USING (doc_id)),
+dk AS (SELECT *, coalesce(known, false) AS kn, CASE WHEN url <> '' THEN lu END AS by_url FROM dm),
+de AS (SELECT *, CASE WHEN NOT (CASE WHEN coalesce(published_at, '') = '' THEN true ELSE published_at >= '{PERIOD[0]}' AND published_at < '{PERIOD[1]}' END) THEN 'defer' WHEN trim(text) = '' THEN 'insufficient_evidence' WHEN quality <> 0 AND quality < 0.1 THEN 'irrelevant' WHEN kn OR by_url IS NOT NULL OR by_hash IS NOT NULL THEN 'duplicate' WHEN relevance < 0.3 THEN 'reporter_only' WHEN novelty < 0.05 AND overlap >= 0.85 THEN 'duplicate' WHEN novelty < 0.05 THEN 'reporter_only' ELSE 'promote' END AS decision FROM dk)"""
 
 
-@query("cur_02", f"WITH base, {_CUR}, {_DEC} SELECT document_id, decision, CASE WHEN decision <> 'duplicate' THEN NULL WHEN kn THEN '__main__' ELSE coalesce(by_url, by_hash) END AS duplicate_of FROM de")
+@query("cur_02", f"WITH base, {_CUR}, {_DEC} SELECT document_id, decision, CASE WHEN decision <> 'duplicate' THEN NULL WHEN kn THEN '__main__' ELSE coalesce(by_url, by_hash, nearest) END AS duplicate_of FROM de")
 def cur_02(c):
     return decided(curated(c)).select("document_id", "decision", "duplicate_of")
 

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import drop_scratch, materialize
+from corpusloom.session import drop_scratch, materialize, sized
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. edges: distinct (a, b) with a > b.
 
-    The minimum per node is a map-side combined aggregate; the join back is on the node alone, so a node with very many
-    neighbours is one skewed join key, which adaptive execution splits.
+    The minimum per node is a map-side combined aggregate, written before it is joined back: to be broadcast while it is
+    short, and else so that the join is one of two plain exchanges, whose hot nodes adaptive execution can split.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m0")).select("a", F.least("a", "m0").alias("m"))
+        least = sized(materialize(least, "least"))
         out = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = sized(materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least"))
         out = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") > F.col("b")).distinct()
@@ -36,9 +37,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = materialize(now, "edges")
     seen = None
     for _ in range(max_rounds):
-        step = materialize(_star(_star(now, large=True), large=False), "edges")
+        half = materialize(_star(now, large=True), "edges")
+        step = materialize(_star(half, large=False), "edges")
         sign = step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         drop_scratch(now)
+        drop_scratch(half)
         now = step
         if sign == seen:
             break

@@ -9,8 +9,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
+#: The temporary folder of a local session without spark.checkpoint.dir, by application.
+_own: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -35,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.match(r"local(\[|$)", master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # a core setting can't be set while the session runs
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return found.rstrip("/")
 
 
@@ -65,6 +69,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast if a written table of a few numbers a row is no longer than so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing will read it again."""
     path = getattr(df, "_corpusloom_path", None)
