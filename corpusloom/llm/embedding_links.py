@@ -28,8 +28,10 @@ _LEVELS = 8
 _DENSE = 1 << 22
 
 
-#: Rows and bytes of the sample that top levels are made from, and centres of one label at most.
+#: Rows and bytes of the sample that a label's top level is made from, and its centres at most.
 SAMPLE_ROWS, SAMPLE_BYTES, CENTRES = 16_384, 64 << 20, 512
+#: Centres of all labels that are told to the tasks at once; more labels are several passes.
+CELLS = 16_384
 
 
 def _width(column: pa.Array) -> dict[str, pa.Array]:
@@ -234,20 +236,45 @@ def net(unit: np.ndarray, most: int) -> np.ndarray:
     return best
 
 
-def _leaves(points: DataFrame, large: DataFrame, sample_rows: int, block: int, wide: float, limit: float) -> DataFrame:
-    """Rows (task, second, node, v, copies) of the points of large labels, one for each task that they take part in."""
-    spark = points.sparkSession
-    total = large.agg(F.sum("n"), F.max("width")).first()
-    most = min(sample_rows, max(64, SAMPLE_BYTES // (8 * total[1])))
-    some = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, most / total[0]) * (1 << 30))
-    own = points.join(sized(large), ["label", "width"])
-    # a bounded sample: the expected number is `most`
-    picked = own.where(some).select("label", "width", "n", "v").limit(2 * most).toArrow()
-    centres = {}
+def _centres(own: DataFrame, most: int, block: int) -> dict[tuple, np.ndarray]:
+    """Centres by (label, width), each label's from a sample of its own rows, made in a task a label."""
+    cells = F.least(F.lit(CENTRES), F.ceil(F.col("n") / block))
+    wanted = F.least(F.lit(most), F.greatest(F.lit(64), 32 * cells))
+    some = own.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < wanted / F.col("n") * (1 << 30)).select("label", "width", "n", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        # the expected number of rows is `most` or less
+        found = net(units(scaled(table["v"])), min(CENTRES, -(-table["n"][0].as_py() // block)))
+        return pa.table({"label": table["label"].slice(0, 1).take(pa.array([0] * len(found))), "width": table["width"].take(pa.array([0] * len(found))), "c": pa.array(found.tolist(), pa.list_(pa.float64()))})
+
+    kind = own.schema["label"].dataType.simpleString()
+    picked = some.groupBy("label", "width").applyInArrow(run, f"label {kind}, width int, c array<double>").toArrow()
+    at: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(picked["label"].to_pylist(), picked["width"].to_pylist(), strict=True)):
-        centres.setdefault(key, []).append(i)
-    centres = {key: net(units(scaled(picked["v"].take(pa.array(at)))), min(CENTRES, -(-picked["n"][at[0]].as_py() // block))) for key, at in centres.items()}
-    sent = spark.sparkContext.broadcast(centres)
+        at.setdefault(key, []).append(i)
+    return {key: np.array(picked["c"].take(pa.array(rows)).to_pylist()) for key, rows in at.items()}
+
+
+def _leaves(points: DataFrame, large: DataFrame, sample_rows: int, block: int, wide: float, limit: float, cells: int = CELLS) -> DataFrame:
+    """Rows (task, second, node, v, copies) of the points of large labels, one for each task that they take part in.
+
+    Labels are dealt by hash to as many passes as keep what is told to the tasks bounded: each point is in one pass.
+    """
+    total, width = large.agg(F.sum(F.least(F.lit(CENTRES), F.ceil(F.col("n") / block))), F.max("width")).first()
+    passes = max(1, -(-total // max(1, min(cells, SAMPLE_BYTES // (8 * width)))))
+    most = min(sample_rows, max(64, SAMPLE_BYTES // (8 * width)))
+    out = None
+    for k in range(passes):
+        these = large if passes == 1 else large.where(F.pmod(F.xxhash64("label", "width"), F.lit(passes)) == k)
+        part = _pass(points.join(sized(these), ["label", "width"]), most, block, wide, limit, k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pass(own: DataFrame, most: int, block: int, wide: float, limit: float, nth: int) -> DataFrame:
+    """_leaves() of some labels; the numbers of their tasks begin with that of the pass."""
+    spark, points = own.sparkSession, own
+    sent = spark.sparkContext.broadcast(_centres(own, most, block))
     kind = points.schema["label"].dataType.simpleString()
     fields = f"label {kind}, width int, node long, copies long, v {points.schema['v'].dataType.simpleString()}, cell int, ring int, far double"
 
@@ -273,9 +300,10 @@ def _leaves(points: DataFrame, large: DataFrame, sample_rows: int, block: int, w
 
     placed = materialize(own.select("label", "width", "node", "copies", "v").mapInArrow(textops.lean(assign), fields), "placed")
     leaves = placed.groupBy("label", "width", "cell", "ring").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
-    # no more rows than centres times rings, or than large labels
+    # no more rows than a pass has centres, times rings
     leaves = leaves.orderBy("label", "width", "cell", "ring").toArrow().to_pylist()
-    index, base = {}, 0
+    # a pass numbers its blocks from a place of its own
+    index, base = {}, nth << 24
     for x in leaves:
         x["base"], x["blocks"] = base, -(-x["n"] // block)
         base += x["blocks"]
@@ -316,7 +344,7 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     do vectors of different lengths. A null id counts in n_links; it is no component's id unless all are null (kept then).
 
     block: points that one side of a task holds; by default what 8 MB of doubles hold. sample_rows bounds the sample of
-    large labels; it shapes the top level only, every point is placed and every link found.
+    each large label; it shapes the top level only, every point is placed and every link found.
     """
     rows = numbered(vectors, embedding, _width, "width int")
     good = rows.where(usable(F.col(f"row.`{embedding}`"))).select("rid", F.col(f"row.`{label}`").alias("label"), "width", F.col(f"row.`{embedding}`").alias("v"), F.col(f"row.`{vec_id}`").alias("id")).where("label IS NOT NULL")
@@ -346,10 +374,12 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = materialize(found, "links")
     components = connected_components(found.where("node != link").select(F.col("node").alias("a"), F.col("link").alias("b")))
     counts = found.groupBy("node").agg(F.sum("added").alias("added"))
-    joined = points.select("label", "width", "v", "node", "least", "copies").join(counts, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # numbers alone until the component is known; what is joined to is written first, so a hot component can be split
+    joined = points.select("node", "least", "copies").join(counts, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = materialize(joined.where("copies > 1 OR added > 0"), "joined")
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = joined.join(least, "component").select("label", "width", "v", (F.col("copies") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"), "component_id")
+    least = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    told = materialize(joined.join(sized(least), "component").select("node", (F.col("copies") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"), "component_id"), "told")
+    told = materialize(points.select("label", "width", "v", "node").join(sized(told), "node").drop("node"), "told")
     linked = materialize(good.select("rid", "label", "width", "v").join(told, ["label", "width", "v"]).select("rid", "n_links", "component_id"), "linked")
     out = rows.select("row", "rid").join(sized(linked), "rid", "left")
     own = F.col(f"row.`{vec_id}`")

@@ -117,3 +117,23 @@ def test_many_points_are_walked_in_bounded_parts():
         assert add.tolist() == hit.sum(axis=1).tolist()
         x, y = np.nonzero(hit)
         assert (top[x] == top[y]).all()
+
+
+def test_many_large_labels_and_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(links, "CELLS", 6)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)], int(i % 7)) for i in range(420)]
+    seen = []
+    told = links._centres
+    monkeypatch.setattr(links, "_centres", lambda *a: seen.append(told(*a)) or seen[-1])
+    monkeypatch.setattr(links._leaves, "__defaults__", (6,))
+    assert _run(spark, rows, block=16) == _brute(rows)
+    # every large label has centres of its own, and no pass all of them
+    assert len(seen) > 1 and sum(map(len, seen)) == 7 and all(len(c) >= 2 for x in seen for c in x.values())
+
+
+def test_one_component_of_all_rows(spark):
+    """No task gets a component whole: the tables that are joined by it are written first."""
+    rows = [(i, [1.0, float(np.float32(i / 1e5))], 0) for i in range(3000)]
+    got = _run(spark, rows, block=500)
+    assert {(n, c, k) for _, n, c, k in got} == {(2999, 0, True), (2999, 0, False)}
