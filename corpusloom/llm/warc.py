@@ -206,7 +206,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     return out if keep_payload else out.drop("payload")
 
 
-def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, keep: bool) -> DataFrame:
+def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, keep: bool, stretch: int = 1 << 16) -> DataFrame:
     """Real records whose payload holds the magic line: their bytes are put together from the rows that they span."""
     magic, size = F.lit(len(MAGIC)), len(MAGIC)
 
@@ -223,10 +223,13 @@ def _mend(raw: DataFrame, rows: DataFrame, bases: DataFrame, torn: DataFrame, ke
 
     files = torn.select("file").distinct()
     texts = raw.mapInArrow(textops.lean(number), "file string, block long, value binary, place long").join(files, "file", "left_semi").join(bases, ["file", "block"])
-    texts = texts.select("file", (F.col("base") + F.col("place")).alias("from"), "value")
+    # rows and records meet in stretches of a file, not in the file, which may hold many of both
+    nth = lambda x: F.floor(x / stretch)
+    texts = texts.select("file", (F.col("base") + F.col("place")).alias("from"), "value").withColumn("nth", nth(F.col("from")))
     spans = torn.select("file", F.col("offset").alias("r"), (F.col("offset") + magic + F.col("header") + F.col("length")).alias("stop"))
+    spans = spans.withColumn("nth", F.explode(F.sequence(nth(F.col("r")), nth(F.col("stop") - 1))))
     # the rows of one record: no more bytes than it has itself
-    parts = texts.join(spans, "file").where((F.col("from") >= F.col("r")) & (F.col("from") < F.col("stop")))
+    parts = texts.join(spans, ["file", "nth"]).where((F.col("from") >= F.col("r")) & (F.col("from") < F.col("stop")))
     whole = parts.groupBy("file", "r").agg(F.array_sort(F.collect_list(F.struct("from", "value"))).alias("parts"))
     joined = torn.drop("got_bytes", "got_digest", "payload").join(whole, (torn["file"] == whole["file"]) & (torn["offset"] == whole["r"])).drop(whole["file"]).drop("r")
 
