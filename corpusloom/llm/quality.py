@@ -12,11 +12,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textops
-from corpusloom.session import small_batches
+from corpusloom.session import materialize, small_batches
 
 _b = np.arange(256)
 _letter = ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
@@ -121,10 +121,11 @@ def in_training(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = 18, epochs: int = 2, max_rows: int = 8_000) -> np.ndarray:
-    """Train on at most max_rows labelled rows outside the held-out fold, picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = 18, epochs: int = 2, max_rows: int = 8_000, max_bytes: int = 64 << 20) -> np.ndarray:
+    """Train on at most about max_rows labelled rows outside the held-out fold, picked by a hash of the id, of max_bytes at most.
 
-    The sample is bounded, so one task trains on it and only the weights come to the driver. Null labels and null ids are
+    The sample is bounded, so one task trains on it and only the weights come to the driver: rows are taken whole, in the
+    hash's order, until max_bytes are used; texts of more than an eighth of that are not learned from. Null labels and null ids are
     left out, as are labels other than 0 and 1. Of rows that share an id the least text and the larger label count, once. Without any labelled row all weights are 0 and each score is 0.5.
     """
     usable = labels.where(in_training(doc_id) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -134,10 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         usable = usable.where(order < int(max_rows / n * (1 << 30)))
     picked = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(usable), "id")
     # an id that occurs often counts once
-    picked = picked.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    short = picked.where(F.octet_length("text") <= max_bytes // 8)
+    picked = materialize(short.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
+    # numbers of a sample of bounded rows
+    size = picked.select("id", F.octet_length("text").cast("long").alias("size"), order.alias("h"))
+    if (size.agg(F.sum("size")).first()[0] or 0) > max_bytes:
+        kept = size.withColumn("used", F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= max_bytes)
+        picked = picked.join(F.broadcast(kept.select("id")), "id", "left_semi")
 
     def learn(batches):
-        # the sample is bounded by max_rows, so it fits one worker
+        # the sample is bounded by max_rows and max_bytes, so it fits one worker
         parts = list(batches)
         if not parts:
             return

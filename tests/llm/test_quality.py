@@ -106,3 +106,24 @@ def test_an_id_that_repeats_is_learned_once(spark):
     for _ in range(4):
         again = again.unionByName(again)
     assert (quality.fit(again, labels.unionByName(labels)) == quality.fit(some, labels)).all()
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, ("good words here " if i % 2 else "bad bad !!! ") * (50 if i % 10 else 3000)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+
+    def sizes(**kw):
+        caught = []
+        monkeypatch.setattr(type(docs), "repartition", lambda self, n, *a: caught.append(self) or self.coalesce(n))
+        w = quality.fit(docs, labels, **kw)
+        monkeypatch.undo()
+        return [len(r.text.encode()) for r in caught[-1].select("text").collect()], w
+
+    all_rows, w = sizes(max_bytes=100 << 20)
+    assert len(all_rows) == sum(1 for i, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    few, w = sizes(max_bytes=80_000)
+    # whole rows, none above an eighth, as many as fit
+    assert 60_000 < sum(few) <= 80_000 and max(few) <= 10_000 and w.any()
+    none, w = sizes(max_bytes=100)
+    assert none == [] and not w.any()
