@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import chunk_queries, curation, event_queries, html_blocks, relational_queries, retrieval, scalar_queries, topics  # noqa: F401
+from corpusloom.operators import chunk_queries, curation, event_queries, html_blocks, index_queries, relational_queries, retrieval, scalar_queries, topics  # noqa: F401
 from corpusloom.operators.registry import ORACLES, QUERIES
 from corpusloom.sources import queries as source_queries  # noqa: F401
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
 from corpusloom.operators.registry import query
 from corpusloom.operators.scalar_queries import cosine
 from corpusloom.session import materialize
@@ -29,21 +30,39 @@ def postings(texts: DataFrame, key: str, pattern: str = T.WORD) -> DataFrame:
     return words.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
-def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[str] | None) -> DataFrame:
+#: Words as the stemmed index cuts them: letters and digits.
+ALNUM = r"[^\W_]+"
+#: Words whose stems a worker remembers.
+_STEMS = 200_000
+
+
+def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[str] | None, stemmed: bool = False) -> DataFrame:
     """keys, len and terms (term, tf) of each text, one row a text: words are counted inside the row, so no word is shuffled.
-    With terms, others are left out of the counts, not of len."""
+    With terms, others are left out of the counts, not of len. stemmed: terms are the words' stems; a worker stems each distinct
+    word once."""
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     sent = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         found = regex.compile(pattern).findall if "\\p" in pattern and pattern != T.WORD else re.compile(r"\w+" if pattern == T.WORD else pattern).findall
-        wanted = sent.value
+        wanted, known = sent.value, {}
         kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+        def stems(words):
+            out = Counter()
+            for word, tf in Counter(words).items():
+                if word not in known:
+                    if len(known) >= _STEMS:
+                        known.clear()
+                    known[word] = stem(word)
+                out[known[word]] += tf
+            return out if wanted is None else {t: tf for t, tf in out.items() if t in wanted}
+
         for batch in batches:
             sizes, terms, tfs, ptr = [], [], [], [0]
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = found(text) if text else []
-                n = Counter(words if wanted is None else filter(wanted.__contains__, words))
+                n = stems(words) if stemmed else Counter(words if wanted is None else filter(wanted.__contains__, words))
                 sizes.append(len(words))
                 terms += n.keys()
                 tfs += n.values()
@@ -102,8 +121,8 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
 _TERMS, _ASKED = 500_000, 2_000_000
 
 
-def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
-    """(query_id, key, carry, score) of every match; queries has (query_id, term), distinct. With prefix columns, both sides are
+def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = (), most: int | None = None, stemmed: bool = False) -> DataFrame:
+    """(query_id, key, carry, score) of every match; queries has (query_id, term); a term that a query has twice counts twice. With prefix columns, both sides are
     partitioned by them and statistics are per partition. Texts are read once, into a written table of counts. With most, matches
     that can't be among a query's best so many may be left out."""
     on = [*prefix, "term"]
@@ -111,7 +130,7 @@ def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: floa
     if not prefix:
         few = [r.term for r in queries.select("term").distinct().limit(_TERMS + 1).collect()]
         terms = set(few) if len(few) <= _TERMS else None
-    rows = materialize(counted(texts, (*prefix, key, *carry), pattern, terms), "counted")
+    rows = materialize(counted(texts, (*prefix, key, *carry), pattern, terms, stemmed), "counted")
     stats = rows.groupBy(*prefix).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
     post = rows.select(*prefix, key, *carry, "len", F.inline("terms"))
     df = post.groupBy(*on).agg(F.count("*").alias("df"))
@@ -179,10 +198,51 @@ df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 lex AS (SELECT item_id, chunk_id, round(sum({idf} * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len / avgdl))), 6) AS score FROM q JOIN po USING (term) JOIN df USING (term), st GROUP BY ALL)"""
 
 
-@query("ret_01", f"WITH base, {_bm25_cte('floor', 1.2, 0.75)} SELECT item_id, chunk_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 10")
+def stemmed_items(c, table: str = "benchmark", key: str = "item_id") -> DataFrame:
+    """(item_id, term) of the items' stemmed words, each as often as the item has it."""
+    words = counted(c.table(table).select(key, "text"), (key,), ALNUM, None, stemmed=True)
+    return words.select(key, F.inline("terms")).select(key, "term", F.explode(F.sequence(F.lit(1), F.col("tf").cast("int"))).alias("n")).drop("n")
+
+
+def _porter_sql() -> str:
+    """stems (w, t) of words (w) in SQL: measures as patterns, one common table expression a step."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, more, vowel, short = f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}", f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    one = f"^({c})?{v}{c}({v})?$"
+    cut = lambda n: f"left(x, length(x) - {n})"
+
+    def step(rules: dict[str, str], test: str) -> str:
+        each = sorted(rules, key=len, reverse=True)
+        return "CASE " + " ".join(f"WHEN length(x) > {len(k)} AND ends_with(x, '{k}') THEN CASE WHEN regexp_matches({cut(len(k))}, '{test}'){' AND right(' + cut(3) + ', 1) IN (chr(115), chr(116))' if k == 'ion' else ''} THEN {cut(len(k))} || '{rules[k]}' ELSE x END" for k in each) + " ELSE x END"
+
+    fixed = f"CASE WHEN length(x) > 2 AND right(x, 2) IN ('at', 'bl', 'iz') THEN x || 'e' WHEN length(x) > 1 AND right(x, 1) = left(right(x, 2), 1) AND right(x, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN {cut(1)} WHEN regexp_matches(x, '{one}') AND regexp_matches(x, '{short}') THEN x || 'e' ELSE x END"
+    steps = [
+        f"CASE WHEN length(x) > 4 AND ends_with(x, 'sses') OR length(x) > 3 AND ends_with(x, 'ies') THEN {cut(2)} WHEN length(x) > 2 AND ends_with(x, 'ss') THEN x WHEN length(x) > 1 AND ends_with(x, 's') THEN {cut(1)} ELSE x END",
+        # a bar marks a word that lost ed or ing
+        f"CASE WHEN length(x) > 3 AND ends_with(x, 'eed') THEN CASE WHEN regexp_matches({cut(3)}, '{some}') THEN {cut(1)} ELSE x END WHEN length(x) > 2 AND ends_with(x, 'ed') THEN CASE WHEN regexp_matches({cut(2)}, '{vowel}') THEN '|' || {cut(2)} ELSE x END WHEN length(x) > 3 AND ends_with(x, 'ing') THEN CASE WHEN regexp_matches({cut(3)}, '{vowel}') THEN '|' || {cut(3)} ELSE x END ELSE x END",
+        f"CASE WHEN f THEN {fixed} ELSE x END",
+        f"CASE WHEN ends_with(x, 'y') AND regexp_matches({cut(1)}, '{vowel}') THEN {cut(1)} || 'i' ELSE x END",
+        step(STEP_2, some), step(STEP_3, some), step(dict.fromkeys(STEP_4, ""), more),
+        f"CASE WHEN ends_with(x, 'e') AND (regexp_matches({cut(1)}, '{more}') OR regexp_matches({cut(1)}, '{one}') AND NOT regexp_matches({cut(1)}, '{short}')) THEN {cut(1)} ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND regexp_matches({cut(1)}, '{more}') THEN {cut(1)} ELSE x END",
+    ]
+    out = ["p0 AS (SELECT w, CASE WHEN starts_with(w, 'y') THEN 'Y' || substr(w, 2) ELSE w END AS x FROM words WHERE strlen(w) BETWEEN 3 AND 64)"]
+    barred = "(SELECT w, starts_with(x, '|') AS f, ltrim(x, '|') AS x FROM p2)"
+    out += [f"p{i + 1} AS (SELECT w, {s} AS x FROM {barred if i == 2 else f'p{i}'})" for i, s in enumerate(steps)]
+    return ", ".join(out) + f", stems AS (SELECT w, replace(x, 'Y', 'y') AS t FROM p{len(steps)} UNION ALL SELECT w, w FROM words WHERE strlen(w) NOT BETWEEN 3 AND 64)"
+
+
+_FTS = f"""tw AS (SELECT chunk_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS v FROM chunks), qt AS (SELECT item_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark),
+words AS (SELECT DISTINCT unnest(v) AS w FROM tw UNION SELECT w FROM qt), {_porter_sql()},
+q AS (SELECT item_id, t AS term FROM qt JOIN stems USING (w)), st AS (SELECT count(*) AS n, avg(len(v)) AS avgdl FROM tw),
+po AS (SELECT t AS term, chunk_id, len, count(*) AS tf FROM (SELECT chunk_id, len(v) AS len, unnest(v) AS w FROM tw) JOIN stems USING (w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+lex AS (SELECT item_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (term) JOIN df USING (term), st GROUP BY ALL)"""
+
+
+@query("ret_01", f"WITH base, {_FTS} SELECT item_id, chunk_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 10")
 def ret_01(c):
-    """OR semantics over word terms, IDF with a floor. Terms are not stemmed."""
-    return ranked(bm25(c.chunks, "chunk_id", items(c), "item_id", style="floor", most=10), "item_id", "chunk_id", 10).drop("rank")
+    """OR semantics over stemmed words without accents, IDF with a floor; a word that a question repeats counts again."""
+    return ranked(bm25(c.chunks, "chunk_id", stemmed_items(c), "item_id", style="floor", pattern=ALNUM, most=10, stemmed=True), "item_id", "chunk_id", 10).drop("rank")
 
 
 @query("ret_02", f"WITH base, {_bm25_cte('log1p', 1.2, 0.75)}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM lex), d AS (SELECT r.item_id, chunk_id, document_id, score, rank FROM r JOIN chunks USING (chunk_id) WHERE rank <= 30 QUALIFY row_number() OVER (PARTITION BY item_id, document_id ORDER BY rank) = 1) SELECT item_id, chunk_id, document_id, score FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) <= 5")
