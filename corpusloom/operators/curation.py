@@ -15,7 +15,7 @@ from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _GROUPS, _NEAREST, _URLDOCS, _VEC, chunk_groups, in_period, nearest_of, percentiles, url_documents
 from corpusloom.plans.components import connected_components
 from corpusloom.plans.ordered import lagged
-from corpusloom.session import materialize
+from corpusloom.session import materialize, sized
 
 # Duplicates
 
@@ -113,14 +113,41 @@ def dup_06(c):
     return similar_pairs(spread(c.docs).select("doc_id", T.tokens("text").alias("w")), "doc_id", "w")
 
 
-def accepted(docs: DataFrame, links: DataFrame, key: str = "doc_id") -> DataFrame:
+def fold(edges: list[tuple]) -> list:
+    """Keys that go, of (a, b) with a < b, when rows are accepted in order unless an accepted one before is linked to them."""
+    before: dict = {}
+    for a, b in edges:
+        before.setdefault(b, []).append(a)
+    gone: set = set()
+    for b in sorted(before):
+        if any(a not in gone for a in before[b]):
+            gone.add(b)
+    return sorted(gone)
+
+
+#: Links that one task folds in order.
+FOLDED = 1_000_000
+
+
+def accepted(docs: DataFrame, links: DataFrame, key: str = "doc_id", most: int = FOLDED) -> DataFrame:
     """Greedy acceptance in key order: a row goes if a row accepted before it is linked to it.
 
-    In rounds of joins: rows without an open smaller neighbour are accepted, their neighbours go. A round settles every group
-    that one row holds together; chains of links take about as many rounds as they have rows.
+    Groups that links hold together are independent, so each is folded whole, in a task, where it has no more than `most` links; all
+    together are, if no more than that. Only larger groups take rounds of joins: rows without an open smaller neighbour are
+    accepted, their neighbours go; chains of links take about as many rounds as they have rows.
     """
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    gone = edges.select(F.col("b").alias(key)).limit(0)
+    kind = edges.schema["a"].dataType.simpleString()
+    told = lambda table: pa.table({key: pa.array(fold(list(zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True))), table.schema.field("a").type)})
+    if edges.count() <= most:
+        gone = edges.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: told(t), f"`{key}` {kind}")
+        return docs.join(sized(materialize(gone, "gone")), key, "left_anti")
+    parts = materialize(connected_components(edges), "parts")
+    held = materialize(edges.join(parts.select(F.col("node").alias("a"), "component"), "a"), "held")
+    large = materialize(held.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"), "large")
+    small = held.join(sized(large), "component", "left_anti")
+    gone = materialize(small.groupBy("component").applyInArrow(lambda t: told(t), f"`{key}` {kind}"), "gone")
+    edges = materialize(held.join(sized(large), "component", "left_semi").select("a", "b"), "edges")
     while edges.limit(1).count():
         first = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         out = materialize(edges.join(first, "a").select("b").distinct(), "gone")

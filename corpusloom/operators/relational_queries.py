@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.registry import query
+from corpusloom.plans.metric_pairs import vector_pairs
 
 NOW = "2024-03-01"
 
@@ -280,11 +281,7 @@ def jn_14(c):
 
 @query("jn_15", f"WITH {_VEC} SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.3")
 def jn_15(c):
-    from corpusloom.operators.scalar_queries import cosine
-
-    v = c.table("embeddings")
-    a, b = (v.select("label", F.col("vec_id").alias(x), F.col("embedding").alias("e" + x)) for x in "ab")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("similarity")).where("similarity >= 0.3")
+    return vector_pairs(c.table("embeddings"), 0.3, group="label", digits=6).withColumnRenamed("s", "similarity")
 
 
 @query("jn_16", "WITH base SELECT chunk_id, text, provenance FROM (SELECT * FROM chunks WHERE contains(text, 'that')) LEFT JOIN src USING (document_id)")

@@ -6,6 +6,8 @@ order within one is kept. So pairs are found by a join, components by label prop
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _VEC, mean_vectors
 from corpusloom.operators.scalar_queries import cosine
 from corpusloom.plans.components import connected_components
+from corpusloom.plans.metric_pairs import vector_pairs
 from corpusloom.session import materialize
 
 # Similarity that joins two documents, and that of a parent cluster.
@@ -23,40 +26,54 @@ THRESHOLD, PARENT_THRESHOLD = 0.52, 0.65
 FIXTURE_THRESHOLD, FIXTURE_PARENT = 0.3, 0.05
 
 
-def vector_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, s), a < b, with cosine >= threshold. All pairs of the vectors given: meant for document centroids."""
-    a, b = (vectors.select(F.col("vec_id").alias(x), F.col("embedding").alias("e" + x)) for x in "ab")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 9).alias("s")).where(F.col("s") >= threshold)
-
-
 def complete_linkage(ids: list[int], similarity: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
     """Merge the most similar pair of groups (by least member similarity; the highest left, then right index of ties) until none
-    reaches the threshold. Pairs that are not given are below it."""
+    reaches the threshold. Pairs that are not given are below it.
+
+    Groups keep their neighbours that all members are near; those of a merged group are the ones that both had. The best pair
+    comes from a heap, whose entries are checked when they come up, so work follows the pairs and not their square.
+    """
     groups = {i: [i] for i in ids}
-    near = {(a, b): s for (a, b), s in similarity.items() if s >= threshold}
-    while near:
-        score, left, right = max((s, a, b) for (a, b), s in near.items())
-        groups[left] = sorted(groups[left] + groups.pop(right))
-        near = {k: s for k, s in near.items() if left not in k and right not in k}
-        for other in groups:
-            if other != left:
-                least = min(similarity.get((min(x, y), max(x, y)), -1.0) for x in groups[left] for y in groups[other])
-                if least >= threshold:
-                    near[min(left, other), max(left, other)] = least
-    return [groups[i] for i in sorted(groups)]
+    near: dict[int, dict[int, float]] = {i: {} for i in ids}
+    for (a, b), s in similarity.items():
+        if s >= threshold:
+            near[a][b] = near[b][a] = s
+    heap = [(-s, -a, -b) for (a, b), s in similarity.items() if s >= threshold]
+    heapq.heapify(heap)
+    while heap:
+        score, left, right = (-x for x in heapq.heappop(heap))
+        if left not in groups or right not in groups or near[left].get(right) != score:
+            continue
+        groups[left] += groups.pop(right)
+        mine, theirs = near[left], near.pop(right)
+        for other in [*mine, *(x for x in theirs if x not in mine)]:
+            both = min(mine.get(other, -1.0), theirs.get(other, -1.0)) if other not in (left, right) else -1.0
+            if other in near:
+                near[other].pop(right, None)
+            if other in (left, right):
+                mine.pop(other, None)
+            elif both < threshold:
+                mine.pop(other, None)
+                near[other].pop(left, None)
+            else:
+                mine[other] = near[other][left] = both
+                heapq.heappush(heap, (-both, -min(left, other), -max(left, other)))
+    return [sorted(groups[i]) for i in sorted(groups)]
 
 
 def single_pass(ids: list[int], similarity: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    """In order, each joins the cluster of its most similar earlier member, if similar enough; the earliest of ties."""
+    """In order, each joins the cluster of its most similar earlier member, if similar enough; the earliest of ties. Work follows the
+    pairs."""
+    earlier: dict[int, list[tuple[int, float]]] = {}
+    for (a, b), s in similarity.items():
+        earlier.setdefault(b, []).append((a, s))
     clusters: list[list[int]] = []
+    of: dict[int, int] = {}
     for i in ids:
-        best, score = None, 0.0
-        for k, members in enumerate(clusters):
-            s = max(similarity.get((j, i), -1.0) for j in members)
-            if s > score:
-                best, score = k, s
-        if best is not None and score >= threshold:
-            clusters[best].append(i)
+        best = max(((s, -of[j]) for j, s in earlier.get(i, ()) if j in of and s > 0.0 and s >= threshold), default=None)
+        of[i] = -best[1] if best else len(clusters)
+        if best:
+            clusters[of[i]].append(i)
         else:
             clusters.append([i])
     return clusters
@@ -64,7 +81,7 @@ def single_pass(ids: list[int], similarity: dict[tuple[int, int], float], thresh
 
 def clustered(vectors: DataFrame, threshold: float, fold) -> DataFrame:
     """(vec_id, cluster): cluster is the smallest member. Vectors without any pair are clusters of their own."""
-    pairs = vector_pairs(vectors, threshold)
+    pairs = materialize(vector_pairs(vectors, threshold), "pairs")
     parts = connected_components(pairs)
     edges = pairs.join(parts.select(F.col("node").alias("a"), "component"), "a")
 
