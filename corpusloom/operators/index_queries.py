@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.lexical_index import LexicalIndex
 from corpusloom.operators.registry import query
-from corpusloom.operators.relational_queries import _GROUPS, chunk_groups
-from corpusloom.operators.retrieval import _bm25_cte, first_per_document, items
+from corpusloom.operators.relational_queries import _GROUPS, _NEAREST, _VEC, chunk_groups
+from corpusloom.operators.retrieval import _D, _DENSE, _bm25_cte, first_per_document, items
+from corpusloom.operators.vector_index import VectorIndex
 from corpusloom.session import scratch_path
 
 
@@ -47,3 +48,29 @@ def aud_02_index(c):
     index = indexed(c)
     index.delete(_spam(c))
     return index.audit()
+
+
+def listed(c, metric: str) -> VectorIndex:
+    """All vectors in inverted lists."""
+    index = VectorIndex(c.spark, scratch_path(c.spark, "vectors"), metric)
+    index.build(c.table("embeddings"))
+    return index
+
+
+@query("ret_04_index", f"WITH {_DENSE} SELECT query_id, vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
+def ret_04_index(c):
+    """Vector search by distance over a persisted index."""
+    return listed(c, "l2").search(c.table("embeddings").where("vec_id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
+@query("ret_05_index", f"WITH {_DENSE}, {_D} SELECT query_id, vec_id, score FROM dr WHERE rank <= 10")
+def ret_05_index(c):
+    """Vector search by cosine over a persisted index."""
+    return listed(c, "cosine").search(c.table("embeddings").where("vec_id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
+@query("jn_14_index", f"WITH {_VEC}, {_NEAREST} SELECT * FROM n")
+def jn_14_index(c):
+    """The nearest other vector of each query over a persisted index."""
+    hits = listed(c, "cosine").search(c.table("embeddings").where("vec_id % 50 = 0"), 1)
+    return hits.select(F.col("query_id").alias("vec_id"), F.col("id").alias("nearest"), F.col("score").alias("similarity"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def _work(cosine: float, digits: int):
         x, y, s = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((left, np.int64), (right, np.int64), (sims, float)))
         # sorted by id, so the lesser place has the lesser id; equal ids are no pair
         out = pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "s": s})
-        return out.filter(pa.compute.not_equal(out["a"], out["b"]))
+        return out.filter(pc.not_equal(out["a"], out["b"]))
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import curation, topics
 from corpusloom.plans import metric_pairs
-from corpusloom.plans.components import connected_components
+from corpusloom.plans.components import connected_components, least_nodes
 from corpusloom.plans.metric_pairs import vector_pairs
 from corpusloom.plans.ordered import lagged
 
@@ -50,9 +50,29 @@ def test_no_task_gets_a_hot_group(spark):
 
 def test_components_of_stars_and_chains(spark):
     edges = [(0, i) for i in range(1, 4000)] + [(10_000 + i, 10_001 + i) for i in range(300)] + [(7, 7), (None, 3), (20_001, 20_000)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(4000)) and all(got[10_000 + i] == 10_000 for i in range(301))
-    assert got[20_001] == got[20_000] == 20_000 and len(got) == 4000 + 301 + 2
+    for most in (10, 1_000_000):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), most=most).collect()}
+        assert all(got[i] == 0 for i in range(4000)) and all(got[10_000 + i] == 10_000 for i in range(301))
+        assert got[20_001] == got[20_000] == 20_000 and len(got) == 4000 + 301 + 2
+    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+    names = spark.createDataFrame([("b", "c"), ("c", "d"), ("z", "y")], "a string, b string")
+    assert sorted(map(tuple, connected_components(names).collect())) == [("b", "b"), ("c", "b"), ("d", "b"), ("y", "y"), ("z", "y")]
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(11)
+    for n, m in ((50, 30), (400, 380), (3000, 2900)):
+        x, y = (np.array([rng.randrange(n) for _ in range(m)]) for _ in "xy")
+        up = list(range(n))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+        assert least_nodes(n, x, y).tolist() == [find(i) for i in range(n)]
 
 
 def _close(rows, cosine, digits=9, grouped=False):
