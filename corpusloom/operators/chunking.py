@@ -25,11 +25,9 @@ def fixed_window(docs: DataFrame, size: int = 512, overlap: int = 64, keep: tupl
         raise ValueError("overlap must be in [0, size)")
     step, n = size - overlap, F.length("text")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    # the text is cut into steps once; a window is its step and what it shares with the steps after it
-    steps, more = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{step}}}"), F.lit(0)), -(-overlap // step)
-    window = lambda i: F.substring(F.array_join(F.slice("steps", i + 1, 1 + more), ""), 1, size)
-    cut = docs.where(n > 0).select("document_id", *keep, n.alias("whole"), last.alias("last"), steps.alias("steps"))
-    each = cut.select("document_id", *keep, "whole", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("last")), window)).alias("i", "text"))
+    # each match is a step, and looks ahead over its window
+    windows = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    each = docs.where(n > 0).select("document_id", *keep, n.alias("whole"), F.posexplode(F.slice(windows, F.lit(1), last + 1)).alias("i", "text"))
     start = F.col("i") * step
     return each.select("document_id", *[k for k in keep if k == "doc_id"], F.col("i").cast("long").alias("chunk_index"), chunk_id("document_id", "i").alias("chunk_id"), "text", content_hash(F.col("text")).alias("content_hash"), start.cast("long").alias("char_start"), F.least(start + size, F.col("whole")).cast("long").alias("char_end"), *[k for k in keep if k != "doc_id"])
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
-from corpusloom.operators.relational_queries import looks_like_article
-from corpusloom.operators.retrieval import bm25
+from corpusloom.operators.retrieval import LONGER, bm25
 from corpusloom.session import materialize
 
 # Elements that are never content, those that always are, and those that hold text.
@@ -124,11 +123,17 @@ def scored(found: DataFrame, pages: DataFrame) -> DataFrame:
     first = lambda pattern: F.regexp_extract("html", pattern, 1)
     meta = lambda name: F.concat_ws(" ", first(rf"(?is)<meta[^>]*name=[\"']?{name}[\"']?[^>]*content=[\"']([^\"']*)"), first(rf"(?is)<meta[^>]*content=[\"']([^\"']*)[\"'][^>]*name=[\"']?{name}\b"))
     topic = F.concat_ws(" ", first("(?is)<title[^>]*>(.*?)</title>"), F.regexp_replace(first(r"(?is)<h1\b[^>]*>(.*?)</h1>"), "<[^>]*>", " "), meta("description"), meta("keywords"))
-    terms = pages.select("page_id", F.explode(F.array_distinct(T.found(F.lower(topic), T.WORD))).alias("term")).withColumn("q", F.lit(0))
-    hits = bm25(found, "block", terms, "q", 1.5, 0.75, prefix=("page_id",)).select("page_id", "block", "score")
+    topics = pages.select("page_id", F.trim(topic).alias("topic"))
+    terms = topics.select("page_id", F.explode(T.found(F.lower("topic"), LONGER)).alias("term")).withColumn("q", F.lit(0))
+    hits = bm25(found, "block", terms, "q", 1.5, 0.75, style="okapi", pattern=LONGER, prefix=("page_id",)).select("page_id", "block", "score")
     n = F.size(T.words_of("text"))
     factor = F.when(F.col("tag").isin(*HEADINGS), 1.5).otherwise(1.0) * (1 + 0.1 * F.col("positive")) * F.when(F.col("negative") > 0, F.greatest(F.lit(0.1), 1 - 0.2 * F.col("negative"))).otherwise(1.0) * F.when(n < 10, 0.5).when(n > 100, 1.2).otherwise(1.0)
-    return found.join(hits, ["page_id", "block"], "left").withColumn("score", F.greatest(F.lit(0.0), F.round(F.coalesce("score", F.lit(0.0)) * factor, 6)))
+    # without a topic, or without any word to find it by, all blocks of a page are equal
+    worded = found.groupBy("page_id").agg(F.bool_or(F.col("text").rlike(LONGER)).alias("worded")).join(topics, "page_id")
+    plain = worded.select("page_id", ((F.col("topic") == "") | ~F.col("worded")).alias("plain"))
+    joined = found.join(hits, ["page_id", "block"], "left").join(plain, "page_id")
+    base = F.when(F.col("plain"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    return joined.withColumn("score", F.greatest(F.lit(0.0), F.round(base * factor, 6))).drop("plain")
 
 
 def selected(blocks_: DataFrame, most: int = 50) -> DataFrame:
@@ -184,24 +189,61 @@ def html_06(c):
     return selected(_scored(c)).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x.s), "\n\n").alias("markdown"))
 
 
+#: Signs of a content area, of a date, and parts of paths that are no articles.
+AREA = re.compile(r"content|articles|news|posts|feed", re.I)
+DATED = re.compile(r"/(20\d{2})[/-]\d{2}[/-]\d{2}/")
+RESERVED = "category tag author page search feed rss recent-posts about contact privacy terms".split()
+_OTHER = ("#", "javascript:", "mailto:", "tel:", "whatsapp:", "telegram:")
+
+
+def _article(href: str) -> bool:
+    return bool(href) and not href.startswith(_OTHER) and not any(x in href.lower() for x in T.SKIP_LINKS)
+
+
 def links(page: str, url: str) -> list[str]:
-    """Addresses that look like articles of the same host: in article elements, dated, or below the page's path."""
-    root, seen, host = tree(page), {}, urlsplit(url).netloc.lower()
-    for n in root.walk():
-        if isinstance(n, Node) and n.tag == "a" and n.attrs.get("href"):
-            full = urljoin(url, n.attrs["href"])
-            parts = urlsplit(full)
-            if parts.netloc.lower() == host and parts.path.rstrip("/") != urlsplit(url).path.rstrip("/"):
-                seen.setdefault(f"{parts.scheme}://{host}{parts.path or '/'}", None)
-    return list(seen)
+    """Addresses of articles of the same host, each once, in the order in which they are found: the first link of each article
+    element; article-like links of the main element or else of the first content area; dated links; and, if these are fewer than three,
+    article-like links below the page's own path."""
+    root, base = tree(page), urlsplit(url)
+    below = lambda n: [x for x in n.walk() if isinstance(x, Node) and x.tag == "a" and x.attrs.get("href") is not None]
+    nodes = [n for n in root.walk() if isinstance(n, Node)]
+    own = base.path.rstrip("/")
+    found: dict[str, None] = {}
+    for n in nodes:
+        if n.tag == "article" and (first := below(n)[:1]) and first[0].attrs["href"]:
+            found.setdefault(first[0].attrs["href"])
+    area = next((n for n in nodes if n.tag == "main"), None) or next((n for n in nodes if n.tag == "div" and any(AREA.search(x) for x in (n.attrs.get("class") or "").split())), None)
+    for a in below(area) if area else []:
+        if _article(a.attrs["href"]):
+            found.setdefault(a.attrs["href"])
+    every = [a.attrs["href"] for a in below(root)]
+    for href in every:
+        if DATED.search(href):
+            found.setdefault(href)
+    if len(found) < 3:
+        for href in every:
+            full = urljoin(url, href)
+            at = urlsplit(full)
+            if at.netloc == base.netloc and at.path.startswith(own + "/") and at.path.rstrip("/") != own and not any(x in at.path.lower() for x in RESERVED) and _article(href):
+                found.setdefault(full)
+    out: dict[str, None] = {}
+    for href in found:
+        at = urlsplit(urljoin(url, href.strip()))
+        # parameters and fragments tell no other page; queries do
+        if at.scheme.lower() in ("http", "https") and at.netloc.lower() == base.netloc.lower() and at.path.rstrip("/") != own:
+            path = re.sub(r";[^/]*$", "", at.path) or "/"
+            out.setdefault(f"{at.scheme.lower()}://{at.netloc.lower()}{path}" + (f"?{at.query}" if at.query else ""))
+    return list(out)
 
 
 @query("html_07")
 def html_07(c):
+    """Pages play the listing at the root of their host: their own addresses have nothing below them."""
+
     def run(batches):
         for b in batches:
             rows = [(p, i, x) for p, u, h in zip(b["page_id"], b["url"], b["html"], strict=True) for i, x in enumerate(links(h, u))]
             yield pd.DataFrame(rows, columns=["page_id", "place", "link"])
 
-    found = c.table("pages").select("page_id", "url", "html").mapInPandas(run, "page_id long, place long, link string")
-    return found.where(looks_like_article(F.col("link")))
+    root = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
+    return c.table("pages").select("page_id", F.concat(root, F.lit("/")).alias("url"), "html").mapInPandas(run, "page_id long, place long, link string")

@@ -16,12 +16,16 @@ from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
 from corpusloom.operators.registry import query
 from corpusloom.operators.scalar_queries import cosine
-from corpusloom.session import materialize
+from corpusloom.session import materialize, sized
 
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
     "floor": lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6)),
+    # a term of more than half of the texts gets a quarter of the mean over all terms
+    "okapi": lambda n, df: F.when(F.log((n - df + 0.5) / (df + 0.5)) < 0, 0.25 * F.col("mean_idf")).otherwise(F.log((n - df + 0.5) / (df + 0.5))),
 }
+#: Words of two letters or more.
+LONGER = r"[\p{L}\p{N}_]{2,}"
 
 
 def postings(texts: DataFrame, key: str, pattern: str = T.WORD) -> DataFrame:
@@ -136,6 +140,9 @@ def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: floa
     df = post.groupBy(*on).agg(F.count("*").alias("df"))
     stated = queries.join(df, on)
     if prefix:
+        if style == "okapi":
+            mean = F.avg(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("mean_idf")
+            stats = stats.join(df.join(stats, list(prefix)).groupBy(*prefix).agg(mean), list(prefix))
         stated = stated.join(stats, list(prefix))
     else:
         stated = stated.join(F.broadcast(stats), F.lit(True))
@@ -253,11 +260,14 @@ def ret_02(c):
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))).where("r <= 5").select("item_id", "chunk_id", "document_id", "score")
 
 
-@query("ret_03", "WITH base, q AS (SELECT document_id, unnest(list_distinct(regexp_extract_all(lower(regexp_extract(text, '^[^\\n]*')), '[\\p{L}\\p{N}_]+'))) AS term FROM docs), tk AS (SELECT document_id, chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM chunks), st AS (SELECT document_id, count(*) AS n, avg(len(w)) AS avgdl FROM tk GROUP BY 1), po AS (SELECT document_id, term, chunk_id, len, count(*) AS tf FROM (SELECT document_id, chunk_id, len(w) AS len, unnest(w) AS term FROM tk) GROUP BY ALL), df AS (SELECT document_id, term, count(*) AS df FROM po GROUP BY ALL) SELECT document_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (document_id, term) JOIN df USING (document_id, term) JOIN st USING (document_id) GROUP BY ALL")
+_OKAPI = "q AS (SELECT document_id, unnest(regexp_extract_all(lower(regexp_extract(text, '^[^\\n]*')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM docs), tk AS (SELECT document_id, chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM chunks), st AS (SELECT document_id, count(*) AS n, avg(len(w)) AS avgdl FROM tk GROUP BY 1), po AS (SELECT document_id, term, chunk_id, len, count(*) AS tf FROM (SELECT document_id, chunk_id, len(w) AS len, unnest(w) AS term FROM tk) GROUP BY ALL), df AS (SELECT document_id, term, count(*) AS df FROM po GROUP BY ALL), raw AS (SELECT document_id, term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM df JOIN st USING (document_id)), me AS (SELECT document_id, avg(idf) AS m FROM raw GROUP BY 1)"
+
+
+@query("ret_03", f"WITH base, {_OKAPI} SELECT document_id, chunk_id, round(sum(CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (document_id, term) JOIN raw USING (document_id, term) JOIN me USING (document_id) JOIN st USING (document_id) GROUP BY ALL")
 def ret_03(c):
-    """BM25 within each document: its blocks against its own first line."""
-    q = c.docs.select("document_id", F.explode(F.array_distinct(T.found(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)), T.WORD))).alias("term"))
-    hits = bm25(c.chunks, "chunk_id", q.withColumn("q", F.lit(0)), "q", 1.5, 0.75, prefix=("document_id",))
+    """BM25 within each document: its blocks against the words of its own first line, repeated ones again."""
+    q = c.docs.select("document_id", F.explode(T.found(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)), LONGER)).alias("term"))
+    hits = bm25(c.chunks, "chunk_id", q.withColumn("q", F.lit(0)), "q", 1.5, 0.75, style="okapi", pattern=LONGER, prefix=("document_id",))
     return hits.select("document_id", "chunk_id", "score")
 
 
@@ -469,8 +479,9 @@ def neighbours(clusters: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def hops(clusters: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
-    """(seed, cluster, hop) reached in at most so many steps, each at its first."""
-    seen = seeds.select("seed", F.col("seed").alias("cluster"), F.lit(0).alias("hop"))
+    """(seed, cluster, hop) reached in at most so many steps, each at its first; seeds: (seed), or (seed, cluster) of several entries."""
+    start = F.col("cluster") if "cluster" in seeds.columns else F.col("seed")
+    seen = seeds.select("seed", start.alias("cluster"), F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, most + 1):
         frontier = neighbours(clusters, frontier).join(seen.select("seed", "cluster"), ["seed", "cluster"], "left_anti").withColumn("hop", F.lit(hop))
@@ -478,14 +489,47 @@ def hops(clusters: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     return seen
 
 
-@query("ret_16", "WITH base, cl AS (SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN CAST(substr(source, 4) AS INTEGER) > 0 THEN (CAST(substr(source, 4) AS INTEGER) - 1) // 3 END AS parent FROM docs), ed AS (SELECT a.cluster AS x, b.cluster AS y FROM cl a JOIN cl b ON a.cluster <> b.cluster AND (a.parent = b.cluster OR b.parent = a.cluster OR a.parent = b.parent)), h1 AS (SELECT x AS seed, y AS cluster FROM ed), h2 AS (SELECT DISTINCT h1.seed, ed.y AS cluster FROM h1 JOIN ed ON ed.x = h1.cluster WHERE ed.y <> h1.seed AND (h1.seed, ed.y) NOT IN (SELECT (seed, cluster) FROM h1)), hp AS (SELECT seed, cluster, 1 AS hop FROM h1 UNION ALL SELECT seed, cluster, 2 FROM h2) SELECT seed, hp.cluster, hop, chunk_id FROM hp JOIN chunks k ON CAST(substr(k.source, 4) AS INTEGER) = hp.cluster QUALIFY row_number() OVER (PARTITION BY seed, hp.cluster ORDER BY document_id, chunk_index) <= 5")
+def navigated(hits: DataFrame, queries: DataFrame, entries: DataFrame, clusters: DataFrame, members: DataFrame, chunks: DataFrame, least: int = 3, most: int = 2, each: int = 5) -> DataFrame:
+    """(query_id, hop, cluster, chunk_id): a query's hits (hop 0, cluster -1), and, where they are fewer than `least` or of fewer documents,
+    up to `each` other chunks of every cluster that is reached in `most` hops.
+
+    hits: (query_id, chunk_id, document_id). Entry clusters are those of the hits' documents, or else those of entries
+    (query_id, cluster). All entries count as visited from the start.
+    """
+    counted_ = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("d"))
+    poor = queries.select("query_id").join(counted_, "query_id", "left").where((F.coalesce("n", F.lit(0)) < least) | (F.coalesce("d", F.lit(0)) < least))
+    own = hits.join(members, "document_id").select("query_id", "cluster").distinct()
+    given = entries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    seeds = own.unionByName(given.select("query_id", "cluster")).join(poor.select("query_id"), "query_id", "left_semi").withColumnRenamed("query_id", "seed")
+    reached = hops(clusters, seeds, most).where("hop > 0").withColumnRenamed("seed", "query_id")
+    held = reached.join(members, "cluster").join(chunks.select("document_id", "chunk_id", "chunk_index"), "document_id").join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    w = Window.partitionBy("query_id", "cluster").orderBy("document_id", "chunk_index")
+    more = held.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).select("query_id", "hop", "cluster", "chunk_id")
+    return hits.select("query_id", F.lit(0).alias("hop"), F.lit(-1).alias("cluster"), "chunk_id").unionByName(more)
+
+
+_HOPS = """cl AS (SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN CAST(substr(source, 4) AS INTEGER) > 0 THEN (CAST(substr(source, 4) AS INTEGER) - 1) // 3 END AS parent FROM docs),
+ed AS (SELECT a.cluster AS x, b.cluster AS y FROM cl a JOIN cl b ON a.cluster <> b.cluster AND (a.parent = b.cluster OR b.parent = a.cluster OR a.parent = b.parent)),
+hi AS (SELECT item_id, chunk_id, document_id, CAST(substr(k.source, 4) AS INTEGER) AS cluster FROM benchmark b JOIN chunks k ON contains(k.text, b.text) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 10),
+po AS (SELECT b.item_id, count(chunk_id) AS n, count(DISTINCT document_id) AS d FROM benchmark b LEFT JOIN hi USING (item_id) GROUP BY 1 HAVING n < 3 OR d < 3),
+se AS (SELECT DISTINCT item_id, cluster FROM po JOIN hi USING (item_id) UNION SELECT item_id, CAST(item_id % 20 AS INTEGER) FROM po WHERE n = 0),
+h1 AS (SELECT DISTINCT item_id, y AS cluster FROM se JOIN ed ON x = cluster WHERE (item_id, y) NOT IN (SELECT (item_id, cluster) FROM se)),
+h2 AS (SELECT DISTINCT item_id, y AS cluster FROM h1 JOIN ed ON x = cluster WHERE (item_id, y) NOT IN (SELECT (item_id, cluster) FROM se) AND (item_id, y) NOT IN (SELECT (item_id, cluster) FROM h1)),
+hp AS (SELECT item_id, cluster, 1 AS hop FROM h1 UNION ALL SELECT item_id, cluster, 2 FROM h2)"""
+
+
+@query("ret_16", f"WITH base, {_HOPS} SELECT item_id, 0 AS hop, -1 AS cluster, chunk_id FROM hi UNION ALL (SELECT item_id, hop, hp.cluster, chunk_id FROM hp JOIN chunks k ON CAST(substr(k.source, 4) AS INTEGER) = hp.cluster QUALIFY row_number() OVER (PARTITION BY item_id, hp.cluster ORDER BY document_id, chunk_index) <= 5)")
 def ret_16(c):
-    """Two hops over the topic graph, five chunks a neighbour."""
+    """Chunks that hold an item; where they are fewer than three, or of fewer than three documents, two hops over the topic graph,
+    five chunks a neighbour. An item without a hit enters at a stated cluster."""
     clusters, members = _graph(c)
-    reached = hops(clusters, clusters.select(F.col("cluster").alias("seed"))).where("hop > 0")
-    held = reached.join(members, "cluster").join(c.chunks.select("document_id", "chunk_id", "chunk_index"), "document_id")
-    w = Window.partitionBy("seed", "cluster").orderBy("document_id", "chunk_index")
-    return held.withColumn("r", F.row_number().over(w)).where("r <= 5").select("seed", "cluster", "hop", "chunk_id")
+    asked = c.table("benchmark").select("item_id", F.col("text").alias("q"))
+    found = c.chunks.select("chunk_id", "document_id", "text").join(sized(asked, 20_000), F.contains("text", F.col("q")))
+    hits = found.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("chunk_id"))).where("r <= 10")
+    hits = materialize(hits.select(F.col("item_id").alias("query_id"), "chunk_id", "document_id"), "hits")
+    queries = asked.select(F.col("item_id").alias("query_id"))
+    entries = queries.withColumn("cluster", (F.col("query_id") % 20).cast("int"))
+    return navigated(hits, queries, entries, clusters, members, c.chunks).withColumnRenamed("query_id", "item_id")
 
 
 @query("ret_17", "WITH lb AS (SELECT label, 'topic ' || label || ' the of ' || CASE WHEN label % 2 = 0 THEN 'with' ELSE 'that' END AS l FROM (SELECT DISTINCT label FROM embeddings)), t AS (SELECT item_id, label, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), list_distinct(regexp_extract_all(l, '[a-z0-9]+')))) AS n FROM benchmark, lb) SELECT item_id, label, CAST(n AS BIGINT) AS shared FROM t WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, label) <= 2")
@@ -505,10 +549,30 @@ def _memory(c) -> DataFrame:
     return ranked(bm25(m, "chunk_id", items(c, most=8), "item_id"), "item_id", "chunk_id", 20)
 
 
-@query("ret_18", f"WITH base, {_MEM} SELECT item_id, chunk_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 20")
+_NEWEST = "nw AS (SELECT session_id || ':' || turn AS chunk_id FROM episodes WHERE role = 'user' ORDER BY created_at DESC, chunk_id LIMIT 20)"
+
+
+def recalled(c, questions: DataFrame, most: int = 20) -> DataFrame:
+    """(item_id, chunk_id, score) of the memories that a question's first eight words recall; a question without words recalls the
+    newest ones, without a score."""
+    m = c.episodes.where("role = 'user'").select(F.concat_ws(":", "session_id", "turn").alias("chunk_id"), F.col("content").alias("text"), "created_at")
+    words = F.slice(T.found(F.lower("text"), T.WORD), 1, 8)
+    terms = questions.select("item_id", F.explode(words).alias("term"))
+    hits = ranked(bm25(m, "chunk_id", terms, "item_id"), "item_id", "chunk_id", most).select("item_id", "chunk_id", "score")
+    newest = m.orderBy(F.desc("created_at"), "chunk_id").limit(most).select("chunk_id")
+    empty = questions.where(F.size(words) == 0).select("item_id")
+    return hits.unionByName(empty.join(F.broadcast(newest), F.lit(True)).withColumn("score", F.lit(None).cast("double")))
+
+
+_ASKED_SQL = "bm AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN '?!' ELSE text END AS text FROM benchmark)"
+_MEM8 = _MEM[_MEM.index("),", _MEM.index("FROM benchmark")) + 2 :]
+
+
+@query("ret_18", f"WITH base, {_ASKED_SQL}, q AS (SELECT item_id, unnest(list_slice(regexp_extract_all(lower(text), '{T.WORD}'), 1, 8)) AS term FROM bm),{_MEM8}, {_NEWEST} SELECT item_id, chunk_id, score FROM (SELECT * FROM lex QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 20) UNION ALL SELECT item_id, chunk_id, NULL::DOUBLE FROM bm, nw WHERE text = '?!'")
 def ret_18(c):
-    """Memory recall: at most eight OR terms, within one scope."""
-    return _memory(c).drop("rank")
+    """Memory recall: the first eight words, any of them, within one scope; every tenth question here has none."""
+    asked = c.table("benchmark").select("item_id", F.when(F.col("item_id") % 10 == 0, "?!").otherwise(F.col("text")).alias("text"))
+    return recalled(c, asked)
 
 
 @query("ret_19", f"WITH base, {_MEM}, l AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 20), s AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY length(chunk_id) DESC, chunk_id) AS rank FROM l), u AS (SELECT item_id, chunk_id, rank FROM l UNION ALL SELECT item_id, chunk_id, rank FROM s), f AS (SELECT item_id, chunk_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM u GROUP BY ALL) SELECT item_id, chunk_id, score FROM f WHERE chunk_id NOT LIKE '%:0' ")

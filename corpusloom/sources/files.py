@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from corpusloom.functions import text as T
+from corpusloom.session import materialize
 
 # Leading bytes of file types.
 MAGIC = {"application/pdf": "25504446", "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "47494638", "application/zip": "504B0304", "application/x-ole": "D0CF11E0A1B11AE1"}
@@ -84,12 +87,26 @@ def html_text(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(y, "\n{3,}", "\n\n"), "[ \t]{2,}", " "), r"^\s+|\s+$", "")
 
 
+@F.pandas_udf(StructType().add("content", "string").add("keys", "string"))
+def _json_document(raw: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in raw:
+        try:
+            data = None if x is None else json.loads(x)
+        except ValueError:
+            rows.append((x, None))
+            continue
+        own = isinstance(data, dict) and isinstance(data.get("text"), str)
+        text = data["text"] if own else None if x is None else json.dumps(data, indent=2, ensure_ascii=False, sort_keys=True)
+        rows.append((text, ",".join(sorted(k for k in data if not own or k != "text")) if isinstance(data, dict) else "" if x is not None else None))
+    return pd.DataFrame(rows, columns=["content", "keys"])
+
+
 def json_document(x: Column | str) -> tuple[Column, Column]:
-    """Content of the text key, or the whole as it is; and the sorted other keys."""
-    raw = T.col(x)
-    text = F.get_json_object(raw, "$.text")
-    keys = F.array_sort(F.filter(F.json_object_keys(raw), lambda k: k != "text"))
-    return F.coalesce(text, raw), F.array_join(keys, ",")
+    """Content of the text key, if it is a string, or else the whole printed anew with sorted keys and two blanks a level; and the
+    sorted (other) keys. What can't be read stays as it is, without keys."""
+    read = _json_document(T.col(x))
+    return read["content"], read["keys"]
 
 
 def parse(files: DataFrame, parser: Callable[[bytes], list[str]]) -> DataFrame:
@@ -121,6 +138,53 @@ def sitemap_urls(maps: DataFrame, xml: str, since: str, most: int = 500) -> Data
     return flat.where(F.col("lastmod") >= since).orderBy(F.desc("lastmod"), "loc").limit(most)
 
 
+@F.pandas_udf(StructType().add("children", ArrayType(StringType())).add("entries", ArrayType(StructType().add("loc", "string").add("lastmod", "string"))))
+def _sitemap(xml: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in xml:
+        try:
+            root = ElementTree.fromstring(x or "")
+        except ElementTree.ParseError:
+            rows.append(([], []))
+            continue
+        space = root.tag.split("}")[0] + "}" if root.tag.startswith("{") else ""
+        maps = root.findall(space + "sitemap")
+        urls = [] if maps else root.findall(space + "url")
+        text = lambda n, tag: (n.findtext(space + tag) or "").strip() or None  # noqa: B023, E731
+        rows.append(([y for n in maps if (y := text(n, "loc"))], [{"loc": text(n, "loc"), "lastmod": text(n, "lastmod")} for n in urls if text(n, "loc")]))
+    return pd.DataFrame(rows, columns=["children", "entries"])
+
+
+def sitemap_tree(maps: DataFrame, roots: DataFrame, since: str | None = None, pattern: str | None = None, exclude: tuple[str, ...] = (), most: int = 500, depth: int = 20) -> DataFrame:
+    """loc and lastmod of all sitemaps below the roots, in the order of the files, at most so many a call.
+
+    maps: fetched files (url, xml), urls unique; roots: (url). An index's children are followed, each file once, so a cycle ends; what
+    was not fetched or can't be read gives nothing. Entries older than since go; those without a readable date stay. pattern is
+    searched for in the path; addresses with a part of exclude go.
+    """
+    none = F.array().cast("array<int>")
+    read = materialize(maps.where(F.col("url").isNotNull()).select("url", _sitemap("xml").alias("m")).select("url", "m.children", "m.entries"), "sitemaps")
+    frontier = materialize(roots.select("url").distinct().select("url", none.alias("place")).join(read.select("url"), "url", "left_semi"), "frontier")
+    seen = frontier
+    for _ in range(depth):
+        below = frontier.join(read.select("url", "children"), "url").select("place", F.posexplode("children").alias("n", "child"))
+        below = below.groupBy(F.col("child").alias("url")).agg(F.min(F.concat("place", F.array("n"))).alias("place"))
+        frontier = materialize(below.join(seen.select("url"), "url", "left_anti").join(read.select("url"), "url", "left_semi"), "frontier")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
+    leaves = seen.join(read.where(F.size("children") == 0), "url").select("place", "url", F.posexplode("entries").alias("n", "e"))
+    rows = leaves.select("place", "url", "n", "e.loc", "e.lastmod")
+    if since:
+        at = F.try_to_timestamp("lastmod")
+        rows = rows.where(at.isNull() | (at >= F.lit(since).cast("timestamp")))
+    if pattern:
+        rows = rows.where(F.regexp_extract("loc", r"^[a-zA-Z][^:/?#]*://[^/?#]*([^?#]*)", 1).rlike(pattern))
+    for part in exclude:
+        rows = rows.where(~F.contains("loc", F.lit(part)))
+    return rows.orderBy("place", "url", "n").limit(most).select("loc", "lastmod")
+
+
 def api_items(responses: DataFrame, body: str, template: str, since: str) -> DataFrame:
     """url and date of the items of JSON responses, addresses made from a template with {id}."""
     items = F.from_json(F.get_json_object(F.col(body), "$.items"), "array<struct<id:string,date:string>>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.registry import query
-from corpusloom.session import scratch_path
+from corpusloom.session import materialize, scratch_path
 from corpusloom.sources import files as S
 
 _HEADS = ("25504446", "89504E470D0A1A0A", "FFD8FF", "47494638", "52494646", "504B0304", "3C68746D6C3E", "")
@@ -88,7 +88,7 @@ def src_10(c):
     return c.table("pages").select("page_id", S.html_text("html").alias("text"))
 
 
-@query("src_11", "SELECT event_id, props AS content, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
+@query("src_11", "SELECT event_id, '{' || chr(10) || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '  \"' || k || '\": ' || json_extract(props, '$.' || k)), ',' || chr(10)) || chr(10) || '}' AS content, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
 def src_11(c):
     content, keys = S.json_document("props")
     return c.table("events").select("event_id", content.alias("content"), keys.alias("keys"))
@@ -125,12 +125,20 @@ def src_15(c):
     return S.feed_entries(_feed(c), "xml", "2024-01-15", "5$")
 
 
-@query("src_16", "SELECT 'https://e.org/' || doc_id AS loc, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS lastmod FROM documents WHERE doc_id % 28 >= 14 ORDER BY lastmod DESC, loc LIMIT 500")
+@query("src_16", "WITH u AS (SELECT CAST(substr(source, 4) AS INTEGER) AS k, source, doc_id, 'https://e.org/' || doc_id AS loc, CASE WHEN doc_id % 9 > 0 THEN '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') END AS lastmod FROM documents) SELECT loc, lastmod FROM u WHERE (lastmod IS NULL OR lastmod >= '2024-01-15') AND doc_id % 10 <> 5 ORDER BY k % 3, source, doc_id LIMIT 500")
 def src_16(c):
-    n = F.col("doc_id").cast("string")
-    item = F.concat(F.lit("<url><loc>https://e.org/"), n, F.lit("</loc><lastmod>2024-01-"), F.lpad((1 + F.col("doc_id") % 28).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
-    maps = c.docs.groupBy("source").agg(F.array_join(F.collect_list(item), "").alias("items")).select(F.concat(F.lit("<urlset>"), "items", F.lit("</urlset>")).alias("xml"))
-    return S.sitemap_urls(maps, "xml", "2024-01-15")
+    """An index of three indexes, which name it too, of one sitemap a source; every ninth entry has no date."""
+    n, k = F.col("doc_id").cast("string"), F.substring("source", 4, 9).cast("int")
+    date = F.when(F.col("doc_id") % 9 > 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((1 + F.col("doc_id") % 28).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise("")
+    item = F.concat(F.lit("<url><loc>https://e.org/"), n, F.lit("</loc>"), date, F.lit("</url>"))
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y.s), "")
+    leaf = c.docs.groupBy("source").agg(joined(F.struct("doc_id", item.alias("s"))).alias("s")).select("source", F.concat(F.lit("https://e.org/"), "source", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), "s", F.lit("</urlset>")).alias("xml"))
+    child = lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))
+    whole = lambda s: F.concat(F.lit("<sitemapindex>"), s, child(F.lit("https://e.org/index.xml")), F.lit("</sitemapindex>"))
+    inner = leaf.select((k % 3).alias("g"), "source", "url").groupBy("g").agg(joined(F.struct("source", child(F.col("url")).alias("s"))).alias("s")).select(F.concat(F.lit("https://e.org/"), F.col("g").cast("string"), F.lit(".xml")).alias("url"), whole(F.col("s")).alias("xml"))
+    top = inner.agg(joined(F.struct("url", child(F.col("url")).alias("s"))).alias("s")).select(F.lit("https://e.org/index.xml").alias("url"), whole(F.col("s")).alias("xml"))
+    maps = materialize(leaf.select("url", "xml").unionByName(inner).unionByName(top), "fetched")
+    return S.sitemap_tree(maps, top.select("url"), "2024-01-15", "[0-46-9]$")
 
 
 @query("src_17", "SELECT 'https://api.e.org/v1/' || doc_id AS url, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS date FROM documents WHERE doc_id % 28 >= 20")

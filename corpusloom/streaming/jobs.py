@@ -22,18 +22,36 @@ def sessions(events: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -
     return events.withWatermark("ts", late).groupBy("artifact_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("turns")).select("artifact_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "turns")
 
 
-def confidence(events: DataFrame, keep: float = 0.7, least: int = 2, threshold: float = 0.4) -> DataFrame:
-    """Moving average per key as state (average, count); the rows of a batch are taken in time order."""
+def confidence(events: DataFrame, keep: float = 0.7, least: int = 2, threshold: float = 0.4, late: str = "1 hour", idle: str = "30 days") -> DataFrame:
+    """Moving average per key as state (average, count); the rows of a batch are taken in time order.
+
+    Rows older than the watermark are dropped. A key without rows for `idle` after its last one, in event time, leaves the
+    state once the watermark has passed; it begins anew if it comes back.
+    """
+    span = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, n = state.get if state.exists else (0.0, 0)
-        for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, n, last = state.get if state.exists else (0.0, 0, 0)
+        if n and last + span <= state.getCurrentWatermarkMs():
+            # idle for too long, and back in the batch that would have ended it
+            value, n, last = 0.0, 0, 0
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        # late rows come in the batch that moves the watermark past them
+        rows = rows[rows["ts"].astype("datetime64[ms]").astype("int64") >= state.getCurrentWatermarkMs()]
+        for row in rows.itertuples():
             value = row.score if n == 0 else keep * value + (1 - keep) * row.score
             n += 1
-        state.update((value, n))
-        yield pd.DataFrame({"artifact_id": [key[0]], "n": [n], "confidence": [value], "needs_research": [n >= least and value < threshold]})
-
-    return events.groupBy("artifact_id").applyInPandasWithState(update, "artifact_id long, n long, confidence double, needs_research boolean", "value double, n long", "update", GroupStateTimeout.NoTimeout)
+            last = max(last, int(row.ts.timestamp() * 1000))
+        if n:
+            state.update((value, n, last))
+            state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({"artifact_id": [key[0]], "n": [n], "confidence": [value], "needs_research": [n >= least and value < threshold]})
+
+    stream = events.withWatermark("ts", late).groupBy("artifact_id")
+    return stream.applyInPandasWithState(update, "artifact_id long, n long, confidence double, needs_research boolean", "value double, n long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):

@@ -115,3 +115,27 @@ def test_search_reads_the_buckets_of_its_terms_alone(spark, corpus):
     index.append(chunks.limit(300))
     plan = index._table("blocks").where(F.col("bucket").isin(3))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_okapi_within_a_page(spark):
+    """Scores by a plain version: IDF of terms in more than half of the texts is a quarter of the mean."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    words = "aa bb cc dd ee ff the x é1".split()
+    rows = [(p, i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for p in range(6) for i in range(rng.randint(1, 6))]
+    asked = {p: [rng.choice(words) for _ in range(4)] for p in range(6)}
+    chunks = spark.createDataFrame(rows, "page_id long, block int, text string")
+    queries = spark.createDataFrame([(p, w, 0) for p, ws in asked.items() for w in ws if len(w) > 1], "page_id long, term string, q int")
+    got = {(r.page_id, r.block): r.score for r in R.bm25(chunks, "block", queries, "q", 1.5, 0.75, style="okapi", pattern=R.LONGER, prefix=("page_id",)).collect()}
+    for p in range(6):
+        texts = {i: [w for w in re.findall(r"\w+", t) if len(w) > 1] for q, i, t in rows if q == p}
+        n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+        df = Counter(w for t in texts.values() for w in set(t))
+        raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+        low = 0.25 * sum(raw.values()) / len(raw) if raw else 0
+        for i, t in texts.items():
+            hit = [w for w in asked[p] if w in t]
+            want = sum((raw[w] if raw[w] >= 0 else low) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in hit)
+            assert abs(got.get((p, i), 0.0) - want) < 1e-5

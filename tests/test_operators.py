@@ -140,6 +140,57 @@ def test_graph_hops(spark):
     assert got == {(1, 0), (0, 1), (2, 1)}
 
 
+def test_navigation_hops_only_where_hits_are_few(spark):
+    clusters = spark.createDataFrame([(0, None), (1, 0), (2, 0), (3, None)], "cluster int, parent int")
+    members = spark.createDataFrame([(k, f"d{k}{i}") for k in range(4) for i in range(4)], "cluster int, document_id string")
+    chunks = spark.createDataFrame([(f"d{k}{i}", f"c{k}{i}{j}", j) for k in range(4) for i in range(4) for j in range(2)], "document_id string, chunk_id string, chunk_index int")
+    queries = spark.createDataFrame([(q,) for q in range(1, 6)], "query_id long")
+    rows = [(1, "c100", "d10"), (1, "c110", "d11"), (1, "c120", "d12")]  # three hits of three documents: enough
+    rows += [(2, "c100", "d10"), (2, "c101", "d10"), (2, "c110", "d11")]  # three hits of two documents
+    rows += [(3, "c300", "d30"), (5, "c100", "d10"), (5, "c200", "d20")]
+    hits = spark.createDataFrame(rows, "query_id long, chunk_id string, document_id string")
+    entries = spark.createDataFrame([(4, 2), (5, 3)], "query_id long, cluster int")
+    got = {}
+    for r in retrieval.navigated(hits, queries, entries, clusters, members, chunks).where("hop > 0").collect():
+        got.setdefault((r.query_id, r.cluster, r.hop), []).append(r.chunk_id)
+    # the lone cluster has no neighbours; entries serve only a query without hits; both entries of query 5 are visited
+    assert {k: len(v) for k, v in got.items()} == {(2, 0, 1): 5, (2, 2, 1): 5, (4, 0, 1): 5, (4, 1, 1): 5, (5, 0, 1): 5}
+    assert sorted(got[2, 0, 1]) == ["c000", "c001", "c010", "c011", "c020"]
+
+
+def test_recall_without_words_takes_the_newest(spark):
+    from types import SimpleNamespace
+
+    told = spark.createDataFrame([("s", i, "user" if i % 2 else "assistant", f"word{i} tea", i) for i in range(30)], "session_id string, turn long, role string, content string, created_at long")
+    asked = spark.createDataFrame([(1, "?!"), (2, "word3 a b c d e f g word5"), (3, "nothing")], "item_id long, text string")
+    got = [(r.item_id, r.chunk_id) for r in retrieval.recalled(SimpleNamespace(episodes=told), asked, 3).collect()]
+    assert sorted(got) == [(1, "s:25"), (1, "s:27"), (1, "s:29"), (2, "s:3")]
+
+
+def test_sitemaps_of_sitemaps(spark):
+    index = lambda *x: "<sitemapindex xmlns='http://s'>" + "".join(f"<sitemap><loc> {y} </loc></sitemap>" for y in x) + "</sitemapindex>"
+    urls = lambda *x: "<urlset>" + "".join(f"<url><loc>{a}</loc>{f'<lastmod>{d}</lastmod>' if d else ''}</url>" for a, d in x) + "</urlset>"
+    maps = {
+        "root": index("b", "a", "root", "missing", "broken"), "a": index("leaf2", "b", "a"), "b": urls(("http://h/p/1", "2024-02-01"), ("http://h/p/old", "2023-12-31"), ("http://h/p/2", None)),
+        "leaf2": urls(("http://h/p/3", "soon"), ("http://h/no/4", None), ("http://h/p/skip", None), ("http://h/p/5", "2024-01-01T00:00:00Z")), "broken": "<urlset><url>", "other": urls(("http://h/p/6", None)), "empty": None,
+    }
+    df, roots = spark.createDataFrame(list(maps.items()), "url string, xml string"), spark.createDataFrame([("root",)], "url string")
+    got = lambda **kw: [r.loc.rsplit("/", 1)[1] for r in files.sitemap_tree(df, roots, **kw).collect()]
+    assert got() == ["1", "old", "2", "3", "4", "skip", "5"]
+    assert got(since="2024-01-01", pattern="^/p/", exclude=("skip",)) == ["1", "2", "3", "5"]
+    assert got(most=2) == ["1", "old"] and got(depth=0) == []
+
+
+def test_json_is_printed_with_sorted_keys(spark):
+    import json
+
+    rows = ['{"b": 1, "a": {"d": [1, {"z": 1, "y": null}], "c": "é\\n"}}', '{"text": "hello", "k": 1, "a": 2}', '{"text": 5, "a": 1}', "[3, 1.50, true]", '"s"', "not json", None, "{}"]
+    content, keys = files.json_document("x")
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in rows], "x string").select(content, keys).collect()]
+    plain = lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False, sort_keys=True)
+    assert got == [(plain(rows[0]), "a,b"), ("hello", "a,k"), (plain(rows[2]), "a,text"), (plain(rows[3]), ""), ('"s"', ""), ("not json", None), (None, None), ("{}", "")]
+
+
 def test_message_classes(spark):
     rows = ["Hola!", "quién sos?", "ejecuta la tarea", "que sabes de mi", "plan de estudio", "transformers"]
     got = [r[0] for r in _docs(spark, rows).select(scalar_queries.message_class("text")).collect()]
@@ -154,7 +205,21 @@ def test_roadmap_findings(spark):
 def test_blocks_and_links():
     page = "<body><nav>menu of the site here</nav><div class='sidebar'>some words that are dropped here</div><div class='sidebar'><p>kept words as it holds a paragraph</p></div><p>short</p><h1>A heading of five words</h1><p>one two three four five</p><a href='/2024/a'>x</a></body>"
     assert [(t, tag) for t, tag, *_ in blocks(page)] == [("kept words as it holds a paragraph", "p"), ("A heading of five words", "h1"), ("one two three four five", "p")]
-    assert links(page, "https://e.org/list") == ["https://e.org/2024/a"] and blocks("") == [] and blocks(None) == []
+    assert blocks("") == [] and blocks(None) == []
+
+
+def test_links_by_four_heuristics():
+    base = "https://e.org/list/"
+    assert links("<a href='/2024/a'>x</a>", base) == []
+    # the first link of an article, whatever it looks like
+    assert links("<article><a href='/tag/x'>1</a><a href='/second'>2</a></article>", base)[0] == "https://e.org/tag/x"
+    page = "<article><a href='/a'>1</a></article><div class='sidebar'><a href='/side'>s</a></div><div class='my-posts x'><a href='/b?q=1#f'>2</a><a href='/login'>no</a><a href='mailto:x'>no</a></div><div class='feed'><a href='/second-area'>no</a></div><a href='/x/2024/01/15/c'>3</a><a href='https://other.org/2024/01/15/d'>no</a>"
+    assert links(page, base) == ["https://e.org/a", "https://e.org/b?q=1", "https://e.org/x/2024/01/15/c"]
+    # a main element comes before a content area
+    assert links("<div class=content><a href=/no>1</a></div><main><a href=/m1>1</a><a href=/m2>2</a><a href=/m3>3</a></main>", base) == ["https://e.org/m1", "https://e.org/m2", "https://e.org/m3"]
+    # fewer than three: what is below the page's own path
+    assert links("<a href='one'>1</a><a href='/list/two'>2</a><a href='/list/tag/x'>no</a><a href='/elsewhere'>no</a><a href='/list'>no</a><a href='/list/a.png'>no</a><a href='HTTPS://E.ORG/list/Three'>no: another host to the letter</a>", base) == ["https://e.org/list/one", "https://e.org/list/two"]
+    assert links("", base) == [] and links("<a>x</a><a href=''>y</a>", base) == []
 
 
 def test_files_are_scanned_registered_and_upserted(spark, tmp_path):

@@ -51,6 +51,24 @@ def test_confidence_equals_the_closed_form(spark, tmp_path):
         assert got.n == r.n and abs(got.confidence - r.confidence) < 1e-5 and got.needs_research == r.needs_research
 
 
+def test_idle_keys_leave_the_state_and_late_rows_do_not_count(spark, tmp_path):
+    day = lambda d, h=0: f"2024-01-{d:02}T{h:02}:00:00"
+    parts = [
+        [_row(1, day(1), artifact=1, score=1.0), _row(2, day(1), artifact=2, score=1.0), _row(8, day(1), artifact=3)],
+        [_row(3, day(2), artifact=2, score=0.5)],
+        # artifact 1 is idle for more than three days; the row of the first day is late
+        [_row(4, day(6), artifact=2, score=0.5), _row(5, day(1, 1), artifact=2, score=0.0)],
+        [_row(6, day(7), artifact=1, score=0.25)],
+        [_row(7, day(8), artifact=1, score=0.25)],
+    ]
+    stream = jobs.confidence(_stream(spark, tmp_path, parts), late="1 hour", idle="3 days")
+    query = _run(stream, "c2", "update", tmp_path)
+    got = {(r.artifact_id, r.n): round(r.confidence, 6) for r in spark.table("c2").collect()}
+    assert got[2, 3] == round(0.7 * (0.7 * 1.0 + 0.3 * 0.5) + 0.3 * 0.5, 6)
+    assert (2, 4) not in got and (1, 3) not in got and got[1, 2] == 0.25
+    assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress) >= 1
+
+
 def test_outbox_keeps_the_newest_of_a_key(spark, tmp_path):
     stream = _stream(spark, tmp_path, [[_row(1, "2024-01-01T00:00:00"), _row(2, "2024-01-01T01:00:00"), _row(3, "2024-01-01T00:30:00", stage="click")], [_row(4, "2024-01-02T00:00:00")]])
     jobs.latest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["artifact_id", "stage"], "seq").awaitTermination()
