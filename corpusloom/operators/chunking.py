@@ -19,16 +19,23 @@ def content_hash(text: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def fixed_window(docs: DataFrame, size: int = 512, overlap: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Windows of `size` characters that share `overlap` with the next; none for empty text. A map over rows, no shuffle."""
+def windows(text: Column | str = "text", size: int = 512, overlap: int = 64) -> Column:
+    """Array of windows of `size` characters that share `overlap` with the next; empty for empty text.
+
+    Each match of the pattern is a step, and looks ahead over its window.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be in [0, size)")
-    step, n = size - overlap, F.length("text")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    # each match is a step, and looks ahead over its window
-    windows = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
-    each = docs.where(n > 0).select("document_id", *keep, n.alias("whole"), F.posexplode(F.slice(windows, F.lit(1), last + 1)).alias("i", "text"))
-    start = F.col("i") * step
+    step, x = size - overlap, F.col(text) if isinstance(text, str) else text
+    last = F.greatest(F.lit(0), F.ceil((F.length(x) - size) / F.lit(float(step)))).cast("int")
+    return F.slice(F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), last + 1)
+
+
+def fixed_window(docs: DataFrame, size: int = 512, overlap: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """windows() as rows, with ids, hashes and offsets; none for empty text. A map over rows, no shuffle."""
+    n = F.length("text")
+    each = docs.where(n > 0).select("document_id", *keep, n.alias("whole"), F.posexplode(windows("text", size, overlap)).alias("i", "text"))
+    start = F.col("i") * (size - overlap)
     return each.select("document_id", *[k for k in keep if k == "doc_id"], F.col("i").cast("long").alias("chunk_index"), chunk_id("document_id", "i").alias("chunk_id"), "text", content_hash(F.col("text")).alias("content_hash"), start.cast("long").alias("char_start"), F.least(start + size, F.col("whole")).cast("long").alias("char_end"), *[k for k in keep if k != "doc_id"])
 
 

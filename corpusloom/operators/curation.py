@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import chunking
 from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.operators.relational_queries import _GROUPS, _NEAREST, _URLDOCS, _VEC, chunk_groups, in_period, nearest_of, percentiles, url_documents
+from corpusloom.operators.retrieval import text_vectors
 from corpusloom.plans.components import connected_components
 from corpusloom.plans.ordered import lagged
 from corpusloom.session import materialize, sized
@@ -599,16 +601,46 @@ def rpt_01(c):
     return d.groupBy("decision").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("document_id")))), ",").alias("examples"))
 
 
-@query("rpt_02", "WITH base SELECT document_id, substr(string_agg(text, chr(10) ORDER BY chunk_index), 1, 5000) AS text FROM chunks GROUP BY 1")
+def representative_texts(docs: DataFrame, key: str = "document_id", most: int = 5, limit: int = 5000, vectors=text_vectors) -> DataFrame:
+    """(key, text): of each document the chunks nearest to the mean of all its chunks' vectors, in their order, up to `limit` characters.
+
+    Three chunks or fewer are all taken; of equal similarities the earlier chunk. A document is one row, so nothing is shuffled.
+    Documents without text have none. vectors is the embedding of lower-case texts, a plug-in.
+    """
+
+    def chosen(texts: list[str]) -> str:
+        if len(texts) > 3:
+            v = vectors([t.lower() for t in texts])
+            mean = v.mean(axis=0)
+            size = np.sqrt((v * v).sum(axis=1)) * np.sqrt(mean @ mean)
+            near = np.round(np.divide(v @ mean, size, out=np.zeros(len(v)), where=size > 0), 6)
+            texts = [texts[i] for i in sorted(np.lexsort([np.arange(len(v)), -near])[:most].tolist())]
+        return "\n\n".join(texts)[:limit]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([chosen(x) for x in batch.column(1).to_pylist()], pa.string())], [key, "text"])
+
+    cut = docs.where(F.length("text") > 0).select(key, chunking.windows("text").alias("texts"))
+    return cut.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, text string")
+
+
+_REPRESENTED = f"""tv AS (SELECT document_id, chunk_index, substr(sha256(t), 1, 2) AS d, count(*)::DOUBLE AS n FROM (SELECT document_id, chunk_index, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS t FROM chunks) GROUP BY ALL),
+dv AS (SELECT document_id, d, sum(n) AS m FROM tv GROUP BY ALL), dn AS (SELECT document_id, sqrt(sum(m * m)) AS dn FROM dv GROUP BY 1),
+ne AS (SELECT document_id, chunk_index, round(sum(n * m) / (sqrt(sum(n * n)) * any_value(dn)), 6) AS s FROM tv JOIN dv USING (document_id, d) JOIN dn USING (document_id) GROUP BY ALL),
+rk AS (SELECT c.document_id, c.chunk_index, text, count(*) OVER (PARTITION BY c.document_id) AS k, row_number() OVER (PARTITION BY c.document_id ORDER BY coalesce(s, 0) DESC, c.chunk_index) AS r FROM chunks c LEFT JOIN ne USING (document_id, chunk_index))"""
+
+
+@query("rpt_02", f"WITH base, {_REPRESENTED} SELECT document_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index), 1, 5000) AS text FROM rk WHERE k <= 3 OR r <= 5 GROUP BY 1")
 def rpt_02(c):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda s: s.text)
-    return c.chunks.groupBy("document_id").agg(F.substring(F.array_join(parts, "\n"), 1, 5000).alias("text"))
+    """Text of a document's most central chunks."""
+    return representative_texts(spread(c.docs))
 
 
-@query("rpt_03", f"WITH base, {_CUR}, {_DEC} SELECT 'metadata' AS name, (SELECT count(*) FROM meta) AS n UNION ALL SELECT 'decisions', (SELECT count(*) FROM de) UNION ALL SELECT 'topics', (SELECT count(DISTINCT source) FROM docs) UNION ALL SELECT 'memberships', (SELECT count(*) FROM docs WHERE lang = 'en') UNION ALL SELECT 'links', (SELECT count(DISTINCT source) FROM docs WHERE CAST(substr(source, 4) AS INTEGER) >= 10) UNION ALL SELECT 'runs', 1 UNION ALL SELECT 'promotion_requests', (SELECT count(*) FROM de WHERE decision = 'promote')")
+@query("rpt_03", f"WITH base, {_CUR}, {_DEC} SELECT 'metadata' AS name, (SELECT count(*) FROM meta) AS n UNION ALL SELECT 'decisions', (SELECT count(*) FROM de) UNION ALL SELECT 'topics', (SELECT count(DISTINCT source) FROM docs) UNION ALL SELECT 'memberships', (SELECT count(*) FROM docs WHERE lang = 'en') UNION ALL SELECT 'links', (SELECT count(DISTINCT source) FROM docs WHERE CAST(substr(source, 4) AS INTEGER) >= 10) UNION ALL SELECT 'runs', (SELECT count(DISTINCT session_id) FROM episodes) UNION ALL SELECT 'promotion_requests', (SELECT count(*) FROM de WHERE decision = 'promote')")
 def rpt_03(c):
     d = decided(curated(c))
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     topics = c.docs.select("source").distinct()
-    tables = {"metadata": c.metadata, "decisions": d, "topics": topics, "memberships": c.docs.where("lang = 'en'"), "links": topics.where("CAST(substr(source, 4) AS INT) >= 10"), "runs": c.spark.range(1), "promotion_requests": d.where("decision = 'promote'")}
+    tables = {"metadata": c.metadata, "decisions": d, "topics": topics, "memberships": c.docs.where("lang = 'en'"), "links": topics.where("CAST(substr(source, 4) AS INT) >= 10"), "runs": c.episodes.select("session_id").distinct(), "promotion_requests": d.where("decision = 'promote'")}
     return reduce(DataFrame.union, (one(name, df) for name, df in tables.items()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -16,7 +17,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
 from corpusloom.operators.registry import query
 from corpusloom.operators.scalar_queries import cosine
-from corpusloom.session import materialize, sized
+from corpusloom.session import materialize
 
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
@@ -186,6 +187,12 @@ def weighted_fusion(left: DataFrame, right: DataFrame, by: str, key: str, wl: fl
     return both.select(by, key, F.round(wl * F.coalesce("l", F.lit(0.0)) + wr * F.coalesce("r", F.lit(0.0)), 6).alias("score"))
 
 
+def in_blocks(queries: DataFrame, key: str, block: int = 20_000) -> list[DataFrame]:
+    """Queries dealt by hash to parts of about `block` rows at most: each part is small enough to be sent to all tasks."""
+    n = max(1, -(-queries.count() // block))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 # Queries
 
 
@@ -277,10 +284,10 @@ _S = "spa AS (SELECT query_id, vec_id, round(list_dot_product(e[1:16], q[1:16]),
 
 
 def _vector_pairs(c) -> DataFrame:
-    """The query vectors are a stated set (ids divisible by 50), broadcast against all rows."""
+    """The query vectors are a stated set (ids divisible by 50), broadcast in blocks against all rows."""
     v = c.table("embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    return reduce(DataFrame.unionByName, [v.join(F.broadcast(x), F.col("vec_id") != F.col("query_id")) for x in in_blocks(q, "query_id")])
 
 
 def dense_leg(c, k: int = 30) -> DataFrame:
@@ -421,9 +428,8 @@ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank DESC, chunk_id
 def ret_12(c):
     """Search as users call it: a lexical and a dense leg over all chunks fused, best chunk of a document, reranked, cut."""
     asked = c.table("benchmark").select("item_id", F.lower("text").alias("t"))
-    # a batch of questions is bounded; more of them are several batches
-    questions = [(r.item_id, r.t) for r in asked.collect()]
-    dense = text_leg(c.chunks, questions, "item_id", asked.schema["item_id"].dataType.simpleString(), ("chunk_id",), 30)
+    kind = asked.schema["item_id"].dataType.simpleString()
+    dense = reduce(DataFrame.unionByName, [text_leg(c.chunks, [(r.item_id, r.t) for r in part.collect()], "item_id", kind, ("chunk_id",), 30) for part in in_blocks(asked, "item_id", 5_000)])
     legs = _lexical(c, 30).unionByName(ranked(dense, "item_id", "chunk_id", 30))
     fused = ranked(rrf(legs, "item_id", "chunk_id"), "item_id", "chunk_id", 30)
     hits = first_per_document(fused.join(c.chunks.select("chunk_id", "document_id", "text"), "chunk_id"), "item_id", "document_id")
@@ -454,8 +460,10 @@ def ret_14(c):
 
 @query("ret_15", "WITH base, h AS (SELECT b.item_id, count(k.chunk_id) AS n FROM benchmark b LEFT JOIN chunks k ON contains(k.text, b.text) GROUP BY 1) SELECT item_id, n, CASE WHEN n = 0 THEN 'none' WHEN n < 3 THEN 'partial' ELSE 'good' END AS coverage FROM h")
 def ret_15(c):
-    """The items are a bounded query set."""
-    hits = c.chunks.select("text").join(F.broadcast(c.table("benchmark").select("item_id", F.col("text").alias("q"))), F.contains("text", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    """The items are a stated query set, sent to the chunks in blocks."""
+    asked = c.table("benchmark").select("item_id", F.col("text").alias("q"))
+    found = [c.chunks.select("text").join(F.broadcast(x), F.contains("text", F.col("q"))) for x in in_blocks(asked, "item_id")]
+    hits = reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return c.table("benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", n.alias("n"), F.when(n == 0, "none").when(n < 3, "partial").otherwise("good").alias("coverage"))
 
@@ -524,7 +532,7 @@ def ret_16(c):
     five chunks a neighbour. An item without a hit enters at a stated cluster."""
     clusters, members = _graph(c)
     asked = c.table("benchmark").select("item_id", F.col("text").alias("q"))
-    found = c.chunks.select("chunk_id", "document_id", "text").join(sized(asked, 20_000), F.contains("text", F.col("q")))
+    found = reduce(DataFrame.unionByName, [c.chunks.select("chunk_id", "document_id", "text").join(F.broadcast(x), F.contains("text", F.col("q"))) for x in in_blocks(asked, "item_id")])
     hits = found.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("chunk_id"))).where("r <= 10")
     hits = materialize(hits.select(F.col("item_id").alias("query_id"), "chunk_id", "document_id"), "hits")
     queries = asked.select(F.col("item_id").alias("query_id"))
@@ -537,7 +545,9 @@ def ret_17(c):
     n = F.col("label")
     labels = c.table("embeddings").select("label").distinct().select("label", F.concat(F.lit("topic "), n.cast("string"), F.lit(" the of "), F.when(n % 2 == 0, "with").otherwise("that")).alias("l"))
     words = lambda x: F.array_distinct(T.found(F.lower(x), "[a-z0-9]+"))
-    pairs = c.table("benchmark").join(F.broadcast(labels), F.lit(True)).select("item_id", "label", F.size(F.array_intersect(words("text"), words("l"))).cast("long").alias("shared")).where("shared > 0")
+    # items and labels meet in the words that they share
+    each = lambda df, key, x: df.select(key, F.explode(words(x)).alias("w"))
+    pairs = each(c.table("benchmark"), "item_id", "text").join(each(labels, "label", "l"), "w").groupBy("item_id", "label").agg(F.count("*").alias("shared"))
     return ranked(pairs, "item_id", "label", 2, "shared").drop("rank")
 
 
@@ -722,7 +732,17 @@ def evl_09(c):
     return a.join(x, F.lit(True))
 
 
-@query("evl_10")
+def _recall_sql(name: str, chunks: str) -> str:
+    return f"""{name}tk AS (SELECT chunk_id, document_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {chunks}), {name}st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}tk),
+{name}po AS (SELECT term, chunk_id, document_id, len, count(*) AS tf FROM (SELECT chunk_id, document_id, len(w) AS len, unnest(w) AS term FROM {name}tk) GROUP BY ALL), {name}df AS (SELECT term, count(*) AS df FROM {name}po GROUP BY term),
+{name}rk AS (SELECT e.chunk_id AS item_id, p.chunk_id, any_value(p.document_id) AS document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM ev e JOIN {name}po p USING (term) JOIN {name}df USING (term), {name}st GROUP BY e.chunk_id, p.chunk_id QUALIFY row_number() OVER (PARTITION BY e.chunk_id ORDER BY score DESC, p.chunk_id) <= 10),
+{name}r AS (SELECT round(avg((document_id IN (SELECT document_id FROM {name}rk WHERE item_id = w.chunk_id))::INT), 4) AS recall FROM (SELECT DISTINCT chunk_id, document_id FROM ev) w)"""
+
+
+_WIDER = "c2 AS (SELECT document_id, 'chunk:' || substr(sha256(document_id || ':' || i), 1, 16) AS chunk_id, substr(text, i * 700 + 1, 800) AS text FROM (SELECT *, unnest(generate_series(0, CASE WHEN length(text) = 0 THEN -1 ELSE CAST(greatest(0, ceil((length(text) - 800) / 700.0)) AS BIGINT) END)) AS i FROM docs))"
+
+
+@query("evl_10", f"WITH base, {_EV}, {_WIDER}, {_recall_sql('a', 'chunks')}, {_recall_sql('b', 'c2')} SELECT 'original' AS chunks, recall FROM ar UNION ALL SELECT 'rechunked', recall FROM br")
 def evl_10(c):
     """Document recall on the chunks as they are and on chunks of another size."""
     from corpusloom.operators import chunking

@@ -192,15 +192,22 @@ def api_items(responses: DataFrame, body: str, template: str, since: str) -> Dat
     return flat.where(F.col("date") >= since).select(F.replace(F.lit(template), F.lit("{id}"), F.col("id")).alias("url"), "date")
 
 
-def configured(spark: SparkSession, text: str) -> DataFrame:
-    """site and url of a plain `site:` / `- url` configuration; a short driver-side list."""
-    site, rows = "", []
-    for line in text.splitlines():
-        if line.strip().startswith("- "):
-            rows.append((site, line.strip()[2:].strip()))
-        elif line.strip().endswith(":"):
-            site = line.strip()[:-1]
-    return spark.createDataFrame(rows, "site string, url string")
+def configured(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, site and url of plain configuration files of `site:` and `- url` lines; other lines and urls before any site are left out.
+
+    A file is one row and its lines are folded where it is.
+    """
+    kind = "array<struct<site:string,url:string>>"
+    start = F.struct(F.lit(None).cast("string").alias("site"), F.array().cast(kind).alias("found"))
+
+    def step(s: Column, line: Column) -> Column:
+        item = F.struct(s.site.alias("site"), F.trim(F.substring(line, 3, 4096)).alias("url"))
+        named = F.struct(F.rtrim(F.regexp_replace(line, ":$", "")).alias("site"), s.found.alias("found"))
+        added = F.struct(s.site.alias("site"), F.array_append(s.found, item).alias("found"))
+        return F.when(line.startswith("- "), F.when(s.site.isNull(), s).otherwise(added)).when(line.endswith(":"), named).otherwise(s)
+
+    lines = F.transform(F.split(F.col(text), "\r?\n"), lambda x: F.trim(x))
+    return files.select(key, F.inline(F.aggregate(lines, start, step, lambda s: s.found)))
 
 
 # Sinks

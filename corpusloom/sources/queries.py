@@ -173,9 +173,15 @@ def src_20(c):
     return claims.select("page_id", F.when(F.col("age").isNull() | (F.col("age") > 3600), "me").otherwise("other").alias("owner"))
 
 
-@query("src_21")
+@query("src_21", "SELECT source AS file, 'site ' || lang AS site, 'https://' || source || '.example.org/' || doc_id AS url FROM documents WHERE lang <> 'de'")
 def src_21(c):
-    return S.configured(c.spark, "news:\n  - https://a.org\n  - https://b.org\nblogs:\n  - https://c.org\n")
+    """A configuration file a source, with a site for each language but one, whose entries stand under a line that is no site."""
+    item = F.concat(F.lit("  - https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))
+    head = F.concat(F.when(F.col("lang") == "de", "# german").otherwise("site "), F.when(F.col("lang") == "de", "").otherwise(F.concat("lang", F.lit(":"))))
+    block = c.docs.groupBy("source", "lang").agg(F.concat_ws("\n", F.first(head), F.array_sort(F.collect_list(item))).alias("b"))
+    # entries of the language without a site come first, where no site is open
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("lang") != "de").alias("o"), "lang", "b"))), lambda x: x.b), "\n\n")
+    return S.configured(block.groupBy(F.col("source").alias("file")).agg(text.alias("text")), "file")
 
 
 @query("snk_01", "WITH base SELECT chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'complete' WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'pending' END AS job FROM chunks")
@@ -207,13 +213,13 @@ def snk_04(c):
     return S.manifest(c.trace)
 
 
-@query("snk_05")
+@query("snk_05", "WITH base, l AS (SELECT stage, count(*) AS n, row_number() OVER (ORDER BY stage) AS r FROM trace GROUP BY stage) SELECT 0::BIGINT AS line, '# Stages' AS text UNION ALL SELECT 1, '' UNION ALL SELECT r + 1, '- {\"count\": ' || n || ', \"stage\": \"' || stage || '\"}' FROM l")
 def snk_05(c):
     lines = S.report_lines(c.trace.groupBy("stage").count().orderBy("stage"), "Stages")
     return c.spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line long, text string")
 
 
-@query("snk_06")
+@query("snk_06", "WITH base SELECT stage, count(*) AS count FROM trace GROUP BY stage")
 def snk_06(c):
     """State is written as a new version and read back, so a reader never sees half of it."""
     path = scratch_path(c.spark, "state")

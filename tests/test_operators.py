@@ -158,6 +158,18 @@ def test_navigation_hops_only_where_hits_are_few(spark):
     assert sorted(got[2, 0, 1]) == ["c000", "c001", "c010", "c011", "c020"]
 
 
+def test_central_chunks_of_a_document(spark):
+    fill = lambda w, n: (w + " ") * n
+    # seven windows of 448 characters, the third and the last about something else
+    parts = [fill("alpha beta", 41)[:448], fill("alpha gamma", 40)[:448], fill("zeta", 90)[:448], fill("beta alpha", 41)[:448], fill("gamma beta", 41)[:448], fill("alpha", 75)[:448], fill("omega", 75)[:448]]
+    rows = [("long", "".join(parts)), ("short", "one two"), ("none", ""), ("null", None), ("wide", "x" * 20_000)]
+    got = {r.document_id: r.text for r in curation.representative_texts(spark.createDataFrame(rows, "document_id string, text string")).collect()}
+    assert set(got) == {"long", "short", "wide"} and got["short"] == "one two"
+    kept = got["long"].split("\n\n")
+    assert len(kept) == 5 and [k[:5] for k in kept] == ["alpha", "alpha", "beta ", "gamma", "alpha"]
+    assert len(got["wide"]) == 5 * 512 + 4 * 2 and len(curation.representative_texts(spark.createDataFrame([("a", "y" * 9000)], "document_id string, text string"), most=30).first().text) == 5000
+
+
 def test_recall_without_words_takes_the_newest(spark):
     from types import SimpleNamespace
 

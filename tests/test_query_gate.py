@@ -55,3 +55,18 @@ def test_languages(spark):
 def test_each_content_element_gives_a_block(tag):
     page = f"<html><body><{tag}>five words of plain content here</{tag}></body></html>"
     assert any("five words of plain content here" in text for text, *_ in html_blocks.blocks(page))
+
+
+ENTITIES = {
+    'What did "Deep Blue" do': ["Deep Blue", "Deep", "Blue"],
+    'say " 0 spaced " and "1 more 1"': ["0 spaced", "1 more 1"],
+    "How does NASA use GPT-4 and R2D2, or the Apollo missions?": ["NASA", "GPT-4", "R2D2", "Apollo"],
+    "Nothing here": [],
+    "the AT&T report of Berlin. berlin": ["AT&T", "Berlin"],
+    "": [],
+}
+
+
+@pytest.mark.parametrize("question", ENTITIES)
+def test_entities(spark, question):
+    assert _values(spark, [question], scalar_queries.entities("t")) == [ENTITIES[question]]
