@@ -336,9 +336,10 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(textops.lean(run), fields)
 
 
-def planted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def planted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tenth: bool = False) -> DataFrame:
     """doc_id and text, where about a tenth of the texts repeat from some word on, with a period that their id's crc32 tells.
 
+    The place is the crc32 modulo the number of words; with tenth (op13's contract) a tenth of it, rounded down, is taken so.
     Null ids change nothing.
     """
     h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -346,8 +347,9 @@ def planted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     chosen = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
     out = out.withColumn("w", F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
     n = F.size("w")
-    a = (F.col("h") % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + F.floor(F.col("h") / 10) % 8))).cast("int")
+    g = F.floor(F.col("h") / 10)
+    a = ((g if tenth else F.col("h")) % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
     again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
     changed = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
     return out.select("doc_id", F.when(chosen & (n > 0), changed).otherwise(F.col("text")).alias("text"))

@@ -111,3 +111,20 @@ def test_long_texts(spark):
 
 def test_empty_table(spark):
     assert op.report(op.periodic_runs(op.planted(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_query_begins_at_a_tenth_of_the_crc(spark, tmp_path):
+    from corpusloom.llm import queries
+
+    ids = [i for i in range(4_000) if zlib.crc32(str(i).encode()) % 10 == 0][:120]
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(k + 1)), "", 1) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
+    for i, text, *_ in rows:
+        w, g = text.split(), zlib.crc32(str(i).encode()) // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [w[k] if k < a else w[a + (k - a) % p] for k in range(len(w))]
+        found = _brute_runs(w)
+        assert got[i].n_runs == len(found) and got[i].runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest()
+        assert [got[i].start, got[i].length, got[i].period] == (list(max(found, key=lambda x: (Fraction(x[1], x[2]), -x[0], -x[2]))) if found else [None] * 3)
