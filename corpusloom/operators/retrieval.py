@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
 from corpusloom.operators.registry import query
-from corpusloom.operators.scalar_queries import cosine
+from corpusloom.plans.nearest import nearest_rows
 from corpusloom.session import materialize
 
 BM25_STYLES = {
@@ -283,28 +283,27 @@ _D = "den AS (SELECT query_id, vec_id, round(list_dot_product(e, q) / (sqrt(list
 _S = "spa AS (SELECT query_id, vec_id, round(list_dot_product(e[1:16], q[1:16]), 6) AS score FROM v, q WHERE vec_id <> query_id), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM spa QUALIFY rank <= 30)"
 
 
-def _vector_pairs(c) -> DataFrame:
-    """The query vectors are a stated set (ids divisible by 50), broadcast in blocks against all rows."""
+def vector_leg(c, k: int, measure: str, width: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the stated query set (ids divisible by 50) against all other rows; width: first dimensions alone."""
+    part = lambda x: F.slice(x, 1, width) if width else F.col(x)
     v = c.table("embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return reduce(DataFrame.unionByName, [v.join(F.broadcast(x), F.col("vec_id") != F.col("query_id")) for x in in_blocks(q, "query_id")])
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), part("embedding").alias("q"))
+    found = nearest_rows(v.select(F.col("vec_id").alias("id"), part("embedding").alias("v")), q, k, measure)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
 def dense_leg(c, k: int = 30) -> DataFrame:
-    return ranked(_vector_pairs(c).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")), "query_id", "vec_id", k)
+    return vector_leg(c, k, "cosine")
 
 
 def sparse_leg(c, k: int = 30) -> DataFrame:
     """A second, different signal: the dot product over a quarter of the dimensions."""
-    part = lambda x: F.slice(x, 1, 16)
-    dot = F.aggregate(F.zip_with(part("embedding"), part("q"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return ranked(_vector_pairs(c).select("query_id", "vec_id", F.round(dot, 6).alias("score")), "query_id", "vec_id", k)
+    return vector_leg(c, k, "dot", 16)
 
 
 @query("ret_04", f"WITH {_DENSE} SELECT query_id, vec_id, -round(sqrt(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM v, q WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def ret_04(c):
-    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, z: s + z)
-    return ranked(_vector_pairs(c).select("query_id", "vec_id", (-F.round(F.sqrt(gap), 6)).alias("score")), "query_id", "vec_id", 10).drop("rank")
+    return vector_leg(c, 10, "l2").drop("rank")
 
 
 @query("ret_05", f"WITH {_DENSE}, {_D} SELECT query_id, vec_id, score FROM dr WHERE rank <= 10")
@@ -315,10 +314,12 @@ def ret_05(c):
 @query("ret_06", f"WITH {_DENSE}, {_D}, {_S} SELECT query_id, vec_id, spa.score FROM spa JOIN dr USING (query_id, vec_id) WHERE spa.score > 0")
 def ret_06(c):
     """Only the dense candidates are scored again, and only positive scores stay."""
-    pool = dense_leg(c).select("query_id", "vec_id")
+    pool = dense_leg(c).select("query_id", "vec_id").distinct()
     part = lambda x: F.slice(x, 1, 16)
     dot = F.aggregate(F.zip_with(part("embedding"), part("q"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return _vector_pairs(c).join(pool, ["query_id", "vec_id"], "left_semi").select("query_id", "vec_id", F.round(dot, 6).alias("score")).where("score > 0")
+    v = c.table("embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return pool.join(v, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.round(dot, 6).alias("score")).where("score > 0")
 
 
 @query("ret_07", f"WITH {_DENSE}, {_D}, {_S}, u AS (SELECT query_id, vec_id, rank FROM dr UNION ALL SELECT query_id, vec_id, rank FROM sr), f AS (SELECT query_id, vec_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM u GROUP BY ALL) SELECT query_id, vec_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
