@@ -14,7 +14,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.operators.retrieval import LONGER, bm25
-from corpusloom.session import materialize
+from corpusloom.session import lean, materialize, small_batches
 
 # Elements that are never content, those that always are, and those that hold text.
 EXCLUDED = frozenset("nav footer header aside script style form iframe noscript svg canvas template".split())
@@ -114,7 +114,8 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             rows = [(p, i, *x) for p, page in zip(b["page_id"], b["html"], strict=True) for i, x in enumerate(blocks(page))]
             yield pd.DataFrame(rows, columns=["page_id", "block", "text", "tag", "positive", "negative"])
 
-    return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, block int, text string, tag string, positive int, negative int")
+    small_batches(pages.sparkSession)
+    return spread(pages.select("page_id", "html")).mapInPandas(lean(run), "page_id long, block int, text string, tag string, positive int, negative int")
 
 
 def scored(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -246,4 +247,4 @@ def html_07(c):
             yield pd.DataFrame(rows, columns=["page_id", "place", "link"])
 
     root = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
-    return c.table("pages").select("page_id", F.concat(root, F.lit("/")).alias("url"), "html").mapInPandas(run, "page_id long, place long, link string")
+    return c.table("pages").select("page_id", F.concat(root, F.lit("/")).alias("url"), "html").mapInPandas(lean(run), "page_id long, place long, link string")

@@ -17,7 +17,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
 from corpusloom.operators.registry import query
 from corpusloom.plans.nearest import nearest_rows
-from corpusloom.session import materialize
+from corpusloom.session import lean, materialize, small_batches
 
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
@@ -76,7 +76,8 @@ def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), lists], [*keys, "len", "terms"])
 
     fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return texts.select(*keys, F.lower("text").alias("#text")).mapInArrow(run, f"{fields}, len long, terms array<struct<term:string,tf:bigint>>")
+    small_batches(texts.sparkSession)
+    return texts.select(*keys, F.lower("text").alias("#text")).mapInArrow(lean(run), f"{fields}, len long, terms array<struct<term:string,tf:bigint>>")
 
 
 def _best(scores: np.ndarray, most: int | None) -> np.ndarray:
@@ -119,7 +120,8 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
                 yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()]), *(part.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
-    return rows.mapInArrow(run, f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(lean(run), f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
 
 
 #: Distinct terms, and pairs of query and term, of a batch of queries that are sent to the words; more of them are joined.
@@ -406,7 +408,8 @@ def text_leg(chunks: DataFrame, questions: list, query_id: str, kind: str, keys:
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *(batch.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
 
     fields = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
-    return chunks.select(*keys, F.lower("text").alias("#text")).mapInArrow(run, f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
+    small_batches(chunks.sparkSession)
+    return chunks.select(*keys, F.lower("text").alias("#text")).mapInArrow(lean(run), f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
 
 
 _HYBRID = f"""WITH base, {_bm25_cte('log1p', 1.2, 0.75)},

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from corpusloom.functions import text as T
-from corpusloom.session import materialize
+from corpusloom.session import lean, materialize, small_batches
 
 # Leading bytes of file types.
 MAGIC = {"application/pdf": "25504446", "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "47494638", "application/zip": "504B0304", "application/x-ole": "D0CF11E0A1B11AE1"}
@@ -118,7 +118,8 @@ def parse(files: DataFrame, parser: Callable[[bytes], list[str]]) -> DataFrame:
             rich = [sum(len(p) > 50 for p in ps) for ps in pages]
             yield pd.DataFrame({"path": b["path"], "pages": pages, "needs_ocr": [bool(ps) and r < 0.1 * len(ps) for ps, r in zip(pages, rich, strict=True)]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, pages array<string>, needs_ocr boolean")
+    small_batches(files.sparkSession)
+    return files.select("path", "content").mapInPandas(lean(run), "path string, pages array<string>, needs_ocr boolean")
 
 
 def feed_entries(feeds: DataFrame, xml: str, since: str, pattern: str = ".*") -> DataFrame:
