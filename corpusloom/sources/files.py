@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -196,19 +198,27 @@ def api_items(responses: DataFrame, body: str, template: str, since: str) -> Dat
 def configured(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, site and url of plain configuration files of `site:` and `- url` lines; other lines and urls before any site are left out.
 
-    A file is one row and its lines are folded where it is.
+    A file is one row and its lines are read where it is, each once.
     """
-    kind = "array<struct<site:string,url:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("site"), F.array().cast(kind).alias("found"))
 
-    def step(s: Column, line: Column) -> Column:
-        item = F.struct(s.site.alias("site"), F.trim(F.substring(line, 3, 4096)).alias("url"))
-        named = F.struct(F.rtrim(F.regexp_replace(line, ":$", "")).alias("site"), s.found.alias("found"))
-        added = F.struct(s.site.alias("site"), F.array_append(s.found, item).alias("found"))
-        return F.when(line.startswith("- "), F.when(s.site.isNull(), s).otherwise(added)).when(line.endswith(":"), named).otherwise(s)
+    def run(batches):
+        for batch in batches:
+            for name, whole in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                site, sites, urls = None, [], []
+                for line in re.split("\r?\n", whole or ""):
+                    line = line.strip(" ")
+                    if line.startswith("- "):
+                        if site is not None:
+                            sites.append(site)
+                            urls.append(line[2:4098].strip(" "))
+                    elif line.endswith(":"):
+                        site = line[:-1].rstrip(" ")
+                for at in range(0, len(urls), 20_000):
+                    n = len(urls[at : at + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, batch.schema.field(0).type), pa.array(sites[at : at + 20_000]), pa.array(urls[at : at + 20_000])], [key, "site", "url"])
 
-    lines = F.transform(F.split(F.col(text), "\r?\n"), lambda x: F.trim(x))
-    return files.select(key, F.inline(F.aggregate(lines, start, step, lambda s: s.found)))
+    small_batches(files.sparkSession)
+    return files.select(key, text).mapInArrow(lean(run), f"`{key}` {files.schema[key].dataType.simpleString()}, site string, url string")
 
 
 # Sinks
