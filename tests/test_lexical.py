@@ -139,3 +139,26 @@ def test_okapi_within_a_page(spark):
             hit = [w for w in asked[p] if w in t]
             want = sum((raw[w] if raw[w] >= 0 else low) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in hit)
             assert abs(got.get((p, i), 0.0) - want) < 1e-5
+
+
+def test_index_moves_lists_and_keeps_few_hits(spark, corpus, monkeypatch):
+    """Postings move as lists, and a search writes no more than about the best k of a range of chunks for each query."""
+    from corpusloom.operators import lexical_index as L
+
+    chunks, queries = corpus
+    counts = {}
+
+    def noted(df, name="table"):
+        out = L_materialize(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    L_materialize = L.materialize
+    monkeypatch.setattr(L, "materialize", noted)
+    index = LexicalIndex(spark, scratch_path(spark, "index"), buckets=8, block=16)
+    index.append(chunks.coalesce(2))
+    assert 0 < counts["posted"] < index.audit().first().postings / 2
+    common = queries.where("term IN ('the', 'of', 'and', 'to', 'in')")
+    got = index.search(common, "q", 5)
+    assert sorted((r.q, r.chunk_id, r.score, r.rank) for r in got.collect()) == _scan(chunks, common, 5)
+    assert counts["hits"] <= 3 * 5 * 2 * common.select("q").distinct().count()
