@@ -88,6 +88,25 @@ def test_tiers_of_ties_and_a_single_candidate(spark):
     assert (one.tier, one.percentile) == ("auto_promote", 1.0)
 
 
+def test_similar_pairs_write_no_pair_that_only_shares_a_word(spark, monkeypatch):
+    """One rare word in all sets makes no candidates of them; links and their words are those of brute force."""
+    rng = random.Random(9)
+    sets = [(i, sorted({"same", *(f"w{rng.randrange(400)}" for _ in range(30))})) for i in range(300)]
+    sets += [(300 + i, sorted({*sets[i][1][:-1], f"y{i}"})) for i in range(40)]
+    counts, whole = {}, curation.materialize
+
+    def noted(df, name="table"):
+        out = whole(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(curation, "materialize", noted)
+    found = curation.similar_pairs(spark.createDataFrame(sets, "doc_id long, w array<string>"), "doc_id", "w", share=1).collect()
+    near = {(a, b) for a, x in sets for b, y in sets if a < b and 10 * len(set(x) & set(y)) >= 8 * len(set(x) | set(y))}
+    assert {(r.a, r.b) for r in found} == near and len(near) >= 40
+    assert counts["pairs"] <= 2 * len(near)
+
+
 def test_similar_pairs_and_acceptance_against_brute_force(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
