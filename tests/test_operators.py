@@ -302,3 +302,22 @@ def test_pages_lose_no_character_and_reports_are_not_cut(spark):
     assert len(files.report_lines(spark.range(1000), "t")) == 1002
     with pytest.raises(ValueError, match="1,000"):
         files.report_lines(spark.range(1001), "t")
+
+
+def test_single_pass_folds_about_one_pair_a_vector(spark, monkeypatch):
+    """Clusters are those of a fold over all pairs, ties included, of which only the best of each vector are written."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.choice([-1, 1, 2])) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    pairs = {(r.a, r.b): r.s for r in topics.vector_pairs(df, 0.3).collect()}
+    want = {i: min(g) for g in topics.single_pass([i for i, _ in rows], pairs, 0.3) for i in g}
+    counts, whole = {}, topics.materialize
+
+    def noted(df, name="table"):
+        out = whole(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(topics, "materialize", noted)
+    assert {r.vec_id: r.cluster for r in topics.clustered(df, 0.3, topics.single_pass).collect()} == want
+    assert counts["pairs"] < len(pairs) / 4
