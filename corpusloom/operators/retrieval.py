@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
+from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.plans.nearest import nearest_rows
-from corpusloom.session import lean, materialize, small_batches
+from corpusloom.session import lean, materialize, sized, small_batches
 
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
@@ -721,8 +722,11 @@ def evl_07(c):
 @query("evl_08", "WITH t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), r AS (SELECT doc_id, w AS term, round(tf * ln(1 + n / df::DOUBLE), 6) AS weight FROM t JOIN d USING (w), n WHERE df < n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 5) SELECT doc_id, term, weight FROM r WHERE doc_id IN (SELECT doc_id FROM r GROUP BY 1 HAVING count(*) >= 3)")
 def evl_08(c):
     """Per document its five strongest TF-IDF terms; three at least."""
-    t = c.docs.select("doc_id", F.explode(T.found(F.lower("text"), "[a-z]{4,}")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = t.groupBy("term").agg(F.count("*").alias("df"))
+    # words are counted where the text is; weights are made there too while the counts of terms are few, and five a document move
+    t = materialize(counted(spread(c.docs), ("doc_id",), "[a-z]{4,}", None), "counted").select("doc_id", F.inline("terms"))
+    if c.docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        t = t.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    df = sized(materialize(t.groupBy("term").agg(F.count("*").alias("df")), "frequencies"))
     n = c.docs.agg(F.count("*").alias("n"))
     w = t.join(df, "term").join(F.broadcast(n), F.col("df") < F.col("n")).select("doc_id", "term", F.round(F.col("tf") * F.log(1 + F.col("n") / F.col("df")), 6).alias("weight"))
     top = ranked(w, "doc_id", "term", 5, "weight")

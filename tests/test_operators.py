@@ -321,3 +321,22 @@ def test_single_pass_folds_about_one_pair_a_vector(spark, monkeypatch):
     monkeypatch.setattr(topics, "materialize", noted)
     assert {r.vec_id: r.cluster for r in topics.clustered(df, 0.3, topics.single_pass).collect()} == want
     assert counts["pairs"] < len(pairs) / 4
+
+
+def test_strongest_terms_move_five_a_document(spark, tmp_path):
+    """Words of a text are not shuffled; rows of one document id count together, as its SQL has it."""
+    from corpusloom.operators.catalog import QUERIES
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(300)]
+    rows = [(i // 2 if i < 10 else i, " ".join(rng.choice(words) for _ in range(60)), "en", "src1", 0) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["evl_08"](spark, str(tmp_path))
+    tf = {}
+    for d, text, *_ in rows:
+        for w in text.split():
+            tf[d, w] = tf.get((d, w), 0) + 1
+    got = {(r.doc_id, r.term) for r in out.collect()}
+    assert len(got) == 5 * len({d for d, _ in tf}) and got <= tf.keys()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "regexp_extract_all" not in plan
