@@ -755,7 +755,8 @@ def evl_10(c):
     """Document recall on the chunks as they are and on chunks of another size."""
     from corpusloom.operators import chunking
 
-    ev = synthetic_queries(c)
+    # the sample is bounded and used for both: written once
+    ev = materialize(synthetic_queries(c), "queries")
     out = []
     for name, chunks in (("original", c.chunks), ("rechunked", chunking.fixed_window(c.docs, 800, 100))):
         hits = ranked(bm25(chunks, "chunk_id", ev.select(F.col("chunk_id").alias("item_id"), "term"), "item_id", carry=("document_id",), most=10), "item_id", "chunk_id", 10)

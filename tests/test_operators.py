@@ -340,3 +340,13 @@ def test_strongest_terms_move_five_a_document(spark, tmp_path):
     assert len(got) == 5 * len({d for d, _ in tf}) and got <= tf.keys()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "regexp_extract_all" not in plan
+
+
+def test_both_chunkings_are_asked_the_same_written_queries(spark, monkeypatch):
+    """The sample over all chunks is taken once."""
+    from corpusloom.operators.catalog import QUERIES
+
+    names, whole = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name="table": names.append(name) or whole(df, name))
+    assert QUERIES["evl_10"](spark, "/root/testdata/sf0.001").count() == 2
+    assert names.count("queries") == 1
