@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import reduce
@@ -15,16 +16,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.stem import STEP_2, STEP_3, STEP_4, stem
+from corpusloom.operators.chunking import chunk_id
 from corpusloom.operators.corpus import spread
 from corpusloom.operators.registry import query
 from corpusloom.plans.nearest import nearest_rows
 from corpusloom.session import lean, materialize, sized, small_batches
 
+#: Beside okapi's, which is for groups alone: see within().
 BM25_STYLES = {
     "log1p": lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)),
     "floor": lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6)),
-    # a term of more than half of the texts gets a quarter of the mean over all terms
-    "okapi": lambda n, df: F.when(F.log((n - df + 0.5) / (df + 0.5)) < 0, 0.25 * F.col("mean_idf")).otherwise(F.log((n - df + 0.5) / (df + 0.5))),
 }
 #: Words of two letters or more.
 LONGER = r"[\p{L}\p{N}_]{2,}"
@@ -125,39 +126,92 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
     return rows.mapInArrow(lean(run), f"`{query_id}` {kind}, {fields}, score double").withColumn("score", F.round("score", 6))
 
 
+def okapi(texts: list, asked: list, k1: float, b: float, found) -> list[tuple]:
+    """(query, key, score) of the matches of (query, term) among a group's (key, text); found gives a text's words. A term of more than
+    half of the texts gets a quarter of the mean IDF over all terms. Texts of one key and length count as one, as in a grouping by both."""
+    sizes, merged, df = [], {}, Counter()
+    for key, text in texts:
+        n = Counter(found(text or ""))
+        sizes.append(n.total())
+        if (held := merged.setdefault((key, sizes[-1]), n)) is not n:
+            held.update(n)
+    for n in merged.values():
+        df.update(n.keys())
+    raw = {n: math.log((len(texts) - n + 0.5) / (n + 0.5)) for n in set(df.values())}
+    low = 0.25 * sum(raw[n] * k for n, k in Counter(df.values()).items()) / max(1, len(df))
+    wanted: dict[str, list] = {}
+    for (q, t), times in Counter(asked).items():
+        if t in df:
+            wanted.setdefault(t, []).append((q, times * (low if raw[df[t]] < 0 else raw[df[t]])))
+    scores: dict[tuple, float] = {}
+    for (key, size), n in merged.items():
+        norm = k1 * (1 - b + b * size * len(sizes) / max(1, sum(sizes)))
+        # a query may be as long as its texts
+        for t in n.keys() & wanted.keys():
+            for q, weight in wanted[t]:
+                scores[q, key] = scores.get((q, key), 0.0) + weight * n[t] * (k1 + 1) / (n[t] + norm)
+    return [(q, key, score) for (q, key), score in scores.items()]
+
+
+def within(groups: DataFrame, query_id: str, k1: float, b: float, pattern: str, cut: tuple[int, int] | None = None) -> DataFrame:
+    """(group columns, query_id, key, score) of the matches of each group's queries in its own texts, by okapi(). groups: any columns,
+    then texts (array of key, a string, and lower-case text; with cut a whole text, whose windows of that size and overlap have their
+    number as key) and asked (array of query and term). A group is a row, so its statistics need no shuffle."""
+    keys = groups.columns[:-2]
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    query, key = groups.schema["asked"].dataType.elementType["query"].dataType.simpleString(), "int" if cut else "string"
+
+    def run(batches):
+        # as \w is letters, numbers and the underscore
+        found = re.compile(pattern.replace(r"[\p{L}\p{N}_]", r"\w")).findall
+        for batch in batches:
+            out = []
+            for row, (texts, asked) in enumerate(zip(*batch.columns[-2:], strict=True)):
+                texts = texts.as_py()
+                if cut:
+                    size, step = cut[0], cut[0] - cut[1]
+                    texts = [(i, texts[i * step : i * step + size].lower()) for i in range(1 + max(0, -((size - len(texts)) // step)))]
+                else:
+                    texts = [(x["key"], x["text"]) for x in texts]
+                out += [(row, *x) for x in okapi(texts, list(zip(*(asked.values.field(i).to_pylist() for i in range(2)), strict=True)), k1, b, found)]
+            row, q, place, score = zip(*out, strict=True) if out else ((), (), (), ())
+            own = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(q, batch.schema.field(len(keys) + 1).type.value_type.field("query").type), pa.array(place, pa.int32() if cut else pa.string()), pa.array(score, pa.float64())], [*keys, query_id, "key", "score"])
+
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    small_batches(groups.sparkSession)
+    return groups.mapInArrow(lean(run), f"{fields}, `{query_id}` {query}, key {key}, score double").withColumn("score", F.round("score", 6))
+
+
 #: Distinct terms, and pairs of query and term, of a batch of queries that are sent to the words; more of them are joined.
 _TERMS, _ASKED = 500_000, 2_000_000
 
 
 def bm25(texts: DataFrame, key: str, queries: DataFrame, query_id: str, k1: float = 1.2, b: float = 0.75, style: str = "log1p", pattern: str = T.WORD, prefix: tuple[str, ...] = (), carry: tuple[str, ...] = (), most: int | None = None, stemmed: bool = False) -> DataFrame:
     """(query_id, key, carry, score) of every match; queries has (query_id, term); a term that a query has twice counts twice. With prefix columns, both sides are
-    partitioned by them and statistics are per partition. Texts are read once, into a written table of counts. With most, matches
-    that can't be among a query's best so many may be left out."""
-    on = [*prefix, "term"]
-    terms = None
-    if not prefix:
-        few = [r.term for r in queries.select("term").distinct().limit(_TERMS + 1).collect()]
-        terms = set(few) if len(few) <= _TERMS else None
-    rows = materialize(counted(texts, (*prefix, key, *carry), pattern, terms, stemmed), "counted")
-    stats = rows.groupBy(*prefix).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
-    post = rows.select(*prefix, key, *carry, "len", F.inline("terms"))
-    df = post.groupBy(*on).agg(F.count("*").alias("df"))
-    stated = queries.join(df, on)
+    partitioned by them and statistics are per partition: the texts of one meet as a row. Without, texts are read once, into a
+    written table of counts. With most, matches that can't be among a query's best so many may be left out."""
     if prefix:
-        if style == "okapi":
-            mean = F.avg(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("mean_idf")
-            stats = stats.join(df.join(stats, list(prefix)).groupBy(*prefix).agg(mean), list(prefix))
-        stated = stated.join(stats, list(prefix))
-    else:
-        stated = stated.join(F.broadcast(stats), F.lit(True))
-        if terms is not None:
-            # a batch of queries goes to the counts
-            found = stated.select(query_id, "term", BM25_STYLES[style](F.col("N"), F.col("df")).alias("idf"), "avgdl").limit(_ASKED + 1).collect()
-            if len(found) <= _ASKED:
-                return scored(rows, (key, *carry), query_id, [(r[0], r[1], r[2]) for r in found], queries.schema[query_id].dataType.simpleString(), found[0].avgdl if found else 1.0, k1, b, most)
+        if stemmed or carry or style != "okapi":
+            raise ValueError("within groups: okapi, unstemmed, the key alone")
+        by = texts.groupBy(*prefix).agg(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.lower("text").alias("text"))).alias("texts"))
+        asked = queries.groupBy(*prefix).agg(F.collect_list(F.struct(F.col(query_id).alias("query"), "term")).alias("asked"))
+        return within(by.join(asked, list(prefix)), query_id, k1, b, pattern).select(*prefix, query_id, F.col("key").cast(texts.schema[key].dataType).alias(key), "score")
+    few = [r.term for r in queries.select("term").distinct().limit(_TERMS + 1).collect()]
+    terms = set(few) if len(few) <= _TERMS else None
+    rows = materialize(counted(texts, (key, *carry), pattern, terms, stemmed), "counted")
+    stats = rows.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+    post = rows.select(key, *carry, "len", F.inline("terms"))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    stated = queries.join(df, "term").join(F.broadcast(stats), F.lit(True))
+    if terms is not None:
+        # a batch of queries goes to the counts
+        found = stated.select(query_id, "term", BM25_STYLES[style](F.col("N"), F.col("df")).alias("idf"), "avgdl").limit(_ASKED + 1).collect()
+        if len(found) <= _ASKED:
+            return scored(rows, (key, *carry), query_id, [(r[0], r[1], r[2]) for r in found], queries.schema[query_id].dataType.simpleString(), found[0].avgdl if found else 1.0, k1, b, most)
     tf, norm = F.col("tf"), 1 - b + b * F.col("len") / F.col("avgdl")
     weight = BM25_STYLES[style](F.col("N"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * norm)
-    return post.join(stated, on).groupBy(*prefix, query_id, key, *carry).agg(F.round(F.sum(weight), 6).alias("score"))
+    return post.join(stated, "term").groupBy(query_id, key, *carry).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def ranked(hits: DataFrame, by: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -275,10 +329,20 @@ _OKAPI = "q AS (SELECT document_id, unnest(regexp_extract_all(lower(regexp_extra
 
 @query("ret_03", f"WITH base, {_OKAPI} SELECT document_id, chunk_id, round(sum(CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN po USING (document_id, term) JOIN raw USING (document_id, term) JOIN me USING (document_id) JOIN st USING (document_id) GROUP BY ALL")
 def ret_03(c):
-    """BM25 within each document: its blocks against the words of its own first line, repeated ones again."""
-    q = c.docs.select("document_id", F.explode(T.found(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)), LONGER)).alias("term"))
-    hits = bm25(c.chunks, "chunk_id", q.withColumn("q", F.lit(0)), "q", 1.5, 0.75, style="okapi", pattern=LONGER, prefix=("document_id",))
-    return hits.select("document_id", "chunk_id", "score")
+    """BM25 within each document: its blocks against the words of its own first line, repeated ones again. A document is scored where
+    it is read; rows that share an id are one document, and meet by it."""
+    terms = T.found(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)), LONGER)
+    again = materialize(c.docs.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"), "again")
+    shared = again.limit(1).count() > 0
+    docs = c.docs.join(again, "document_id", "left_anti") if shared else c.docs
+    docs = spread(docs.where("document_id IS NOT NULL")).where(F.length("text") > 0).select("document_id", F.col("text").alias("texts"), F.transform(terms, lambda t: F.struct(F.lit(0).alias("query"), t.alias("term"))).alias("asked"))
+    hits = within(docs, "q", 1.5, 0.75, LONGER, (512, 64)).select("document_id", chunk_id("document_id", "key").alias("chunk_id"), "score")
+    if shared:
+        q = c.docs.join(again, "document_id", "left_semi").select("document_id", F.explode(terms).alias("term")).withColumn("q", F.lit(0))
+        some = c.chunks.join(again, "document_id", "left_semi")
+        # parts of two texts at one place are one chunk
+        hits = hits.unionByName(bm25(some, "chunk_id", q, "q", 1.5, 0.75, style="okapi", pattern=LONGER, prefix=("document_id",)).drop("q"))
+    return hits
 
 
 _DENSE = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0)"

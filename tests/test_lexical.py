@@ -162,3 +162,28 @@ def test_index_moves_lists_and_keeps_few_hits(spark, corpus, monkeypatch):
     got = index.search(common, "q", 5)
     assert sorted((r.q, r.chunk_id, r.score, r.rank) for r in got.collect()) == _scan(chunks, common, 5)
     assert counts["hits"] <= 3 * 5 * 2 * common.select("q").distinct().count()
+
+
+def test_documents_are_scored_where_they_are_read(spark, tmp_path):
+    """No word is shuffled; rows that share an id are one document, as in the SQL."""
+    import duckdb
+
+    from corpusloom.operators.catalog import ORACLES, QUERIES
+
+    plan = QUERIES["ret_03"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+    rng = random.Random(4)
+    words = "the and Über naïve corpus x zebra ß1 of of of".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + rng.choice(["", "\n" + " ".join(rng.choice(words) for _ in range(n))])
+    rows = [(i % 37, text(rng.choice([0, 3, 150, 400])), "en", "src1", 0) for i in range(60)] + [(900, None, "en", "src1", 0), (901, "", "en", "src1", 0), (None, text(200), "en", "src1", 0)]
+    same = text(150)
+    rows += [(902, same, "en", "src1", 0)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("conversations", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = {r[:2]: r[2] for r in con.execute(ORACLES["ret_03"]).fetchall()}
+    got = {(r.document_id, r.chunk_id): r.score for r in QUERIES["ret_03"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
