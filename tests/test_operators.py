@@ -350,3 +350,15 @@ def test_both_chunkings_are_asked_the_same_written_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "materialize", lambda df, name="table": names.append(name) or whole(df, name))
     assert QUERIES["evl_10"](spark, "/root/testdata/sf0.001").count() == 2
     assert names.count("queries") == 1
+
+
+def test_recursive_split_holds_no_list_of_a_text_s_parts():
+    """A text without any separator, of characters that are objects of their own."""
+    import tracemalloc
+
+    text = "".join(chr(0x4E00 + i % 20_000) for i in range(1_000_000))
+    tracemalloc.start()
+    n = sum(len(x) for x in chunking.pieces(text, 512, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) and peak < 1_000_000
