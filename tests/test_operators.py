@@ -362,3 +362,14 @@ def test_recursive_split_holds_no_list_of_a_text_s_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(text) and peak < 1_000_000
+
+
+def test_curation_moves_no_text(spark):
+    """Texts are measured in one pass before any join."""
+    from corpusloom.operators.corpus import Corpus
+
+    d = curation.curated(Corpus(spark, "/root/testdata/sf0.001"))
+    assert "text" not in d.columns
+    assert "recommend|implement" not in d._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="blanks"):
+        curation.sub_scores(d, ("two words",))
