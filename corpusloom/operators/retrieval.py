@@ -82,6 +82,10 @@ def counted(texts: DataFrame, keys: tuple[str, ...], pattern: str, terms: set[st
     return texts.select(*keys, F.lower("text").alias("#text")).mapInArrow(lean(run), f"{fields}, len long, terms array<struct<term:string,tf:bigint>>")
 
 
+#: Cells of texts x queries, and meetings of a text's terms with queries, that a worker holds at a time: its memory doesn't follow the queries.
+_CELLS = 1 << 20
+
+
 def _best(scores: np.ndarray, most: int | None) -> np.ndarray:
     """Which scores (texts x queries) may be among a query's best `most`; a little more, as later rounding makes ties."""
     hit = scores > 0
@@ -92,34 +96,48 @@ def _best(scores: np.ndarray, most: int | None) -> np.ndarray:
 
 def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list, kind: str, avgdl: float, k1: float, b: float, most: int | None) -> DataFrame:
     """(query_id, keys, score) from counted() rows and a batch's (query, term, idf): scores of a text are summed where it is, so no
-    posting is shuffled; with most, a task returns no more than the best of what it holds."""
+    posting is shuffled; with most, a task returns no more than the best of what it holds. Queries meet a batch of texts by blocks."""
     queries = sorted({q for q, _, _ in stated})
     number, terms = {q: i for i, q in enumerate(queries)}, {}
     for q, term, idf in stated:
         terms.setdefault(term, (idf, []))[1].append(number[q])
-    ptr = np.concatenate([[0], np.cumsum([len(x) for _, x in terms.values()])]).astype(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((queries, {t: i for i, t in enumerate(terms)}, ptr, np.array([q for _, x in terms.values() for q in x], np.int64), np.array([idf for idf, _ in terms.values()])))
+    # term and query as one number, in order: the queries of a block that have a term are a range
+    pairs = np.array([i * len(queries) + q for i, (_, x) in enumerate(terms.values()) for q in sorted(x)], np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((queries, {t: i for i, t in enumerate(terms)}, pairs, np.array([idf for idf, _ in terms.values()])))
 
     def run(batches):
-        queries, number, ptr, asks, idf = sent.value
+        queries, number, pairs, idf = sent.value
+        ids = pa.array(queries)
         for batch in batches:
-            step = max(1, (4 << 20) // max(1, len(queries)))
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                lists = part.column(len(keys) + 1)
-                flat = lists.flatten()
-                term = np.array([number.get(x, -1) for x in flat.field(0).to_pylist()], np.int64)
-                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
-                tf, size = flat.field(1).to_numpy().astype(float), part.column(len(keys)).to_numpy().astype(float)
-                known = term >= 0
-                term, row, tf = term[known], row[known], tf[known]
-                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
-                n = np.diff(ptr)[term]
-                of = np.repeat(np.arange(len(term)), n)
-                ask = asks[np.repeat(ptr[term] - (np.cumsum(n) - n), n) + np.arange(len(of))]
-                scores = np.bincount(row[of] * len(queries) + ask, weight[of], len(part) * len(queries)).reshape(len(part), -1)
+            lists = batch.column(len(keys) + 1)
+            flat = lists.flatten()
+            term = np.array([number.get(x, -1) for x in flat.field(0).to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            tf, size = flat.field(1).to_numpy().astype(float), batch.column(len(keys)).to_numpy().astype(float)
+            known = term >= 0
+            term, row, tf = term[known], row[known], tf[known]
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+            own, at = np.unique(term * len(queries), return_inverse=True)
+            width = max(1, _CELLS // max(1, len(batch)))
+            for low in range(0, len(queries), width):
+                high = min(low + width, len(queries))
+                first = np.searchsorted(pairs, own + low)
+                n = np.searchsorted(pairs, own + high) - first
+                first, n = first[at], n[at]
+                total = np.cumsum(n)
+                scores = np.zeros(len(batch) * (high - low))
+                start = 0
+                while start < len(n):
+                    # as many terms as meet _CELLS queries, one at least; sums grow in the order of the terms
+                    end = max(start + 1, int(np.searchsorted(total, total[start] - n[start] + _CELLS, "right")))
+                    some = n[start:end]
+                    of = np.repeat(np.arange(start, end), some)
+                    ask = pairs[np.repeat(first[start:end] - (np.cumsum(some) - some), some) + np.arange(len(of))] - own[at[of]] - low
+                    np.add.at(scores, row[of] * (high - low) + ask, weight[of])
+                    start = end
+                scores = scores.reshape(len(batch), -1)
                 x, q = np.nonzero(_best(scores, most))
-                yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()]), *(part.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + low)), *(batch.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     small_batches(rows.sparkSession)
@@ -458,19 +476,22 @@ def text_vectors(texts: list[str]) -> np.ndarray:
 
 def text_leg(chunks: DataFrame, questions: list, query_id: str, kind: str, keys: tuple[str, ...], most: int, vectors=text_vectors) -> DataFrame:
     """(query_id, keys, score): cosine of every chunk's vector with those of a bounded batch of (id, lower-case text), the best of
-    each task; chunks don't move."""
+    each task; chunks don't move, and questions meet a batch of them by blocks."""
     sent = chunks.sparkSession.sparkContext.broadcast([(q, t) for q, t in questions])
 
     def run(batches):
-        ids = [q for q, _ in sent.value]
+        ids = pa.array([q for q, _ in sent.value])
         asked = vectors([t for _, t in sent.value])
         norms = np.sqrt((asked * asked).sum(axis=1))
         for batch in batches:
             v = vectors(batch.column(len(keys)).to_pylist())
-            size = np.sqrt((v * v).sum(axis=1))[:, None] * norms
-            scores = np.divide(v @ asked.T, size, out=np.zeros((len(v), len(ids))), where=size > 0)
-            x, q = np.nonzero(_best(scores, most))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *(batch.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
+            own = np.sqrt((v * v).sum(axis=1))[:, None]
+            width = max(1, _CELLS // max(1, len(v)))
+            for low in range(0, len(ids), width):
+                size = own * norms[low : low + width]
+                scores = np.divide(v @ asked[low : low + width].T, size, out=np.zeros(size.shape), where=size > 0)
+                x, q = np.nonzero(_best(scores, most))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + low)), *(batch.column(i).take(pa.array(x)) for i in range(len(keys))), pa.array(scores[x, q])], [query_id, *keys, "score"])
 
     fields = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
     small_batches(chunks.sparkSession)
