@@ -117,7 +117,8 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
             known = term >= 0
             term, row, tf = term[known], row[known], tf[known]
             weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
-            own, at = np.unique(term * len(queries), return_inverse=True)
+            # the batch's terms, or all where they are fewer than its postings
+            own, at = (np.arange(len(idf)) * len(queries), term) if len(idf) <= len(term) else np.unique(term * len(queries), return_inverse=True)
             width = max(1, _CELLS // max(1, len(batch)))
             for low in range(0, len(queries), width):
                 high = min(low + width, len(queries))
@@ -125,6 +126,7 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
                 n = np.searchsorted(pairs, own + high) - first
                 first, n = first[at], n[at]
                 total = np.cumsum(n)
+                place = row * (high - low) - own[at] - low
                 scores = np.zeros(len(batch) * (high - low))
                 start = 0
                 while start < len(n):
@@ -132,8 +134,8 @@ def scored(rows: DataFrame, keys: tuple[str, ...], query_id: str, stated: list,
                     end = max(start + 1, int(np.searchsorted(total, total[start] - n[start] + _CELLS, "right")))
                     some = n[start:end]
                     of = np.repeat(np.arange(start, end), some)
-                    ask = pairs[np.repeat(first[start:end] - (np.cumsum(some) - some), some) + np.arange(len(of))] - own[at[of]] - low
-                    np.add.at(scores, row[of] * (high - low) + ask, weight[of])
+                    ask = pairs[np.repeat(first[start:end] - (np.cumsum(some) - some), some) + np.arange(len(of))]
+                    np.add.at(scores, place[of] + ask, weight[of])
                     start = end
                 scores = scores.reshape(len(batch), -1)
                 x, q = np.nonzero(_best(scores, most))
