@@ -107,6 +107,29 @@ def test_similar_pairs_write_no_pair_that_only_shares_a_word(spark, monkeypatch)
     assert counts["pairs"] <= 2 * len(near)
 
 
+def test_similar_pairs_write_words_once_and_compare_in_blocks(spark, monkeypatch):
+    """A set is one row of prefixes, words are written once and move for pairs alone; groups larger than a task are cut."""
+    rng = random.Random(4)
+    base = [[f"v{k}x{i}" for i in range(30)] for k in range(4)]
+    sets = [(i, sorted({w for w in base[i % 4] if rng.random() > 0.05} | {f"own{i}"})) for i in range(120)]
+    sets += [(200 + i, sets[i][1]) for i in range(5)] + [(300 + i, [f"alone{i}n{k}" for k in range(12)]) for i in range(20)]
+    tables, whole = [], curation.materialize
+
+    def noted(df, name="table"):
+        tables.append((name, df.schema.simpleString(), (out := whole(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(curation, "materialize", noted)
+    monkeypatch.setattr(curation, "_HELD", 7, raising=False)
+    found = curation.similar_pairs(spark.createDataFrame(sets, "doc_id long, w array<string>"), "doc_id", "w").collect()
+    of, copies = dict(sets), {200 + i for i in range(5)}
+    near = {(a, b): len({*of[a]} & {*of[b]}) / len({*of[a]} | {*of[b]}) for a in of for b in of if a < b and not {a, b} & copies}
+    want = sorted([(a, b, round(s, 6)) for (a, b), s in near.items() if s >= 0.8] + [(i - 200, i, 1.0) for i in copies])
+    assert sorted((r.a, r.b, r.similarity) for r in found) == want and len(want) > 100
+    assert [name for name, schema, _ in tables if "array<string>" in schema] == ["sets"]
+    assert {n for name, _, n in tables if name == "prefixes"} == {140}
+
+
 def test_similar_pairs_and_acceptance_against_brute_force(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
