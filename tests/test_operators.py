@@ -130,6 +130,23 @@ def test_similar_pairs_write_words_once_and_compare_in_blocks(spark, monkeypatch
     assert {n for name, _, n in tables if name == "prefixes"} == {140}
 
 
+def test_accepted_documents_write_words_once(spark, tmp_path, monkeypatch):
+    from corpusloom.operators.catalog import QUERIES
+
+    rng = random.Random(8)
+    texts = [" ".join([f"own{i}", *(f"b{i % 9}w{k}" for k in range(25) if rng.random() > 0.04)]) for i in range(90)]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    schemas, whole = [], curation.materialize
+    monkeypatch.setattr(curation, "materialize", lambda df, name="table": (schemas.append(df.schema.simpleString()), whole(df, name))[1])
+    got = sorted(r.doc_id for r in QUERIES["dup_06_accepted"](spark, str(tmp_path)).collect())
+    sets, kept = [{*t.split()} for t in texts], []
+    for i, x in enumerate(sets):
+        if not any(10 * len(x & sets[k]) >= 8 * len(x | sets[k]) for k in kept):
+            kept.append(i)
+    assert got == kept and 9 <= len(kept) < 90
+    assert sum("array<string>" in x for x in schemas) == 1
+
+
 def test_similar_pairs_and_acceptance_against_brute_force(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(60)}" for _ in range(20)] for _ in range(6)]
