@@ -151,6 +151,20 @@ def test_sparse_folds_equal_plain_ones():
             assert topics.single_pass(list(range(n)), sim, threshold) == _plain_pass(list(range(n)), sim, threshold)
 
 
+def test_linkage_in_rounds_equals_the_fold(spark):
+    """Rounds of joins merge what the fold merges, with ties, whatever number of pairs is left to it."""
+    rng = random.Random(12)
+    sim = {(a, b): rng.choice([0.5, 0.6, 0.7, 0.9]) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.4}
+    want = {i: min(g) for g in topics.complete_linkage(list(range(60)), sim, 0.5) for i in g}
+    for most in (0, 60):
+        left, groups = topics.linked(spark.createDataFrame([(a, b, s) for (a, b), s in sim.items()], "a long, b long, s double"), most)
+        to = {r.vec_id: r.label for r in groups.collect()}
+        rest = {(r.a, r.b): r.s for r in left.collect()}
+        assert len(rest) <= most
+        last = {i: min(g) for g in topics.complete_linkage(sorted(set(range(60)) - set(to)), rest, 0.5) for i in g}
+        assert {i: last[to.get(i, i)] for i in range(60)} == want
+
+
 def test_sparse_folds_take_a_hundred_thousand_pairs():
     rng = random.Random(6)
     sim = {}
